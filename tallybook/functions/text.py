@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters stripped from both ends of a text value.
-WHITESPACE = " \t\n\r\f\u000b\u0085      　"
+WHITESPACE = " \t\n\r\f\u000b\u0085\u00a0\u1680\u2003\u2009\u202f\u3000"
 
 # Display symbol of each known currency code.
 CURRENCY_SYMBOLS = {
