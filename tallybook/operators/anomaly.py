@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.measures import cents
 from tallybook.operators.filters import expenses
-from tallybook.operators.joins import BROADCAST_KEYS, few_keys, salted_left_join
+from tallybook.operators.joins import BROADCAST_KEYS, lookup
 from tallybook.operators.medians import frequencies, twice_median
 from tallybook.schema import ANALYSIS, require_columns
+from tallybook.session import stored
 
 # The consistency constant of the modified z-score, the default
 # threshold, and the smallest category judged by its own statistics.
@@ -63,37 +64,44 @@ def _score(amount: Column, center: Column, factor: Column) -> Column:
     return (F.abs(amount).cast("double") - center) * factor
 
 
-def score_expenses(df: DataFrame, max_broadcast: int = BROADCAST_KEYS) -> DataFrame:
-    """Expense rows with ``z`` (unrounded).
+def expense_profile(df: DataFrame) -> DataFrame:
+    """``Category, overall, n, center, factor``: one row per category and one for all.
 
-    The transactions are read once to count (category, cents); both medians
-    and the deviations come from that table. The profile, one row per
-    category, is broadcast back after a check of how many categories there
-    are; past the limit the join is salted. Small categories take the profile
-    of all expenses, which is a scalar subquery.
+    The transactions are read once, to count (category, cents); both medians
+    and the deviations come from that table.
     """
-    require_columns(df, ANALYSIS, "score_expenses")
-    spent = expenses(df).filter(F.col("Category").isNotNull())
+    require_columns(df, ANALYSIS, "expense_profile")
     pool = expenses(df).select(F.col("Category"), cents(-F.col("Amount")).alias("cents"))
-    freq = frequencies(pool, ["Category"], "cents")
-    by_category = freq.filter(F.col("Category").isNotNull())
-    overall = (
-        freq.groupBy("cents").agg(F.sum("weight").alias("weight")).withColumn("scope", F.lit("all"))
-    )
+    counted = frequencies(pool, ["Category"], "cents")
+    own = counted.filter(F.col("Category").isNotNull()).withColumn("overall", F.lit(False))
     everything = (
-        spread_profile(overall, ["scope"]).select(F.struct("center", "factor")).scalar()
+        counted.groupBy("cents")
+        .agg(F.sum("weight").alias("weight"))
+        .withColumns({"Category": F.lit(""), "overall": F.lit(True)})
     )
-    own = (
-        spread_profile(by_category, ["Category"])
-        .filter(F.col("n") >= OWN_STATISTICS_FROM)
-        .select("Category", F.struct("center", "factor").alias("_own"))
+    return spread_profile(own.unionByName(everything), ["overall", "Category"])
+
+
+def score_expenses(
+    df: DataFrame, profile: DataFrame | None = None, max_broadcast: int = BROADCAST_KEYS
+) -> DataFrame:
+    """Expense rows with ``z`` (unrounded).
+
+    The profile is stored first, so its size is known: it is broadcast if it
+    has few categories, and joined with salted keys otherwise. Categories with
+    fewer than three expenses take the profile of all expenses.
+    """
+    require_columns(df, ANALYSIS, "score_expenses")
+    profile = stored(expense_profile(df)) if profile is None else profile
+    stats = F.struct("center", "factor")
+    everything = profile.filter("overall").select(stats).scalar()
+    own = profile.filter(~F.col("overall") & (F.col("n") >= OWN_STATISTICS_FROM)).select(
+        "Category", stats.alias("_own")
     )
-    if few_keys(spent, ["Category"], max_broadcast):
-        joined = spent.join(F.broadcast(own), "Category", "left")
-    else:
-        joined = salted_left_join(spent, own, ["Category"])
-    stats = F.coalesce(F.col("_own"), everything)
-    return joined.withColumn("_stats", stats).select(
+    spent = expenses(df).filter(F.col("Category").isNotNull())
+    joined = lookup(spent, own, ["Category"], max_keys=max_broadcast)
+    used = F.coalesce(F.col("_own"), everything)
+    return joined.withColumn("_stats", used).select(
         *spent.columns,
         _score(F.col("Amount"), F.col("_stats.center"), F.col("_stats.factor")).alias("z"),
     )

@@ -207,7 +207,6 @@ def summary(df: DataFrame) -> DataFrame:
         "expenses",
         "net",
     )
-    codes = F.transform(currencies, lambda c: c["currency"])
     head = coarse.agg(
         F.min("first").alias("period_start"),
         F.max("last").alias("period_end"),
@@ -218,29 +217,34 @@ def summary(df: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("category") == UNCATEGORIZED, F.col("rows"))), F.lit(0)
         ).alias("uncategorized_count"),
     )
-    return head.select(
+    parts = head.select(
         "*",
+        categories.alias("_categories"),
+        merchants.alias("_merchants"),
+        sample.alias("uncategorized_sample"),
+        currencies.alias("_currencies"),
+    )
+    codes = F.transform("_currencies", lambda c: c["currency"])
+    figures = ("income", "expenses", "net")
+    return parts.select(
+        *head.columns,
         F.map_from_entries(
-            F.transform(categories, lambda c: F.struct(c["category"], c["total"]))
+            F.transform("_categories", lambda c: F.struct(c["category"], c["total"]))
         ).alias("category_totals"),
         F.transform(
-            merchants, lambda m: F.struct(m["merchant"].alias("merchant"), m["total"].alias("total"))
+            "_merchants",
+            lambda m: F.struct(m["merchant"].alias("merchant"), m["total"].alias("total")),
         ).alias("top_merchants"),
-        sample.alias("uncategorized_sample"),
-        F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit(DEFAULT_CURRENCY))).alias("currencies"),
+        "uncategorized_sample",
+        F.when(F.size(codes) > 0, codes)
+        .otherwise(F.array(F.lit(DEFAULT_CURRENCY)))
+        .alias("currencies"),
         F.when(
             F.size(codes) > 1,
             F.map_from_entries(
                 F.transform(
-                    currencies,
-                    lambda c: F.struct(
-                        c["currency"],
-                        F.struct(
-                            c["income"].alias("income"),
-                            c["expenses"].alias("expenses"),
-                            c["net"].alias("net"),
-                        ),
-                    ),
+                    "_currencies",
+                    lambda c: F.struct(c["currency"], F.struct(*[c[f].alias(f) for f in figures])),
                 )
             ),
         ).alias("currency_totals"),

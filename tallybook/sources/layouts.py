@@ -70,7 +70,7 @@ def _hdfc(df: DataFrame, options: Options) -> DataFrame:
     df = strip_names(df)
     narration = strip(F.col("Narration"))
     if "Chq./Ref.No." in df.columns:
-        ref = strip(F.col("Chq./Ref.No."))
+        ref = strip(F.col("`Chq./Ref.No.`"))
         usable = F.when((F.length(ref) > 0) & (F.lower(ref) != "nan"), ref)
         description = F.concat_ws(" | Ref: ", narration, usable)
     else:
