@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from tallybook.functions.measures import cents
 from tallybook.operators.filters import expenses
 from tallybook.operators.joins import BROADCAST_KEYS, lookup
-from tallybook.operators.medians import frequencies, twice_median
+from tallybook.operators.medians import (
+    direct_twice_median,
+    frequencies,
+    is_short,
+    twice_median,
+)
 from tallybook.schema import ANALYSIS, require_columns
 from tallybook.session import stored
 
@@ -21,39 +26,46 @@ THRESHOLD = 3.5
 OWN_STATISTICS_FROM = 3
 
 
-def spread_profile(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
+def spread_profile(freq: DataFrame, keys: Sequence[str], direct: bool) -> DataFrame:
     """``keys, n, center, factor`` with z = (amount - center) * factor.
 
     ``freq`` counts each (keys, cents). The factor is 0.6745/MAD; with a MAD
-    of zero, 1/standard deviation; with no deviation either, 0.
+    of zero, 1/standard deviation; with no deviation either, 0. Deviations are
+    whole half-cents, so both medians are exact. ``direct`` is for short
+    tables, see ``medians``.
     """
     keys = list(keys)
-    mid = twice_median(freq, keys, "cents").withColumnRenamed("twice", "twice_mid")
-    # Deviations are whole half-cents, so that they stay exact.
-    off = (F.lit(2) * F.col("cents") - F.col("twice_mid")).alias("off")
-    offsets = freq.join(mid, keys).select(*keys, "weight", "twice_mid", off)
-    deviations = (
-        offsets.withColumn("dev", F.abs("off")).groupBy(*keys, "dev").agg(F.sum("weight").alias("weight"))
-    )
-    mad = twice_median(deviations, keys, "dev").select(*keys, F.col("twice").alias("twice_mad"))
-    off_d, w = F.col("off").cast("double"), F.col("weight")
-    moments = offsets.groupBy(*keys).agg(
+    mid = twice_median(freq, keys, "cents", direct).select(*keys, F.col("twice").alias("twice_mid"))
+    off = F.lit(2) * F.col("cents") - F.col("twice_mid")
+    offsets = freq.join(mid, keys).select(*keys, "weight", "twice_mid", off.alias("off"))
+    size, weight = F.col("off").cast("double"), F.col("weight")
+    figures = [
         F.first("twice_mid").alias("twice_mid"),
         F.sum("weight").alias("n"),
-        F.sum(w * off_d).alias("s1"),
-        F.sum(w * off_d * off_d).alias("s2"),
-    )
+        F.sum(weight * size).alias("s1"),
+        F.sum(weight * size * size).alias("s2"),
+    ]
+    if direct:
+        mad = direct_twice_median(F.abs("off")).alias("twice_mad")
+        measured = offsets.groupBy(*keys).agg(*figures, mad)
+    else:
+        deviations = (
+            offsets.withColumn("dev", F.abs("off"))
+            .groupBy(*keys, "dev")
+            .agg(F.sum("weight").alias("weight"))
+        )
+        mad = twice_median(deviations, keys, "dev", direct)
+        measured = (
+            offsets.groupBy(*keys).agg(*figures).join(mad.select(*keys, F.col("twice").alias("twice_mad")), keys)
+        )
     n = F.col("n").cast("double")
-    variance = F.when(
-        F.col("n") > 1, F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1))
-    )
-    deviation = F.sqrt(variance) / 200
-    mad_money = F.col("twice_mad") / F.lit(400.0)
-    return moments.join(mad, keys).select(
+    spread = F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("s1") / n)
+    deviation = F.sqrt(F.when(F.col("n") > 1, spread / (n - 1))) / 200
+    return measured.select(
         *keys,
         "n",
         (F.col("twice_mid") / F.lit(200.0)).alias("center"),
-        F.when(F.col("twice_mad") != 0, F.lit(SCALE) / mad_money)
+        F.when(F.col("twice_mad") != 0, F.lit(SCALE * 400.0) / F.col("twice_mad"))
         .when(deviation > 0, F.lit(1.0) / deviation)
         .otherwise(F.lit(0.0))
         .alias("factor"),
@@ -67,19 +79,21 @@ def _score(amount: Column, center: Column, factor: Column) -> Column:
 def expense_profile(df: DataFrame) -> DataFrame:
     """``Category, overall, n, center, factor``: one row per category and one for all.
 
-    The transactions are read once, to count (category, cents); both medians
-    and the deviations come from that table.
+    The transactions are read once, to count (category, cents). That table,
+    whose size follows the variety of amounts rather than the number of rows,
+    is stored; both medians and the deviations come from it.
     """
     require_columns(df, ANALYSIS, "expense_profile")
     pool = expenses(df).select(F.col("Category"), cents(-F.col("Amount")).alias("cents"))
-    counted = frequencies(pool, ["Category"], "cents")
+    counted = stored(frequencies(pool, ["Category"], "cents"))
     own = counted.filter(F.col("Category").isNotNull()).withColumn("overall", F.lit(False))
     everything = (
         counted.groupBy("cents")
         .agg(F.sum("weight").alias("weight"))
         .withColumns({"Category": F.lit(""), "overall": F.lit(True)})
     )
-    return spread_profile(own.unionByName(everything), ["overall", "Category"])
+    both = own.unionByName(everything)
+    return spread_profile(both, ["overall", "Category"], is_short(counted))
 
 
 def score_expenses(

@@ -1,7 +1,10 @@
 """Exact medians that never put a whole group in one task.
 
-The input is a frequency table: one row per group, whole-number value and
-count. Values are split into ranges of ``2**RANGE_BITS``. The first level adds
+The input is a stored frequency table: one row per group, whole-number value
+and count. A table of at most ``DIRECT_ROWS`` rows is aggregated directly:
+that bound on the table bounds what any one task can hold.
+
+A longer table is searched in two levels. Values are split into ranges of ``2**RANGE_BITS``. The first level adds
 up counts per range and finds the one or two ranges that hold the middle
 ranks; the second level looks only into those. Each level sees at most
 ``2**RANGE_BITS`` distinct rows per group for values spanning 2**32 (43
@@ -13,10 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_BITS = 16
+DIRECT_ROWS = 1_000_000
 
 
 def frequencies(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -24,12 +28,33 @@ def frequencies(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count("*").alias("weight"))
 
 
-def twice_median(freq: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def is_short(freq: DataFrame) -> bool:
+    """Whether a stored frequency table is short enough for direct medians."""
+    return freq.count() <= DIRECT_ROWS
+
+
+def direct_twice_median(value: str | Column) -> Column:
+    """Aggregate expression over ``weight``; for short tables only."""
+    middle = F.percentile(value, F.lit(0.5), F.col("weight"))
+    return F.round(middle * 2).cast("bigint")
+
+
+def twice_median(
+    freq: DataFrame, keys: Sequence[str], value: str, direct: bool | None = None
+) -> DataFrame:
     """``keys, twice, n``: twice the exact median (a whole number), and the count.
 
     ``freq`` has columns ``keys``, ``value`` (bigint) and ``weight``; keys must
     not be null.
     """
+    if is_short(freq) if direct is None else direct:
+        return freq.groupBy(*keys).agg(
+            direct_twice_median(value).alias("twice"), F.sum("weight").alias("n")
+        )
+    return _by_ranges(freq, keys, value)
+
+
+def _by_ranges(freq: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keys = list(keys)
     group = Window.partitionBy(*keys)
     ranged = freq.withColumn("_range", F.shiftright(F.col(value), RANGE_BITS))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.measures import cents, frequency_band
+from tallybook.operators.joins import few_keys
 from tallybook.operators.medians import frequencies, twice_median
 from tallybook.schema import ANALYSIS, require_columns
+from tallybook.session import stored
 
 # Defaults of the detector.
 MIN_OCCURRENCES = 2
@@ -35,43 +37,70 @@ def daily_activity(df: DataFrame) -> DataFrame:
     return daily.repartition("Description")
 
 
-def day_gaps(daily: DataFrame) -> DataFrame:
-    """(Description, Date, rows, gap): days since the description's last date."""
-    order = Window.partitionBy("Description").orderBy("Date")
-    return (
-        daily.groupBy("Description", "Date")
-        .agg(F.sum("rows").alias("rows"))
-        .withColumn("gap", F.datediff("Date", F.lag("Date").over(order)))
-    )
+def _figures() -> list[Column]:
+    return [
+        F.sum("rows").alias("rows"),
+        F.sum("priced").alias("priced"),
+        F.sum("total").alias("total"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.min("_best").alias("_best"),
+    ]
+
 
+def describe(df: DataFrame) -> DataFrame:
+    """One row per description: figures, commonest category, dates, median gap.
 
-def median_gaps(gaps: DataFrame) -> DataFrame:
-    """(Description, median_gap) over all consecutive rows.
+    Everything after ``daily_activity`` keeps to its partitioning, so the
+    windows and both groupings run in one stage without a further shuffle.
 
-    A repeat on the same day is a gap of zero, so with N rows on D days the
-    ordered gaps are N - D zeros and then the D - 1 gaps between days.
+    A repeat on the same day is a gap of zero: N rows on D days have N - D
+    zeros and then the D - 1 gaps between days, in order.
     """
-    zeros, n, sorted_gaps = F.col("_n") - F.col("_days"), F.col("_n"), F.col("_gaps")
+    same_category = Window.partitionBy("Description", "Category")
+    by_date = Window.partitionBy("Description").orderBy("Date")
+    # The smallest (-rows, name) is the commonest category, ties by name.
+    rank = F.when(
+        F.col("Category").isNotNull(),
+        F.struct((-F.sum("rows").over(same_category)).alias("n"), F.col("Category").alias("c")),
+    )
+    days = (
+        daily_activity(df)
+        .withColumn("_best", rank)
+        .groupBy("Description", "Date")
+        .agg(*_figures())
+        .withColumn("gap", F.datediff("Date", F.lag("Date").over(by_date)))
+    )
+    whole = days.groupBy("Description").agg(
+        *_figures(),
+        F.count("*").alias("days"),
+        F.min("Date").alias("First_Date"),
+        F.max("Date").alias("Last_Date"),
+        F.sort_array(F.collect_list("gap")).alias("_gaps"),
+    )
+    n, zeros = F.col("rows"), F.col("rows") - F.col("days")
 
-    def at(rank):
-        position = (rank - zeros + 1).cast("int")
-        later = F.try_element_at(sorted_gaps, F.greatest(position, F.lit(1)))
-        return F.when(rank < zeros, F.lit(0)).otherwise(later)
+    def at(rank: Column) -> Column:
+        position = F.greatest(rank - zeros + 1, F.lit(1)).cast("int")
+        return F.when(rank < zeros, F.lit(0)).otherwise(F.try_element_at("_gaps", position))
 
     middle = at(F.floor((n - 2) / 2)) + at(F.floor((n - 1) / 2))
-    return (
-        gaps.groupBy("Description")
-        .agg(
-            F.sum("rows").alias("_n"),
-            F.count("*").alias("_days"),
-            F.sort_array(F.collect_list("gap")).alias("_gaps"),
-        )
-        .filter(n > 1)
-        .select("Description", (middle / 2.0).alias("median_gap"))
+    return whole.select(
+        "Description",
+        F.col("_best.c").alias("Category"),
+        "rows",
+        "priced",
+        "total",
+        "low",
+        "high",
+        "days",
+        "First_Date",
+        "Last_Date",
+        F.when(n > 1, middle / 2.0).otherwise(F.lit(0.0)).alias("median_gap"),
     )
 
 
-def _steadiness(tolerance: float):
+def _steadiness(tolerance: float) -> Column:
     """Verdict from the extremes alone: TRUE, FALSE, or NULL for "ask the median".
 
     With all amounts of one sign, the largest deviation from the median lies
@@ -90,6 +119,26 @@ def _steadiness(tolerance: float):
     return verdict
 
 
+def _exact_medians(df: DataFrame, unsettled: DataFrame) -> DataFrame:
+    """(Description, median) of the amounts of the descriptions in ``unsettled``.
+
+    Few descriptions are broadcast, so that only their rows are shuffled.
+    Many are applied after counting, when a busy one is down to its distinct
+    amounts.
+    """
+    rows = df.filter(F.col("Description").isNotNull() & F.col("Amount").isNotNull()).select(
+        "Description", cents(F.col("Amount")).alias("cents")
+    )
+    keys = ["Description"]
+    if few_keys(unsettled, keys):
+        counted = frequencies(rows.join(F.broadcast(unsettled), keys, "left_semi"), keys, "cents")
+    else:
+        counted = frequencies(rows, keys, "cents").join(unsettled, keys, "left_semi")
+    return twice_median(stored(counted), keys, "cents").select(
+        "Description", (F.col("twice") / F.lit(200.0)).alias("median")
+    )
+
+
 def find_recurring(
     df: DataFrame,
     min_occurrences: int = MIN_OCCURRENCES,
@@ -99,69 +148,34 @@ def find_recurring(
 
     Kept are descriptions with enough rows, at least two dates, and every
     amount within the tolerance of their median amount (not tested where that
-    median is zero). Most are settled by their extremes; exact medians are
-    computed for the rest only.
+    median is zero). The extremes settle most of them; the candidates are
+    stored, and exact medians are computed for the rest only, if there are any.
     """
     require_columns(df, ANALYSIS, "find_recurring")
     if amount_tolerance < 0:
         raise ValueError(f"amount_tolerance must not be negative, got {amount_tolerance}")
-    daily = daily_activity(df)
-    per_category = daily.groupBy("Description", "Category").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("priced").alias("priced"),
-        F.sum("total").alias("total"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.min("Date").alias("first"),
-        F.max("Date").alias("last"),
-    )
-    commonest = F.min_by(
-        "Category", F.when(F.col("Category").isNotNull(), F.struct(-F.col("rows"), F.col("Category")))
-    )
-    profile = (
-        per_category.groupBy("Description")
-        .agg(
-            commonest.alias("Category"),
-            F.sum("rows").alias("rows"),
-            F.sum("priced").alias("priced"),
-            F.sum("total").alias("total"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-            F.min("first").alias("First_Date"),
-            F.max("last").alias("Last_Date"),
-        )
-        .filter((F.col("rows") >= min_occurrences) & (F.col("First_Date") < F.col("Last_Date")))
+    candidates = stored(
+        describe(df)
+        .filter((F.col("rows") >= min_occurrences) & (F.col("days") >= 2))
         .withColumn("steady", _steadiness(amount_tolerance))
         .filter(F.coalesce("steady", F.lit(True)))
     )
-    unsettled = profile.filter(F.col("steady").isNull()).select("Description")
-    amounts = frequencies(
-        df.filter(F.col("Description").isNotNull() & F.col("Amount").isNotNull()).select(
-            "Description", cents(F.col("Amount")).alias("cents")
-        ),
-        ["Description"],
-        "cents",
-    ).join(unsettled, "Description", "left_semi")
-    medians = twice_median(amounts, ["Description"], "cents").select(
-        "Description", (F.col("twice") / F.lit(200.0)).alias("median")
-    )
-    median, low, high = F.col("median"), F.col("low").cast("double"), F.col("high").cast("double")
-    within = F.greatest(high - median, median - low) / F.abs(median) <= amount_tolerance
-    kept = profile.join(medians, "Description", "left").filter(
-        F.col("steady") | F.when(median == 0, F.lit(True)).otherwise(within)
-    )
+    unsettled = candidates.filter(F.col("steady").isNull()).select("Description")
+    kept = candidates.filter("steady")
+    if not unsettled.isEmpty():
+        median = F.col("median")
+        low, high = F.col("low").cast("double"), F.col("high").cast("double")
+        within = F.greatest(high - median, median - low) / F.abs(median) <= amount_tolerance
+        judged = candidates.join(_exact_medians(df, unsettled), "Description", "left")
+        kept = judged.filter(F.col("steady") | F.when(median == 0, F.lit(True)).otherwise(within))
     average = F.round(F.col("total").cast("decimal(38,2)") / F.col("priced"), 2)
-    return (
-        kept.join(median_gaps(day_gaps(daily)), "Description")
-        .select(
-            "Description",
-            "Category",
-            F.when(F.col("priced") > 0, average).cast("decimal(18,2)").alias("Avg_Amount"),
-            F.round("median_gap", 1).alias("Median_Days"),
-            frequency_band(F.col("median_gap")).alias("Frequency"),
-            F.col("rows").alias("Occurrences"),
-            "First_Date",
-            "Last_Date",
-        )
-        .orderBy(F.desc(F.abs("Avg_Amount")), "Description")
-    )
+    return kept.select(
+        "Description",
+        "Category",
+        F.when(F.col("priced") > 0, average).cast("decimal(18,2)").alias("Avg_Amount"),
+        F.round("median_gap", 1).alias("Median_Days"),
+        frequency_band(F.col("median_gap")).alias("Frequency"),
+        F.col("rows").alias("Occurrences"),
+        "First_Date",
+        "Last_Date",
+    ).orderBy(F.desc(F.abs("Avg_Amount")), "Description")
