@@ -220,6 +220,14 @@ SELECT CAST(min(d) AS VARCHAR) AS period_start, CAST(max(d) AS VARCHAR) AS perio
 FROM tx"""
 )
 
+SQL["summary_json"] = _tx(
+    f"""SELECT CAST(min(d) AS VARCHAR) AS period_start, CAST(max(d) AS VARCHAR) AS period_end, {_IN} AS income,
+    CAST(-sum(amt) FILTER (amt < 0 AND cat = 'Hardware') AS DOUBLE) AS hardware,
+    CAST(-sum(amt) FILTER (amt < 0 AND cur = 'EUR') AS DOUBLE) AS eur_expenses,
+    (SELECT descr FROM tx WHERE amt < 0 GROUP BY descr ORDER BY sum(-amt) DESC, descr LIMIT 1) AS first_merchant,
+    count(*) FILTER (cat = 'Uncategorized') AS uncategorized FROM tx"""
+)
+
 # Recurring, anomalies, budgets
 
 
@@ -338,3 +346,8 @@ SQL["stored_by_month"] = _tx(
     """SELECT strftime(d, '%Y-%m') AS month, cat AS "Category", CAST(sum(amt) AS DOUBLE) AS total,
     count(*) AS rows FROM tx WHERE amt < 0 GROUP BY 1, 2"""
 )
+SQL["ml_retrain"] = _tx(
+    """, t AS (SELECT DISTINCT descr, cat FROM tx WHERE cat <> 'Uncategorized')
+    SELECT count(*) AS n_samples, (SELECT string_agg(cat, ',' ORDER BY cat) FROM (SELECT DISTINCT cat FROM t))
+    AS classes, false AS stale FROM t"""
+)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,7 +253,21 @@ def full_summary(spark, folder):
 
 @register
 def summary_json(spark, folder):
-    return report.summary_json(_tx(spark, folder, currency=True))
+    """Figures read back out of the JSON document."""
+    doc = report.summary_json(_tx(spark, folder, currency=True))
+
+    def at(path: str) -> Column:
+        return F.get_json_object("json", f"$.{path}")
+
+    return doc.select(
+        at("period_start").alias("period_start"),
+        at("period_end").alias("period_end"),
+        at("total_income").cast("double").alias("income"),
+        at("category_totals.Hardware").cast("double").alias("hardware"),
+        at("currency_totals.EUR.expenses").cast("double").alias("eur_expenses"),
+        at("top_merchants[0].merchant").alias("first_merchant"),
+        at("uncategorized_count").cast("bigint").alias("uncategorized"),
+    )
 
 
 # Recurring, anomalies, budgets
