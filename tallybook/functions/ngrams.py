@@ -15,16 +15,18 @@ def word_bounded_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
-    def grams(word: Column) -> Column:
+    def of_size(word: Column, n: int) -> Column:
         length = F.length(word)
-        parts = []
-        for n in range(low, high + 1):
-            starts = F.sequence(F.lit(1), length - n + 1)
-            sliding = F.transform(starts, lambda i, n=n: F.substring(word, i, F.lit(n)))
-            whole_once = F.when(
-                (length <= n) & (length > (n - 1 if n > low else 0)), F.array(word)
-            ).otherwise(F.array().cast("array<string>"))
-            parts.append(F.when(length > n, sliding).otherwise(whole_once))
-        return F.flatten(F.array(*parts))
+        starts = F.sequence(F.lit(1), length - n + 1)
+        sliding = F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+        shortest = n - 1 if n > low else 0
+        return (
+            F.when(length > n, sliding)
+            .when(length > shortest, F.array(word))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    def grams(word: Column) -> Column:
+        return F.flatten(F.array(*[of_size(word, n) for n in range(low, high + 1)]))
 
     return F.flatten(F.transform(padded, grams))
