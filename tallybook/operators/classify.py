@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallybook.operators.joins import lookup
+from tallybook.operators.joins import BROADCAST_KEYS, lookup
 from tallybook.schema import RULES, UNCATEGORIZED, require_columns
 
 Rules = Mapping[str, Sequence[str]]
@@ -38,17 +40,24 @@ def _inline_rules(rules: DataFrame, limit: int) -> Rules | None:
     return ordered
 
 
+def _has_any(text: Column, keywords: Sequence[str]) -> Column:
+    """One of the keywords is contained.
+
+    A list of some length is a loop over a constant array: spelled out as
+    ORs, it would make generated methods too long for the JIT compiler.
+    """
+    words = [F.lit(k.lower()) for k in keywords]
+    if len(words) > 3:
+        return F.exists(F.array(*words), lambda k: F.contains(text, k))
+    return reduce(operator.or_, [F.contains(text, k) for k in words])
+
+
 def _classify_inline(df: DataFrame, rules: Rules) -> DataFrame:
     # The lowered text is a column of its own, so it is computed once per row.
-    text = F.col("_text")
     hit = F
     for category, keywords in rules.items():
-        if not keywords:
-            continue
-        found = F.contains(text, F.lit(keywords[0].lower()))
-        for keyword in keywords[1:]:
-            found = found | F.contains(text, F.lit(keyword.lower()))
-        hit = hit.when(found, F.lit(category))
+        if keywords:
+            hit = hit.when(_has_any(F.col("_text"), keywords), F.lit(category))
     category = F.lit(UNCATEGORIZED) if hit is F else hit.otherwise(F.lit(UNCATEGORIZED))
     return (
         df.withColumn("_text", F.lower("Description"))
@@ -57,40 +66,64 @@ def _classify_inline(df: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def match_by_substring(descriptions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(Description, Category) for every description that some keyword matches.
+def match_by_substring(
+    descriptions: DataFrame, rules: DataFrame, max_broadcast: int = BROADCAST_KEYS
+) -> DataFrame:
+    """(Description, best) for every description that some keyword matches.
 
-    Each keyword is keyed by its first ``PREFIX`` characters, each description
-    by all its substrings of up to that length; equal keys are then verified
-    on the whole keyword. The work grows with text length and true matches,
-    not with descriptions times keywords.
+    ``best`` is the struct (rank, category) of the first rule. Each non-empty
+    keyword is keyed by its first ``PREFIX`` characters, each distinct
+    description by its substrings of the key lengths that occur; equal keys
+    are then verified on the whole keyword. The work grows with text length
+    and true matches, not with descriptions times keywords.
     """
-    keyed = rules.select(
-        "category",
-        F.struct("cat_order", "kw_order").alias("rank"),
-        F.lower("keyword").alias("keyword"),
-    ).withColumn("piece", F.substring("keyword", 1, PREFIX))
+    keyed = (
+        rules.select(
+            "category",
+            F.struct("cat_order", "kw_order").alias("rank"),
+            F.lower("keyword").alias("keyword"),
+        )
+        .filter(F.col("keyword") != "")
+        .withColumn("piece", F.substring("keyword", 1, PREFIX))
+    )
+    # At most PREFIX rows.
+    sizes = [r["n"] for r in keyed.select(F.length("piece").alias("n")).distinct().collect()]
     text = F.col("_text")
     length = F.length(text)
 
-    def pieces_of(size: int):
+    def pieces_of(size: int) -> Column:
         starts = F.sequence(F.lit(1), length - size + 1)
         cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
         return F.when(length >= size, cut).otherwise(F.array().cast("array<string>"))
 
-    pieces = F.array_distinct(
-        F.flatten(F.array(F.array(F.lit("")), *[pieces_of(n) for n in range(1, PREFIX + 1)]))
-    )
-    return (
+    none = F.array().cast("array<string>")
+    pieces = F.array_distinct(F.flatten(F.array(none, *[pieces_of(n) for n in sorted(sizes)])))
+    exploded = (
         descriptions.select("Description")
         .filter(F.col("Description").isNotNull())
         .distinct()
         .withColumn("_text", F.lower("Description"))
         .withColumn("piece", F.explode(pieces))
-        .join(keyed, "piece")
+    )
+    return (
+        lookup(exploded, keyed, ["piece"], sized_by=["keyword", "category"], max_keys=max_broadcast, how="inner")
         .filter(F.contains(text, F.col("keyword")))
         .groupBy("Description")
-        .agg(F.min_by("category", "rank").alias("Category"))
+        .agg(F.min(F.struct("rank", "category")).alias("best"))
+    )
+
+
+def _classify_by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
+    matched = lookup(df, match_by_substring(df, rules), ["Description"], key_source=df)
+    # An empty keyword is contained in every text.
+    empty = (
+        rules.filter(F.col("keyword") == "")
+        .agg(F.min(F.struct(F.struct("cat_order", "kw_order").alias("rank"), "category")))
+        .scalar()
+    )
+    found = F.when(F.col("Description").isNotNull(), F.least(F.col("best"), empty))
+    return matched.withColumn("_found", found).select(
+        *df.columns, F.coalesce("_found.category", F.lit(UNCATEGORIZED)).alias("Category")
     )
 
 
@@ -106,11 +139,7 @@ def classify(
     else:
         inline = rules if sum(map(len, rules.values())) <= inline_keywords else None
         table = None if inline is not None else rules_table(df.sparkSession, rules)
-    if inline is not None:
-        return _classify_inline(base, inline)
-    matched = lookup(base, match_by_substring(base, table), ["Description"], key_source=base)
-    category = F.coalesce(F.col("Category"), F.lit(UNCATEGORIZED))
-    return matched.select(*base.columns, category.alias("Category"))
+    return _classify_by_join(base, table) if inline is None else _classify_inline(base, inline)
 
 
 def coverage(df: DataFrame) -> DataFrame:

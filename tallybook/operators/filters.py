@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import has_keyword
-from tallybook.schema import UNCATEGORIZED
+from tallybook.schema import MONTH_FOLDER, UNCATEGORIZED
 
 
 def expenses(df: DataFrame) -> DataFrame:
@@ -36,19 +36,36 @@ def in_category(df: DataFrame, category: str) -> DataFrame:
 def in_last_months(df: DataFrame, months: int) -> DataFrame:
     """Rows later than the latest date of ``df`` less ``months`` calendar months.
 
-    The cutoff is a scalar subquery over the date column alone. It is known
-    before the main scan starts, so it prunes partitions and row groups.
+    The cutoff is a scalar subquery over the date column alone, of the latest
+    month only where the table is stored by month. It is known before the
+    main scan starts, so it prunes folders and row groups.
     """
     if months < 1:
         raise ValueError(f"last N months needs N >= 1, got {months}")
-    cutoff = df.agg(F.add_months(F.max("Date"), -months)).scalar()
-    return df.filter(F.col("Date") > cutoff)
+    stored_by_month = MONTH_FOLDER in df.columns
+    newest = df
+    if stored_by_month:
+        newest = df.filter(F.col(MONTH_FOLDER) == df.agg(F.max(MONTH_FOLDER)).scalar())
+    cutoff = newest.agg(F.add_months(F.max("Date"), -months).alias("cutoff"))
+    recent = df.filter(F.col("Date") > cutoff.scalar())
+    if stored_by_month:
+        first_month = cutoff.select(F.date_format("cutoff", "yyyy-MM")).scalar()
+        recent = recent.filter(F.col(MONTH_FOLDER) >= first_month)
+    return recent
 
 
 def between(df: DataFrame, start: str, end: str) -> DataFrame:
     """Inclusive at both ends."""
     first, last = datetime.date.fromisoformat(start), datetime.date.fromisoformat(end)
-    return df.filter(F.col("Date").between(F.lit(first), F.lit(last)))
+    rows = df.filter(F.col("Date").between(F.lit(first), F.lit(last)))
+    return in_month_folders(rows, start[:7], end[:7])
+
+
+def in_month_folders(df: DataFrame, first: str, last: str) -> DataFrame:
+    """Repeat a date range on the folder column of a table stored by month."""
+    if MONTH_FOLDER not in df.columns:
+        return df
+    return df.filter(F.col(MONTH_FOLDER).between(first, last))
 
 
 def month_bounds(month: str) -> tuple[datetime.date, datetime.date]:

@@ -35,18 +35,22 @@ def few_keys(
     return seen["n"] <= max_keys and seen["bytes"] <= max_bytes
 
 
-def salted_left_join(
-    big: DataFrame, side: DataFrame, keys: Sequence[str], salts: int = SALTS
+def salted_join(
+    big: DataFrame,
+    side: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    salts: int = SALTS,
 ) -> DataFrame:
-    """``big LEFT JOIN side`` with every key of ``big`` spread over ``salts`` tasks.
+    """``big JOIN side`` with every key of ``big`` spread over ``salts`` tasks.
 
     The salt is a hash of the row's own values, so a recomputed task gives the
-    same rows; ``side`` is repeated once per salt.
+    same rows; ``side`` is repeated once per salt. ``how`` is left or inner.
     """
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
     spread = big.withColumn("_salt", salt)
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*keys, "_salt"], "left").drop("_salt")
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup(
@@ -54,13 +58,17 @@ def lookup(
     side: DataFrame,
     keys: Sequence[str],
     key_source: DataFrame | None = None,
+    sized_by: Sequence[str] | None = None,
     max_keys: int = BROADCAST_KEYS,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of ``big`` to one row per key: broadcast if checked small, else salted.
+    """Join of ``big`` to ``side``: broadcast if checked small, else salted.
 
-    ``key_source`` is a cheaper relation holding at least the keys of ``side``.
+    The check counts the distinct ``sized_by`` values (the keys, if each
+    occurs once) of ``key_source``, a cheaper relation that holds at least
+    those of ``side``.
     """
     source = side if key_source is None else key_source
-    if few_keys(source, keys, max_keys):
-        return big.join(F.broadcast(side), list(keys), "left")
-    return salted_left_join(big, side, keys)
+    if few_keys(source, list(sized_by or keys), max_keys):
+        return big.join(F.broadcast(side), list(keys), how)
+    return salted_join(big, side, keys, how)

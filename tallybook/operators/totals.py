@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.measures import earned, is_expense, month_key, pct_change, spent
-from tallybook.operators.filters import expenses, is_in_month, uncategorized
+from tallybook.operators.filters import expenses, in_month_folders, is_in_month, uncategorized
 from tallybook.schema import ANALYSIS, DEFAULT_CURRENCY, UNCATEGORIZED, require_columns
 
 TOP_MERCHANTS = 10
@@ -106,9 +106,9 @@ def compare_months(df: DataFrame, month_a: str, month_b: str) -> DataFrame:
     in_a, in_b = is_in_month(F.col("Date"), month_a), is_in_month(F.col("Date"), month_b)
     zero = F.lit(0).cast("decimal(28,2)")
     out = -F.col("Amount")
+    scope = in_month_folders(expenses(df), min(month_a, month_b), max(month_a, month_b))
     sums = (
-        expenses(df)
-        .filter(in_a | in_b)
+        scope.filter(in_a | in_b)
         .groupBy(F.col("Category").alias("category"))
         .agg(
             F.coalesce(F.sum(F.when(in_a, out)), zero).alias("month_a"),

@@ -12,6 +12,9 @@ MONEY = "decimal(18,2)"
 UNCATEGORIZED = "Uncategorized"
 DEFAULT_CURRENCY = "USD"
 
+# Folder column, yyyy-MM, of a table stored by month.
+MONTH_FOLDER = "tx_month"
+
 REQUIRED = ("Date", "Description", "Amount")
 ANALYSIS = ("Date", "Description", "Amount", "Category")
 

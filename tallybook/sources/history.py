@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators.filters import labelled
-from tallybook.schema import require_columns
+from tallybook.schema import MONTH_FOLDER, require_columns
 
 # Files named like a processed export, or parts of our own tables.
 HISTORY_FILES = "{*_categorized.csv,part-*}"
@@ -31,7 +31,7 @@ def write_categorized(df: DataFrame, path: str, fmt: str = "parquet", by: str =
         require_columns(df, ["source_file"], "write_categorized")
         out = df.withColumn("source", source_stem(F.col("source_file"))).drop("source_file")
     elif by == "month":
-        out = df.withColumn("month", F.date_format("Date", "yyyy-MM"))
+        out, by = df.withColumn(MONTH_FOLDER, F.date_format("Date", "yyyy-MM")), MONTH_FOLDER
     else:
         raise ValueError(f"by must be 'source' or 'month', got {by!r}")
     writer = (

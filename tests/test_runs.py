@@ -72,7 +72,7 @@ def test_csv_sink_feeds_training(spark, inbox, tmp_path):
 def test_month_table_prunes(spark, purchases, tmp_path):
     target = str(tmp_path / "t")
     history.write_categorized(purchases, target, by="month")
-    one = spark.read.parquet(target).filter("month = '2024-02'")
+    one = spark.read.parquet(target).filter("tx_month = '2024-02'")
     assert one.count() == 2 and len(one.inputFiles()) >= 1
     with pytest.raises(ValueError):
         history.write_categorized(purchases, target, by="day")
