@@ -7,6 +7,7 @@ into an error naming the value; callers that quarantine keep the NULL.
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -46,7 +47,36 @@ DAY_FIRST = (
 )
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_CREDIT_DEBIT = r"(?i)^([0-9]+\.?[0-9]*)\s*(CR|DR)$"
+_UNSIGNED = r"^[0-9]+\.?[0-9]*$"
+
+
+# What the letters of a format stand for, longest first.
+_LETTERS = (
+    ("yyyy", "[0-9]{4}"),
+    ("yy", "[0-9]{2}"),
+    ("MMM", r"\p{L}+\.?"),
+    ("MM", "[0-9]{2}"),
+    ("M", "[0-9]{1,2}"),
+    ("dd", "[0-9]{2}"),
+    ("d", "[0-9]{1,2}"),
+    ("HH", "[0-9]{2}"),
+    ("mm", "[0-9]{2}"),
+    ("ss", "[0-9]{2}"),
+)
+
+
+def format_shape(fmt: str) -> str:
+    """Regular expression for texts that a date format may fit."""
+    parts = []
+    for found in re.finditer(r"'([^']*)'|([a-zA-Z])\2*|.", fmt):
+        token = found.group(0)
+        if found.group(1) is not None:
+            parts.append(re.escape(found.group(1)))
+        elif found.group(2) is not None:
+            parts.append(next((p for x, p in _LETTERS if token.startswith(x)), ".+"))
+        else:
+            parts.append(re.escape(token))
+    return "^" + "".join(parts) + "$"
 
 
 def default_pivot_year() -> int:
@@ -56,12 +86,16 @@ def default_pivot_year() -> int:
 def parse_date(
     text: Column, formats: Sequence[str] = MONTH_FIRST, pivot_year: int | None = None
 ) -> Column:
-    """First format that fits. Two-digit years at or past the pivot go back a century."""
+    """First format that fits. Two-digit years at or past the pivot go back a century.
+
+    A format is tried only on texts of its shape: a failed attempt costs an
+    exception inside Spark, many times the price of the test.
+    """
     pivot = default_pivot_year() if pivot_year is None else pivot_year
     clean = strip(text)
     attempts = []
     for fmt in formats:
-        day = F.try_to_date(clean, fmt)
+        day = F.when(clean.rlike(format_shape(fmt)), F.try_to_date(clean, fmt))
         if "yy" in fmt and "yyyy" not in fmt:
             day = F.when(F.year(day) >= pivot, F.add_months(day, -1200)).otherwise(day)
         attempts.append(day)
@@ -69,19 +103,19 @@ def parse_date(
 
 
 def _bare_number(text: Column) -> Column:
-    return strip(F.translate(strip(text), "£$€₹,", ""))
+    return strip(F.translate(text, "£$€₹,", ""))
 
 
 def parse_amount(text: Column, dtype: str = MONEY) -> Column:
     """Money text to a signed number: symbols and commas dropped, CR +, DR -."""
     s = _bare_number(text)
-    sided = F.regexp_extract(s, _CREDIT_DEBIT, 1)
-    side = F.upper(F.regexp_extract(s, _CREDIT_DEBIT, 2))
-    plain = F.when(s.rlike(_NUMBER), s.try_cast(dtype))
+    side = F.upper(F.right(s, F.lit(2)))
+    magnitude = strip(F.substr(s, F.lit(1), F.length(s) - 2))
+    unsigned = F.when(magnitude.rlike(_UNSIGNED), magnitude.try_cast(dtype))
     return (
-        F.when(side == "CR", sided.try_cast(dtype))
-        .when(side == "DR", (-sided.try_cast(dtype)).cast(dtype))
-        .otherwise(plain)
+        F.when(side == "CR", unsigned)
+        .when(side == "DR", (-unsigned).cast(dtype))
+        .otherwise(F.when(s.rlike(_NUMBER), s.try_cast(dtype)))
     )
 
 

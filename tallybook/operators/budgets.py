@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.measures import budget_status, calendar_months, spent
 from tallybook.schema import ANALYSIS, require_columns
+from tallybook.session import stored
 
 WARN_THRESHOLD = 0.80
 
@@ -52,13 +53,15 @@ def budget_alerts(df: DataFrame, budgets: DataFrame, warn_threshold: float = WAR
     """Every budget against the average over the calendar months of the period.
 
     A category without spend counts as zero, one without a budget is left
-    out. Spend and period come from one pass over the transactions.
+    out. Spend and period come from one stored pass over the transactions.
     """
     require_columns(df, ANALYSIS, "budget_alerts")
-    coarse = df.groupBy(F.col("Category").alias("category")).agg(
-        spent(F.col("Amount")).alias("total"),
-        F.min("Date").alias("first"),
-        F.max("Date").alias("last"),
+    coarse = stored(
+        df.groupBy(F.col("Category").alias("category")).agg(
+            spent(F.col("Amount")).alias("total"),
+            F.min("Date").alias("first"),
+            F.max("Date").alias("last"),
+        )
     )
     months = coarse.agg(calendar_months(F.min("first"), F.max("last"))).scalar()
     months = F.coalesce(months, F.lit(1))
@@ -70,8 +73,10 @@ def budget_alerts(df: DataFrame, budgets: DataFrame, warn_threshold: float = WAR
 def budget_vs_actual(df: DataFrame, budgets: DataFrame, warn_threshold: float = WARN_THRESHOLD) -> DataFrame:
     """As the alerts, but averaged over the months that hold any row; by category."""
     require_columns(df, ANALYSIS, "budget_vs_actual")
-    coarse = df.groupBy(
-        F.col("Category").alias("category"), F.trunc("Date", "MM").alias("month")
-    ).agg(spent(F.col("Amount")).alias("total"))
+    coarse = stored(
+        df.groupBy(
+            F.col("Category").alias("category"), F.trunc("Date", "MM").alias("month")
+        ).agg(spent(F.col("Amount")).alias("total"))
+    )
     months = coarse.agg(F.greatest(F.lit(1), F.count_distinct("month"))).scalar()
     return _measured(budgets, _spend(coarse), months, warn_threshold).orderBy("category")

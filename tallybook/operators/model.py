@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.ngrams import word_bounded_ngrams
 from tallybook.operators.classify import Rules, classify
 from tallybook.schema import UNCATEGORIZED, require_columns
+from tallybook.session import stored
 from tallybook.sources.history import load_training_set, newest_file
 
 # Defaults of training and prediction.
@@ -56,6 +57,8 @@ def fit_model(
     length, and the penalty is ``1/(C n)``.
     """
     require_columns(training, ["Description", "Category"], "fit_model")
+    # Training passes over the set several times; it is distinct pairs only.
+    training = stored(training.select("Description", "Category"))
     size = training.agg(F.count("*").alias("n"), F.count_distinct("Category").alias("k")).first()
     if size["n"] < min_samples:
         raise RuntimeError(
@@ -194,16 +197,12 @@ def retrain(
     min_samples: int = MIN_SAMPLES,
 ) -> dict:
     """Train on all labelled history, save model and meta data, return the latter."""
-    # Training passes over the set several times; it is distinct pairs only.
-    training = load_training_set(spark, history, fmt, include_ml).persist()
-    try:
-        model = fit_model(training, min_samples)
-        meta = {
-            "trained_at": datetime.datetime.now(datetime.UTC).isoformat(),
-            "n_samples": training.count(),
-            "classes": model_labels(model),
-        }
-    finally:
-        training.unpersist()
+    training = stored(load_training_set(spark, history, fmt, include_ml))
+    model = fit_model(training, min_samples)
+    meta = {
+        "trained_at": datetime.datetime.now(datetime.UTC).isoformat(),
+        "n_samples": training.count(),
+        "classes": model_labels(model),
+    }
     save_model(spark, model, meta, model_folder)
     return meta

@@ -37,66 +37,57 @@ def daily_activity(df: DataFrame) -> DataFrame:
     return daily.repartition("Description")
 
 
-def _figures() -> list[Column]:
-    return [
-        F.sum("rows").alias("rows"),
-        F.sum("priced").alias("priced"),
-        F.sum("total").alias("total"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.min("_best").alias("_best"),
-    ]
-
-
-def describe(df: DataFrame) -> DataFrame:
+def describe(df: DataFrame, min_occurrences: int = 1, min_days: int = 1) -> DataFrame:
     """One row per description: figures, commonest category, dates, median gap.
 
-    Everything after ``daily_activity`` keeps to its partitioning, so the
-    windows and both groupings run in one stage without a further shuffle.
+    Everything after ``daily_activity`` keeps to its partitioning, so windows
+    and grouping run in one stage without a further shuffle, and all
+    aggregates are of fixed size.
 
-    A repeat on the same day is a gap of zero: N rows on D days have N - D
-    zeros and then the D - 1 gaps between days, in order.
+    N transactions in R daily rows have N - R gaps of zero inside the rows,
+    and R - 1 gaps from row to row.
     """
+    description = Window.partitionBy("Description")
     same_category = Window.partitionBy("Description", "Category")
-    by_date = Window.partitionBy("Description").orderBy("Date")
     # The smallest (-rows, name) is the commonest category, ties by name.
     rank = F.when(
         F.col("Category").isNotNull(),
         F.struct((-F.sum("rows").over(same_category)).alias("n"), F.col("Category").alias("c")),
     )
-    days = (
+    gaps = (
         daily_activity(df)
         .withColumn("_best", rank)
-        .groupBy("Description", "Date")
-        .agg(*_figures())
-        .withColumn("gap", F.datediff("Date", F.lag("Date").over(by_date)))
-    )
-    whole = days.groupBy("Description").agg(
-        *_figures(),
-        F.count("*").alias("days"),
-        F.min("Date").alias("First_Date"),
-        F.max("Date").alias("Last_Date"),
-        F.sort_array(F.collect_list("gap")).alias("_gaps"),
+        .withColumns(
+            {
+                "gap": F.datediff("Date", F.lag("Date").over(description.orderBy("Date"))),
+                "_n": F.sum("rows").over(description),
+                "_r": F.count("*").over(description),
+                "_span": F.datediff(F.max("Date").over(description), F.min("Date").over(description)),
+            }
+        )
+        .filter((F.col("_n") >= min_occurrences) & (F.col("_span") >= min_days - 1))
     )
-    n, zeros = F.col("rows"), F.col("rows") - F.col("days")
-
-    def at(rank: Column) -> Column:
-        position = F.greatest(rank - zeros + 1, F.lit(1)).cast("int")
-        return F.when(rank < zeros, F.lit(0)).otherwise(F.try_element_at("_gaps", position))
-
-    middle = at(F.floor((n - 2) / 2)) + at(F.floor((n - 1) / 2))
-    return whole.select(
-        "Description",
-        F.col("_best.c").alias("Category"),
-        "rows",
-        "priced",
-        "total",
-        "low",
-        "high",
-        "days",
-        "First_Date",
-        "Last_Date",
-        F.when(n > 1, middle / 2.0).otherwise(F.lit(0.0)).alias("median_gap"),
+    # Position of a gap among all, those of zero first; the first row has none.
+    at = F.row_number().over(description.orderBy("gap")) - 2 + F.col("_n") - F.col("_r")
+    middle = F.when(F.col("_at") == F.expr("(_n - 2) div 2"), F.col("gap")).otherwise(
+        F.lit(0)
+    ) + F.when(F.col("_at") == F.expr("(_n - 1) div 2"), F.col("gap")).otherwise(F.lit(0))
+    return (
+        gaps.withColumn("_at", at)
+        .groupBy("Description")
+        .agg(
+            F.min("_best").alias("_best"),
+            F.sum("rows").alias("rows"),
+            F.sum("priced").alias("priced"),
+            F.sum("total").alias("total"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+            F.min("Date").alias("First_Date"),
+            F.max("Date").alias("Last_Date"),
+            (F.coalesce(F.sum(middle), F.lit(0)) / 2.0).alias("median_gap"),
+        )
+        .withColumn("Category", F.col("_best.c"))
+        .drop("_best")
     )
 
 
@@ -155,8 +146,7 @@ def find_recurring(
     if amount_tolerance < 0:
         raise ValueError(f"amount_tolerance must not be negative, got {amount_tolerance}")
     candidates = stored(
-        describe(df)
-        .filter((F.col("rows") >= min_occurrences) & (F.col("days") >= 2))
+        describe(df, min_occurrences, min_days=2)
         .withColumn("steady", _steadiness(amount_tolerance))
         .filter(F.coalesce("steady", F.lit(True)))
     )

@@ -2,8 +2,8 @@
 
 Operators that need several small groupings of the same transactions start
 from one coarse table (``by_category_currency`` or ``by_category_month``). It
-is aggregated on the map side to a handful of rows per task, and Spark reuses
-its exchange for every figure derived from it.
+is aggregated on the map side to a handful of rows per task and stored, so the
+transactions are read once however many figures are derived from it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.measures import earned, is_expense, month_key, pct_change, spent
 from tallybook.operators.filters import expenses, in_month_folders, is_in_month, uncategorized
 from tallybook.schema import ANALYSIS, DEFAULT_CURRENCY, UNCATEGORIZED, require_columns
+from tallybook.session import stored
 
 TOP_MERCHANTS = 10
 SAMPLE_ROWS = 5
@@ -52,6 +53,7 @@ def category_totals(df: DataFrame) -> DataFrame:
 
 def with_share(category_sums: DataFrame) -> DataFrame:
     """Add ``pct_of_total`` (one decimal); NULL where there is no spend at all."""
+    category_sums = stored(category_sums)
     grand = category_sums.agg(F.sum("total").cast("double")).scalar()
     share = F.round(F.try_divide(F.col("total").cast("double"), grand) * 100, 1)
     return category_sums.withColumn("pct_of_total", share)
@@ -134,7 +136,7 @@ def month_over_month(df: DataFrame) -> DataFrame:
     categories without earlier spend last.
     """
     require_columns(df, ["Date", "Amount", "Category"], "month_over_month")
-    table = by_category_month(df)
+    table = stored(by_category_month(df))
     latest = table.agg(F.max("month")).scalar()
     earlier = table.filter(F.col("month") < latest).agg(F.max("month")).scalar()
     zero = F.lit(0).cast("decimal(28,2)")
@@ -173,12 +175,12 @@ def by_category_currency(df: DataFrame) -> DataFrame:
 def summary(df: DataFrame) -> DataFrame:
     """The spending summary, as one row with nested fields.
 
-    ``currency_totals`` is NULL unless there are several currencies. Two scans
-    feed it: the coarse table and the merchants; each list it holds is a
+    ``currency_totals`` is NULL unless there are several currencies. Three scans
+    feed it: coarse table, merchants and sample. Each list it holds is a
     report's top rows or has one entry per category or currency.
     """
     require_columns(df, ANALYSIS, "summary")
-    coarse = by_category_currency(df)
+    coarse = stored(by_category_currency(df))
     by_category = (
         coarse.groupBy("category")
         .agg(F.sum("expenses").alias("total"), F.sum("n_expenses").alias("n"))
