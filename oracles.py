@@ -35,11 +35,11 @@ ev AS (
          CAST(CASE WHEN n_name = 'NATION_24' THEN -99 ELSE -10 END AS DECIMAL(18,2)), 'flat'
   FROM nation
 ),
-x AS (SELECT *, CAST(-amt AS DOUBLE) AS v FROM ev WHERE amt < 0),
-med AS (SELECT cat, median(v) AS m, stddev_samp(v) AS s, count(*) AS n FROM x GROUP BY cat),
-mad AS (SELECT x.cat, median(abs(v - m)) AS a FROM x JOIN med ON x.cat = med.cat GROUP BY x.cat),
-gmed AS (SELECT median(v) AS m, stddev_samp(v) AS s FROM x),
-gmad AS (SELECT median(abs(v - m)) AS a FROM x, gmed),
+x AS (SELECT *, CAST(-amt AS DOUBLE) AS v, CAST(-amt * 100 AS BIGINT) AS c FROM ev WHERE amt < 0),
+med AS (SELECT cat, 2 * median(c) AS m, stddev_samp(v) AS s, count(*) AS n FROM x GROUP BY cat),
+mad AS (SELECT x.cat, 2 * median(abs(2 * c - m)) AS a FROM x JOIN med ON x.cat = med.cat GROUP BY x.cat),
+gmed AS (SELECT 2 * median(c) AS m, stddev_samp(v) AS s FROM x),
+gmad AS (SELECT 2 * median(abs(2 * c - m)) AS a FROM x, gmed),
 st AS (
   SELECT med.cat,
          CASE WHEN n >= 3 THEN med.m ELSE gmed.m END AS m,
@@ -49,10 +49,18 @@ st AS (
 ),
 z AS (
   SELECT x.d, x.descr, x.amt, x.cat, x.v,
-         CASE WHEN a <> 0 THEN 0.6745 * (v - m) / a WHEN s > 0 THEN (v - m) / s ELSE 0 END AS z
+         CASE WHEN a <> 0 THEN CAST(0.6745 AS DOUBLE) * (2 * (2 * c - m)) / a
+              WHEN s > 0 THEN (2 * c - m) / CAST(200 AS DOUBLE) / s ELSE 0 END AS z
   FROM x JOIN st ON x.cat = st.cat
 )"""
 
+
+def _rounded(value: str, places: int) -> str:
+    """Round the decimal text of a double, half away from zero."""
+    exact = f"CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,18))"
+    return f"(CAST(round({exact}, {places}) AS DOUBLE) + 0.0)"
+
+
 SQL: dict[str, str] = {}
 
 
@@ -259,11 +267,11 @@ SQL["recurring_charges"] = _recurring(
     2,
     0.10,
 )
-SQL["recurring_wide_tolerance"] = _recurring(TX + ", r AS (SELECT d, descr, amt, cat FROM tx)", 3, 2.5)
-SQL["mad_scores"] = f"WITH {EV} SELECT {LISTED}, round(z, 4) + 0.0 AS z FROM z"
-SQL["anomalies"] = f'WITH {EV} SELECT {LISTED}, round(z, 2) + 0.0 AS "Z_Score" FROM z WHERE z > 3.5'
+SQL["recurring_wide_tolerance"] = _recurring(TX + ", r AS (SELECT d, descr, amt, cat FROM tx)", 3, 6.0)
+SQL["mad_scores"] = f"WITH {EV} SELECT {LISTED}, {_rounded('z', 4)} AS z FROM z"
+SQL["anomalies"] = f"""WITH {EV} SELECT {LISTED}, {_rounded('z', 2)} AS "Z_Score" FROM z WHERE z > 3.5"""
 SQL["anomaly_scatter"] = f"""WITH {EV} SELECT CAST(d AS VARCHAR) AS "Date", substr(descr, 1, 35) AS short_name,
-v AS magnitude, cat AS "Category", round(z, 2) + 0.0 AS "Z_Score", z > 3.5 AS is_anomaly FROM z"""
+v AS magnitude, cat AS "Category", {_rounded('z', 2)} AS "Z_Score", z > 3.5 AS is_anomaly FROM z"""
 
 
 def _budgets(values: str, months: str, warn: float) -> str:

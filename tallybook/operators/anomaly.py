@@ -27,12 +27,12 @@ OWN_STATISTICS_FROM = 3
 
 
 def spread_profile(freq: DataFrame, keys: Sequence[str], direct: bool) -> DataFrame:
-    """``keys, n, center, factor`` with z = (amount - center) * factor.
+    """``keys, n, twice_mid, twice_mad, deviation`` of the amounts of each group.
 
-    ``freq`` counts each (keys, cents). The factor is 0.6745/MAD; with a MAD
-    of zero, 1/standard deviation; with no deviation either, 0. Deviations are
-    whole half-cents, so both medians are exact. ``direct`` is for short
-    tables, see ``medians``.
+    ``freq`` counts each (keys, cents). ``twice_mid`` is in cents and
+    ``twice_mad`` in half-cents, so that both are exact whole numbers; the
+    sample standard deviation is in money, NULL for a single amount.
+    ``direct`` is for short tables, see ``medians``.
     """
     keys = list(keys)
     mid = twice_median(freq, keys, "cents", direct).select(*keys, F.col("twice").alias("twice_mid"))
@@ -62,22 +62,23 @@ def spread_profile(freq: DataFrame, keys: Sequence[str], direct: bool) -> DataFr
     spread = F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("s1") / n)
     deviation = F.sqrt(F.when(F.col("n") > 1, spread / (n - 1))) / 200
     return measured.select(
-        *keys,
-        "n",
-        (F.col("twice_mid") / F.lit(200.0)).alias("center"),
-        F.when(F.col("twice_mad") != 0, F.lit(SCALE * 400.0) / F.col("twice_mad"))
-        .when(deviation > 0, F.lit(1.0) / deviation)
-        .otherwise(F.lit(0.0))
-        .alias("factor"),
+        *keys, "n", "twice_mid", "twice_mad", deviation.alias("deviation")
     )
 
 
-def _score(amount: Column, center: Column, factor: Column) -> Column:
-    return (F.abs(amount).cast("double") - center) * factor
+def z_score(amount: Column, stats: str) -> Column:
+    """0.6745 (x - median) / MAD; with a MAD of zero (x - median) / deviation, or 0."""
+    half_cents = F.lit(2) * cents(F.abs(amount)) - F.col(f"{stats}.twice_mid")
+    mad, deviation = F.col(f"{stats}.twice_mad"), F.col(f"{stats}.deviation")
+    return (
+        F.when(mad != 0, F.lit(SCALE) * (F.lit(2) * half_cents) / mad)
+        .when(deviation > 0, half_cents / F.lit(200.0) / deviation)
+        .otherwise(F.lit(0.0))
+    )
 
 
 def expense_profile(df: DataFrame) -> DataFrame:
-    """``Category, overall, n, center, factor``: one row per category and one for all.
+    """``Category, overall`` and the figures of each category, and of all expenses.
 
     The transactions are read once, to count (category, cents). That table,
     whose size follows the variety of amounts rather than the number of rows,
@@ -107,7 +108,7 @@ def score_expenses(
     """
     require_columns(df, ANALYSIS, "score_expenses")
     profile = stored(expense_profile(df)) if profile is None else profile
-    stats = F.struct("center", "factor")
+    stats = F.struct("twice_mid", "twice_mad", "deviation")
     everything = profile.filter("overall").select(stats).scalar()
     own = profile.filter(~F.col("overall") & (F.col("n") >= OWN_STATISTICS_FROM)).select(
         "Category", stats.alias("_own")
@@ -116,8 +117,7 @@ def score_expenses(
     joined = lookup(spent, own, ["Category"], max_keys=max_broadcast)
     used = F.coalesce(F.col("_own"), everything)
     return joined.withColumn("_stats", used).select(
-        *spent.columns,
-        _score(F.col("Amount"), F.col("_stats.center"), F.col("_stats.factor")).alias("z"),
+        *spent.columns, z_score(F.col("Amount"), "_stats").alias("z")
     )
 
 

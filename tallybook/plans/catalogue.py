@@ -281,7 +281,7 @@ def recurring_charges(spark, folder):
 @register
 def recurring_wide_tolerance(spark, folder):
     """Purchases at varying prices: most groups need their exact median."""
-    return recurring.find_recurring(_tx(spark, folder), min_occurrences=3, amount_tolerance=2.5)
+    return recurring.find_recurring(_tx(spark, folder), min_occurrences=3, amount_tolerance=6.0)
 
 
 @register
