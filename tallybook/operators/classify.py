@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallybook.operators.joins import BROADCAST_KEYS, lookup
 from tallybook.schema import RULES, UNCATEGORIZED, require_columns
+from tallybook.session import stored
 
 Rules = Mapping[str, Sequence[str]]
 
@@ -114,7 +115,7 @@ def match_by_substring(
 
 
 def _classify_by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
-    matched = lookup(df, match_by_substring(df, rules), ["Description"], key_source=df)
+    matched = lookup(df, stored(match_by_substring(df, rules)), ["Description"])
     # An empty keyword is contained in every text.
     empty = (
         rules.filter(F.col("keyword") == "")

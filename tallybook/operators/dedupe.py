@@ -25,10 +25,11 @@ def drop_repeats(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """One row per key, the first by ``order``, with all its other columns."""
+    name = {c: "`" + c.replace("`", "``") + "`" for c in df.columns}
     rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), order).alias("_first")
-    picked = df.groupBy(*keys).agg(first)
-    return picked.select(*[f"_first.{c}" if c in rest else c for c in df.columns])
+    first = F.min_by(F.struct(*[name[c] for c in rest]), order).alias("_first")
+    picked = df.groupBy(*[name[c] for c in keys]).agg(first)
+    return picked.select(*[f"_first.{name[c]}" if c in rest else name[c] for c in df.columns])
 
 
 def count_repeats(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:

@@ -57,18 +57,15 @@ def lookup(
     big: DataFrame,
     side: DataFrame,
     keys: Sequence[str],
-    key_source: DataFrame | None = None,
     sized_by: Sequence[str] | None = None,
     max_keys: int = BROADCAST_KEYS,
     how: str = "left",
 ) -> DataFrame:
     """Join of ``big`` to ``side``: broadcast if checked small, else salted.
 
-    The check counts the distinct ``sized_by`` values (the keys, if each
-    occurs once) of ``key_source``, a cheaper relation that holds at least
-    those of ``side``.
+    The check counts the distinct ``sized_by`` values of ``side`` (the keys,
+    if each occurs once), so ``side`` should be stored or cheap.
     """
-    source = side if key_source is None else key_source
-    if few_keys(source, list(sized_by or keys), max_keys):
+    if few_keys(side, list(sized_by or keys), max_keys):
         return big.join(F.broadcast(side), list(keys), how)
     return salted_join(big, side, keys, how)

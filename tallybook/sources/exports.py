@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.parse import MONTH_FIRST, or_fail, parse_amount, parse_date
 from tallybook.functions.text import mask_cards
-from tallybook.operators.dedupe import drop_repeats
+from tallybook.operators.dedupe import drop_repeats, keep_first, repeat_key
 from tallybook.schema import MONEY
 from tallybook.sources.columns import map_columns
 from tallybook.sources.layouts import (
@@ -122,6 +122,13 @@ def _canonical(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return df.select(*[n for n in names if n in df.columns])
 
 
+def _without_repeats(df: DataFrame) -> DataFrame:
+    """Among repeats that differ in other columns, the least of those stays."""
+    keys = repeat_key(df)
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in keys]
+    return keep_first(df, keys, F.struct(*rest)) if rest else drop_repeats(df)
+
+
 def ingest(
     raw: DataFrame,
     bank: str | None = None,
@@ -130,22 +137,26 @@ def ingest(
     date_formats: Sequence[str] | None = None,
     pivot_year: int | None = None,
     dedupe_after: bool = False,
+    keep_extra: bool = False,
 ) -> DataFrame:
     """Raw export rows to canonical transactions, as one lazy plan.
 
     Layout, column names, removal of repeats, dates, amounts, card masking,
     currency. Repeats are judged on the text as it stands in the export, so
     ``$5.00`` and ``5.00`` differ; ``dedupe_after=True`` judges clean values.
+    ``keep_extra`` carries the export's other columns along, as text.
     Bad values fail the job; ``ingest_tolerant`` keeps them apart instead.
     """
     options = Options(currency, tuple(date_formats) if date_formats else None, pivot_year)
     df = detect_layout(raw.columns, bank).normalise(raw, options)
-    df = fill_currency(_canonical(map_columns(df, mapping)))
+    df = fill_currency(map_columns(df, mapping))
+    if not keep_extra:
+        df = _canonical(df)
     if not dedupe_after:
-        df = drop_repeats(df)
+        df = _without_repeats(df)
     df = clean_dates(df, date_formats or MONTH_FIRST, pivot_year)
     df = mask_descriptions(clean_amounts(df))
-    return drop_repeats(df) if dedupe_after else df
+    return _without_repeats(df) if dedupe_after else df
 
 
 def ingest_tolerant(

@@ -157,6 +157,18 @@ def test_generic_ingest(raw):
     assert conform(exports.ingest(df)).schema.names == TRANSACTION.names
 
 
+def test_extra_columns_can_be_kept(raw):
+    df = raw(
+        ["Date", "Description", "Amount", "Ref. No"],
+        ("2024-01-01", "a", "1", "R2"), ("2024-01-01", "a", "1", "R1"), ("2024-01-02", "a", "1", None),
+    )
+    got = exports.ingest(df, keep_extra=True)
+    assert got.columns == ["Date", "Description", "Amount", "Ref. No", "Currency"]
+    assert sorted(plain(got)) == [
+        ("2024-01-01", "a", 1.0, "R1", "USD"), ("2024-01-02", "a", 1.0, None, "USD"),
+    ]
+
+
 def test_existing_currency_is_kept(raw):
     df = raw(["Date", "Description", "Amount", "Currency"], ("2024-01-01", "a", "1", "EUR"), ("2024-01-01", "a", "1", None))
     assert sorted(plain(exports.ingest(df))) == [

@@ -96,3 +96,26 @@ def test_stored_tables_use_the_shared_folder(spark):
     kept = stored(df)
     assert kept.count() == 5 and kept.columns == ["id", "x"]
     assert checkpoint_folder(spark).rstrip("/") in kept.inputFiles()[0]
+
+
+def test_without_a_named_folder_a_local_one_serves(spark, monkeypatch):
+    from tallybook import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Fake:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    folder = session.checkpoint_folder(Fake())
+    assert folder == session.checkpoint_folder(Fake()) and "tallybook" in folder
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_folder(Cluster())
