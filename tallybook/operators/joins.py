@@ -45,7 +45,8 @@ def salted_join(
     """``big JOIN side`` with every key of ``big`` spread over ``salts`` tasks.
 
     The salt is a hash of the row's own values, so a recomputed task gives the
-    same rows; ``side`` is repeated once per salt. ``how`` is left or inner.
+    same rows; ``side`` is repeated once per salt. ``how`` is left,
+    inner or left_semi.
     """
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
     spread = big.withColumn("_salt", salt)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallybook.operators.classify import Rules
+from tallybook.operators.joins import lookup
 from tallybook.operators.model import CONFIDENCE, classify_two_stage, load_model
 from tallybook.plans import report
 from tallybook.sources.exports import ingest, read_export
-from tallybook.sources.history import write_categorized
+from tallybook.sources.history import source_stem, write_categorized
 
 
 def classify_exports(
@@ -24,11 +26,23 @@ def classify_exports(
     mapping: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Exports with one header, read, cleaned and classified; a lazy plan."""
-    clean = ingest(read_export(spark, paths), bank, currency, mapping)
+    raw = read_export(spark, paths)
+    return _classified(raw, rules, model_folder, threshold, bank, currency, mapping)
+
+
+def _classified(raw, rules, model_folder, threshold, bank, currency, mapping) -> DataFrame:
+    clean = ingest(raw, bank, currency, mapping)
     model = load_model(model_folder) if model_folder else None
     return classify_two_stage(clean, rules, model, threshold)
 
 
+def _of_sources(table: DataFrame, files: Sequence[str]) -> DataFrame:
+    """The rows of these files; a table may hold those of earlier runs as well."""
+    named = table.sparkSession.createDataFrame([(f,) for f in files], "file string")
+    sources = named.select(source_stem(F.col("file")).alias("source")).distinct()
+    return lookup(table, sources, ["source"], how="left_semi")
+
+
 def run(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -46,14 +60,15 @@ def run(
     """Classify exports, store them under ``output`` and write payload and report.
 
     The classified rows are written once and read back, so every analysis
-    scans a columnar table and no step repeats parsing or matching.
+    scans a columnar table and no step repeats parsing or matching. The table
+    keeps the sources of earlier runs; the analyses are of this run's.
     """
     table = f"{output}/transactions"
-    classified = classify_exports(
-        spark, paths, rules, model_folder, threshold, bank, currency, mapping
+    raw = read_export(spark, paths)
+    write_categorized(
+        _classified(raw, rules, model_folder, threshold, bank, currency, mapping), table
     )
-    write_categorized(classified, table)
-    stored = spark.read.parquet(table)
+    stored = _of_sources(spark.read.parquet(table), raw.inputFiles())
     report.write_payload(stored, f"{output}/payload", budgets, with_anomalies)
     if with_report:
         report.write_report(stored, f"{output}/exports", budgets)

@@ -48,7 +48,8 @@ def read_export(
 
     ``encoding="auto"`` decides per cell: valid UTF-8 is taken as such, all
     else as Latin-1. A stated charset is used as it is. Typing is left to
-    ``ingest``; no pass over the data infers a schema.
+    ``ingest``; no pass over the data infers a schema. A file whose header
+    differs from the others' fails the job.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     for path in paths:
@@ -59,6 +60,7 @@ def read_export(
     reader = (
         spark.read.option("header", True)
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)

@@ -260,3 +260,11 @@ def test_scan_errors(spark, tmp_path):
         exports.read_export(spark, str(tmp_path / "none.csv"))
     with pytest.raises(ValueError, match="Unsupported"):
         exports.read_export(spark, "statement.pdf")
+
+
+def test_files_with_another_header_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Description,Amount\n2024-01-01,x,1\n")
+    (tmp_path / "b.csv").write_text("Amount,Date,Description\n1,2024-01-01,x\n")
+    both = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    with pytest.raises(Exception, match="header does not conform"):
+        exports.ingest(exports.read_export(spark, both)).collect()

@@ -51,6 +51,16 @@ def test_run_writes_everything(spark, inbox, tmp_path):
         spark.read.parquet(f"{views}/{name}").count()
 
 
+def test_a_run_analyses_its_own_sources(spark, inbox, tmp_path):
+    out = str(tmp_path / "out")
+    run(spark, str(inbox / "jan.csv"), RULES, out)
+    (inbox / "feb mar.csv").write_text("Post Date,Memo,Debit/Credit\n2024-02-01,Shop,-1.00\n")
+    assert plain(run(spark, str(inbox / "feb mar.csv"), RULES, out).select("Description", "Amount")) == [("Shop", -1.0)]
+    summary = json.loads(spark.read.text(f"{out}/payload/summary", wholetext=True).first()[0])
+    assert summary["total_expenses"] == 1.0
+    assert spark.read.parquet(f"{out}/transactions").count() == 5
+
+
 def test_rewriting_a_source_replaces_only_it(spark, inbox, tmp_path):
     (inbox / "feb.csv").write_text("Post Date,Memo,Debit/Credit\n2024-02-01,Shop,-1.00\n")
     target = str(tmp_path / "t")
