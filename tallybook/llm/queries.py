@@ -10,12 +10,75 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import quality
+from tallybook.llm import bpe, chat, mixing, quality, simhash, substrings, suffixes
 from tallybook.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffixes.deduplicate(read(spark, folder, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(read(spark, folder, "documents"), carry=["doc_id"])
+    decoded = coded.withColumn("_text", bpe.decoder(spark)("_ids"))
+    return decoded.select(
+        "_row.doc_id",
+        bpe.token_count("_ids").alias("n_tokens"),
+        F.sha2("_ids", 256).alias("ids_sha256"),
+        F.sha2("_text", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixing.mix(read(spark, folder, "documents"), carry=["doc_id"])
+    return taken.select(
+        "_row.doc_id",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_size") * F.col("_copies")).alias("taken"),
+    )
+
+
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    # A conversation whose texts look like the template's own marks.
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.sql(
+        f"SELECT -1L conv_id, turn, role, '{tricky}' text FROM VALUES (0L, 'user'), (1L, 'assistant') t(turn, role)"
+    )
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_paths(chat.chain(rows)).withColumn("turns", chat.read_turns(F.col("formatted")))
+    made = made.withColumn("under_mask", chat.loss_text(F.col("formatted"), F.col("loss")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("under_mask").cast("long").alias("loss_chars"),
+        F.sha2("under_mask", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.deduplicate(read(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents"), width=4, max_bits=4, carry=["doc_id"])
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(read(spark, folder, "documents"), carry=["doc_id"])
     return judged.select(
@@ -24,7 +87,34 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_bpe": op2_bpe,
+    "op4_mix_sources": op4_mix_sources,
+    "op5_chat_format": op5_chat_format,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+_OP5_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT
+    conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(
+        length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))
+        + len(regexp_extract_all(text, '<\\*\|'))
+        + len(regexp_extract_all(replace(replace(role, '\', '\s'), chr(10), '\n'), '<\\*\|'))
+        + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, chr(10), ''))
+    ) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op5_chat_format": _OP5_SQL}
