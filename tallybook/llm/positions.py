@@ -87,23 +87,20 @@ def rolling(values: np.ndarray, width: int, multiplier: np.uint64) -> np.ndarray
 
     Arithmetic is modulo 2 ** 64, as numpy's unsigned numbers wrap round.
     """
-    if len(values) < width:
+    n = len(values) - width + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    power, size = multiplier, 1
     doubled = values.astype(np.uint64)
-    total: np.ndarray | None = None
-    done, scale = 0, np.uint64(1)
-    rest = width
-    while rest:
-        if rest & 1:
-            part = doubled[done : len(doubled)]
-            n = len(values) - width + 1
-            total = part[:n] * scale if total is None else total + part[:n] * scale
-            done, scale = done + size, scale * power
-        rest >>= 1
-        if rest:
-            doubled = doubled[:-size] + doubled[size:] * power
-            power, size = power * power, size * 2
+    total = np.zeros(n, np.uint64)
+    done, size, scale, power = 0, 1, np.uint64(1), multiplier
+    with np.errstate(over="ignore"):
+        while done < width:
+            if width & size:
+                total += doubled[done : done + n] * scale
+                done, scale = done + size, scale * power
+            if done < width:
+                doubled = doubled[:-size] + doubled[size:] * power
+                size, power = size * 2, power * power
     mixed = total ^ (total >> np.uint64(31))
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     return mixed ^ (mixed >> np.uint64(29))
