@@ -25,6 +25,8 @@ Empty table: empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +79,10 @@ def _same(a: str, b: str, left: str = "node", right: str = "node") -> Column:
 def doubled(nodes: DataFrame) -> list[DataFrame]:
     """Tables of (conv, node, jump, depth, total); the k-th jumps over 2 ** k messages.
 
-    ``depth`` and ``total`` cover the messages jumped over, the last table's
-    the whole path. Stops when no jump is left, or when further ones can only
-    run in circles.
+    ``depth`` and ``total`` cover the messages jumped over. A message whose
+    jump is null has arrived, with the figures of its whole path, and takes no
+    part in later tables; so only long paths cost further rounds. Stops when
+    all have arrived, or when jumps can only run in circles.
     """
     now = (
         nodes.alias("n")
@@ -89,11 +92,11 @@ def doubled(nodes: DataFrame) -> list[DataFrame]:
     tables = [stored(now)]
     longest = tables[0].groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     while 1 << (len(tables) - 1) <= longest and not tables[-1].filter("jump is not null").isEmpty():
-        now = tables[-1]
+        going = tables[-1].filter("jump is not null")
         tables.append(
             stored(
-                now.alias("n")
-                .join(now.alias("p"), _same("n", "p", "jump"), "left")
+                going.alias("n")
+                .join(arrived(tables).unionByName(going).alias("p"), _same("n", "p", "jump"), "left")
                 .select(
                     "n.conv",
                     "n.node",
@@ -106,19 +109,21 @@ def doubled(nodes: DataFrame) -> list[DataFrame]:
     return tables
 
 
+def arrived(tables: list[DataFrame]) -> DataFrame:
+    """Messages with depth and score of their whole path."""
+    return reduce(DataFrame.unionByName, [t.filter("jump is null") for t in tables])
+
+
 def best_paths(nodes: DataFrame, branches: int) -> DataFrame:
     """(conv, leaf, rank, node, back) for the best ``branches`` leaves; ``back`` counts up from the leaf."""
     tables = doubled(nodes)
-    leaves = (
-        tables[-1]
-        .filter("jump is null")
-        .alias("n")
-        .join(tables[0].filter("jump is not null").select("conv", "jump").alias("c"), _same("n", "c", right="jump"), "left_anti")
-    )
+    parents = tables[0].filter("jump is not null").select("conv", "jump").distinct()
+    leaves = arrived(tables).alias("n").join(parents.alias("c"), _same("n", "c", right="jump"), "left_anti")
     order = Window.partitionBy("conv").orderBy(F.desc("total"), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches)
     on_path = chosen.select("conv", F.col("node").alias("leaf"), "rank", "node", F.lit(0).alias("back"))
-    for k, table in enumerate(tables[:-1]):
+    # The longest jumps first: the table of paths then doubles with the last steps only.
+    for k, table in reversed(list(enumerate(tables))):
         step = (
             on_path.alias("n")
             .join(table.filter("jump is not null").alias("p"), _same("n", "p"))
