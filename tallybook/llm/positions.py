@@ -6,10 +6,10 @@ few packed bytes (rolling fingerprint, place in its text); positions are dealt
 to buckets by fingerprint, and each bucket is sorted by itself. Answers return
 packed, dealt to the group of their text.
 
-Bounds. Texts are taken in chunks of a few megabytes, a longer text by itself.
-A chunk sends one representative for windows that it holds several times, so
-that a bucket gets from a common passage one entry per chunk, not per copy.
-Numbers of buckets and groups follow the bytes of input.
+Bounds. Rows are dealt to homes of a few megabytes of text by a hash of the row;
+a longer text is taken whole. A home sends one representative for windows that
+it holds several times, so that a bucket gets from a common passage one entry
+per home, not per copy. Numbers of buckets and homes follow the bytes of input.
 """
 
 from __future__ import annotations
@@ -24,17 +24,19 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import quoted, text_or_empty
 
-CHUNK_BYTES = 4 << 20
 GROUP_BYTES = 4 << 20
 # Ids order as they are; a null id comes after all others.
 LAST = (1 << 63) - 1
 MESSAGE = "bucket int, home int, packed binary"
 ANSWER = "home int, packed binary"
+# What is sent of fingerprints: 48 bits where a false match costs work only, else 64 and 32.
+ONE_PRINT = np.uint64((1 << 48) - 1)
+TWO_PRINTS = (np.uint64((1 << 64) - 1), np.uint64((1 << 32) - 1))
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, groups: int) -> DataFrame:
-    """(home, id, key, text): ``key`` tells rows of different id or text apart, ``home`` is its group."""
+    """(home, id, key, text, doc_id): ``key`` tells rows of different id or text apart, ``home`` is its group."""
     key = F.xxhash64(quoted(doc_id), text_or_empty(text))
     return docs.select(
         F.pmod(key, F.lit(groups)).cast("int").alias("home"),
@@ -47,39 +49,27 @@ def keyed(docs: DataFrame, doc_id: str, text: str, groups: int) -> DataFrame:
 
 @dataclass
 class Chunk:
-    """Texts of some rows in one array, a space after each."""
+    """The different rows of a home, ordered by key, their texts in one array with a space after each."""
 
-    ids: np.ndarray
+    home: int
     keys: np.ndarray
+    ids: np.ndarray
     data: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
 
     @classmethod
-    def of(cls, ids: Sequence[int], keys: Sequence[int], texts: Sequence[bytes]) -> Chunk:
+    def of(cls, rows: pd.DataFrame) -> Chunk:
+        keys, first = np.unique(rows["key"].to_numpy(), return_index=True)
+        texts = [rows["text"].iat[i].encode() for i in first.tolist()]
         lengths = np.array([len(t) for t in texts], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if len(texts) else lengths
+        starts = np.cumsum(lengths + 1) - lengths - 1
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        return cls(np.array(ids, np.int64), np.array(keys, np.int64), data, starts, lengths)
-
-
-def chunks(frames: Iterator[pd.DataFrame], limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    ids: list[int] = []
-    keys: list[int] = []
-    texts: list[bytes] = []
-    held = 0
-    for frame in frames:
-        for i, k, t in zip(frame["id"], frame["key"], frame["text"], strict=True):
-            raw = t.encode()
-            if texts and held + len(raw) > limit:
-                yield Chunk.of(ids, keys, texts)
-                ids, keys, texts, held = [], [], [], 0
-            ids.append(i)
-            keys.append(k)
-            texts.append(raw)
-            held += len(raw)
-    if texts:
-        yield Chunk.of(ids, keys, texts)
+        return cls(int(rows["home"].iat[0]), keys, rows["id"].to_numpy()[first], data, starts, lengths)
+
+    def entries(self, row: np.ndarray, place: np.ndarray, prints: list[np.ndarray], flag: np.ndarray) -> Entries:
+        n = len(self.keys)
+        return Entries(np.full(n, self.home), np.arange(n), self.ids, row, place, prints, flag)
 
 
 def rolling(values: np.ndarray, width: int, multiplier: np.uint64) -> np.ndarray:
@@ -113,34 +103,40 @@ def _planes(values: np.ndarray) -> bytes:
 
 @dataclass
 class Entries:
-    """Positions ``pos`` of rows ``doc`` (numbers into ``ids`` and ``keys``), sorted by row and position."""
+    """Positions ``pos`` of rows ``doc``, sorted by row and position.
+
+    A row is known by its ``home`` and its rank among the keys there.
+    """
 
+    homes: np.ndarray
+    ranks: np.ndarray
     ids: np.ndarray
-    keys: np.ndarray
     doc: np.ndarray
     pos: np.ndarray
     prints: list[np.ndarray]
     flag: np.ndarray
 
     def pick(self, at: np.ndarray) -> Entries:
-        return Entries(self.ids, self.keys, self.doc[at], self.pos[at], [p[at] for p in self.prints], self.flag[at])
+        prints = [p[at] for p in self.prints]
+        return Entries(self.homes, self.ranks, self.ids, self.doc[at], self.pos[at], prints, self.flag[at])
 
     def pack(self) -> bytes:
+        """All entries as bytes; they are of one home."""
         used, first, counts = np.unique(self.doc, return_index=True, return_counts=True)
         step = np.diff(self.pos, prepend=0)
         step[first] = self.pos[first]
-        head = np.array([len(used), len(self.pos), len(self.prints)], np.int64).tobytes()
-        docs = _planes(self.ids[used]) + self.keys[used].tobytes() + _planes(counts.astype(np.uint32))
-        return head + docs + _planes(step.astype(np.uint32)) + self.flag.tobytes() + b"".join(map(_planes, self.prints))
+        head = np.array([self.homes[used[0]], len(used), len(self.pos), len(self.prints)], np.int64).tobytes()
+        docs = [np.diff(self.ranks[used], prepend=0).astype(np.uint32), self.ids[used], counts.astype(np.uint32)]
+        return head + b"".join(map(_planes, [*docs, step.astype(np.uint32), self.flag, *self.prints]))
 
     @classmethod
     def unpack(cls, packed: Sequence[bytes]) -> Entries:
         """All entries of several packs, in their order; a row may occur in more than one."""
-        ids, keys, docs, poss, flags, prints = [], [], [], [], [], []
+        homes, ranks, ids, docs, poss, flags, prints = [], [], [], [], [], [], []
         base = 0
         for raw in packed:
-            n_docs, n, n_prints = np.frombuffer(raw, np.int64, 3).tolist()
-            at = 24
+            home, n_docs, n, n_prints = np.frombuffer(raw, np.int64, 4).tolist()
+            at = 32
 
             def take(count: int, kind: type, raw: bytes = raw) -> np.ndarray:
                 nonlocal at
@@ -149,21 +145,20 @@ class Entries:
                 at += count * size
                 return np.ascontiguousarray(plane).view(kind).ravel()
 
+            homes.append(np.full(n_docs, home))
+            ranks.append(np.cumsum(take(n_docs, np.uint32).astype(np.int64)))
             ids.append(take(n_docs, np.int64))
-            keys.append(np.frombuffer(raw, np.int64, n_docs, at))
-            at += 8 * n_docs
             counts = take(n_docs, np.uint32).astype(np.int64)
-            step = take(n, np.uint32).astype(np.int64)
+            run = np.cumsum(take(n, np.uint32).astype(np.int64))
             flags.append(take(n, np.bool_))
             prints.append([take(n, np.uint64) for _ in range(n_prints)])
-            ends = np.cumsum(counts)
-            run = np.cumsum(step)
-            before = np.concatenate([[0], run[ends[:-1] - 1]]) if n_docs else run
+            before = np.concatenate([[0], run[np.cumsum(counts)[:-1] - 1]])
             poss.append(run - np.repeat(before, counts))
             docs.append(np.repeat(np.arange(n_docs), counts) + base)
             base += n_docs
         cat = np.concatenate
-        return cls(cat(ids), cat(keys), cat(docs), cat(poss), [cat(p) for p in zip(*prints, strict=True)], cat(flags))
+        columns = [cat(x) for x in (homes, ranks, ids, docs, poss)]
+        return cls(*columns, [cat(p) for p in zip(*prints, strict=True)], cat(flags))
 
 
 def runs(entries: Entries) -> tuple[np.ndarray, np.ndarray]:
@@ -192,61 +187,76 @@ def _by(where: np.ndarray, entries: Entries) -> Iterator[tuple[int, bytes]]:
         yield w, entries.pick(part).pack()
 
 
-def answers(entries: Entries, chosen: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+def answers(entries: Entries, chosen: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(home, pack) for the chosen entries, without fingerprints."""
-    if chosen.any():
-        at = np.flatnonzero(chosen)
-        at = at[np.lexsort((entries.pos[at], entries.doc[at]))]
-        told = Entries(entries.ids, entries.keys, entries.doc[at], entries.pos[at], [], entries.flag[at])
-        yield from _by(told.keys[told.doc] % groups, told)
+    at = np.flatnonzero(chosen)
+    if len(at):
+        at = at[np.lexsort((entries.pos[at], entries.ranks[entries.doc[at]]))]
+        # A row that several packs named becomes one.
+        rows, doc = np.unique(
+            np.stack([entries.homes[entries.doc[at]], entries.ranks[entries.doc[at]]]), axis=1, return_inverse=True
+        )
+        told = Entries(rows[0], rows[1], np.zeros(rows.shape[1], np.int64), doc.ravel(), entries.pos[at], [], entries.flag[at])
+        yield from _by(rows[0][told.doc], told)
 
 
 def messages(
-    entries: Entries, judge: Callable[[Entries], tuple[np.ndarray, np.ndarray]], buckets: int, groups: int
-) -> Iterator[pd.DataFrame]:
-    """What a chunk sends: entries still open, by bucket, and what is settled within the chunk, by home.
+    entries: Entries, judge: Callable[[Entries], tuple[np.ndarray, np.ndarray]], buckets: int
+) -> pd.DataFrame:
+    """What a home sends: entries still open, by bucket, and what is settled within the home, to itself.
 
     ``judge`` returns which entries are settled (answered yes), and which of all still have to be sent.
     """
-    if not len(entries.pos):
-        return
-    settled, send = judge(entries)
-    rows = [(h % buckets, h, p) for h, p in answers(entries, settled, groups)]
-    if send.any():
-        left = entries.pick(np.flatnonzero(send))
-        bucket = ((left.prints[0] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-        rows += [(b, -1, p) for b, p in _by(bucket, left)]
-    if rows:
-        yield pd.DataFrame(rows, columns=["bucket", "home", "packed"])
+    rows: list[tuple[int, int, bytes]] = []
+    if len(entries.pos):
+        settled, send = judge(entries)
+        rows = [(h % buckets, h, p) for h, p in answers(entries, settled)]
+        if send.any():
+            left = entries.pick(np.flatnonzero(send))
+            bucket = ((left.prints[0] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            masks = TWO_PRINTS if len(left.prints) == 2 else (ONE_PRINT,)
+            left.prints = [p & m for p, m in zip(left.prints, masks, strict=True)]
+            rows += [(b, -1, p) for b, p in _by(bucket, left)]
+    return pd.DataFrame(rows, columns=["bucket", "home", "packed"])
+
+
+def nothing() -> pd.DataFrame:
+    return pd.DataFrame({"bucket": [], "home": [], "packed": []})
 
 
-def settle(sent: DataFrame, judge: Callable[[Entries], tuple[np.ndarray, np.ndarray]], groups: int) -> DataFrame:
-    """The answers of each bucket, sorted by itself, and those that chunks had settled."""
+def settle(sent: DataFrame, judge: Callable[[Entries], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The answers of each bucket, sorted by itself, and those that homes had settled."""
 
     def bucket(frame: pd.DataFrame) -> pd.DataFrame:
         told = frame["home"] >= 0
         rows = list(zip(frame["home"][told], frame["packed"][told], strict=True))
         if (~told).any():
             entries = Entries.unpack(frame["packed"][~told].tolist())
-            rows += list(answers(entries, judge(entries)[0], groups))
+            rows += list(answers(entries, judge(entries)[0]))
         return pd.DataFrame(rows, columns=["home", "packed"])
 
     return sent.groupBy("bucket").applyInPandas(bucket, ANSWER)
 
 
-def found_by_row(frame: pd.DataFrame, keys: Sequence[int]) -> list[np.ndarray]:
-    """For each row key the positions that the answers name, sorted, each once."""
-    if not len(frame):
-        return [np.empty(0, np.int64)] * len(keys)
-    told = Entries.unpack(frame["packed"].tolist())
-    of = told.keys[told.doc]
-    order = np.lexsort((told.pos, of))
-    of, pos = of[order], told.pos[order]
+def found_by_rank(told: pd.DataFrame, n: int) -> list[np.ndarray]:
+    """For each of the ``n`` rows of a home, by rank, the positions that the answers name, sorted, each once."""
+    if not len(told):
+        return [np.empty(0, np.int64)] * n
+    entries = Entries.unpack(told["packed"].tolist())
+    of = entries.ranks[entries.doc]
+    order = np.lexsort((entries.pos, of))
+    of, pos = of[order], entries.pos[order]
     once = np.append(True, (np.diff(of) != 0) | (np.diff(pos) != 0))
     of, pos = of[once], pos[once]
-    wanted = np.array(keys, np.int64)
-    low, high = np.searchsorted(of, wanted), np.searchsorted(of, wanted, side="right")
-    return [pos[a:b] for a, b in zip(low, high, strict=True)]
+    cut = np.searchsorted(of, np.arange(n + 1))
+    return [pos[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def found_by_row(rows: pd.DataFrame, told: pd.DataFrame) -> list[np.ndarray]:
+    """As ``found_by_rank``, for each row of a home in its order."""
+    keys, rank = np.unique(rows["key"].to_numpy(), return_inverse=True)
+    found = found_by_rank(told, len(keys))
+    return [found[r] for r in rank.tolist()]
 
 
 def covered(starts: np.ndarray, before: int, after: int, length: int) -> np.ndarray:

@@ -4,15 +4,15 @@ A window of ``window`` words is repeated if the same words also start in a row
 of smaller id. Every row is cut into non-overlapping blocks of half a window,
 so a repeated window holds a whole block of the earlier row. Those blocks are
 the index; each row probes it with all its rolling windows of block length.
-Around hits, on both sides, all windows are fingerprinted with 128 bits, and
+Around hits, on both sides, all windows are fingerprinted with 96 bits, and
 the row of smallest id that holds a window keeps it: what overlapping repeated
 windows cover is a maximal exact repeat.
 
 Blocks are every half window among the rolling windows of the same pass, so
 index and probes travel in one packed shuffle, bucket by fingerprint. A common
-passage costs a bucket one entry per chunk of text, see ``positions``. Texts go
-through two more shuffles, dealt by a hash of the row; nothing is broadcast and
-no pair of rows is ever built.
+passage costs a bucket one entry per home of texts, see ``positions``. Texts are
+dealt by a hash of the row, once for each of three steps; nothing is broadcast
+and no pair of rows is ever built.
 
 Null text: no words. Texts shorter than a window: kept whole. Rows of equal id
 are no source for one another; null ids come after all others. Repeated rows
@@ -22,8 +22,6 @@ not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,7 +80,7 @@ def _in_two_rows(entries: P.Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _judge_blocks(local: bool):
-    """Hits: windows found in two ids, one of them a block; within a chunk any two ids will do."""
+    """Hits: windows found in two ids, one of them a block; within a home any two ids will do."""
 
     def judge(entries: P.Entries) -> tuple[np.ndarray, np.ndarray]:
         order, cut, two = _in_two_rows(entries)
@@ -112,45 +110,36 @@ def _judge_repeats(entries: P.Entries) -> tuple[np.ndarray, np.ndarray]:
     return later, ~later
 
 
-def _chunk_of(frame: pd.DataFrame) -> P.Chunk:
-    return P.Chunk.of(frame["id"].tolist(), frame["key"].tolist(), [t.encode() for t in frame["text"]])
-
-
 def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -> tuple[DataFrame, DataFrame]:
     """The keyed rows, and the packed word positions at which repeated windows start."""
     block = window // 2
-    # Eight packed bytes a word are about as much as the text.
-    buckets = groups * 2
     rows = P.keyed(docs, doc_id, text, groups)
+    homes = rows.select("home", "id", "key", "text").groupBy("home")
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in P.chunks(frames):
-            row, place, prints = _windows(chunk, block, 1)
-            entries = P.Entries(chunk.ids, chunk.keys, row, place, prints, place % block == 0)
-            yield from P.messages(entries, _judge_blocks(local=True), buckets, groups)
+    def probe(rows: pd.DataFrame) -> pd.DataFrame:
+        chunk = P.Chunk.of(rows)
+        row, place, prints = _windows(chunk, block, 1)
+        return P.messages(chunk.entries(row, place, prints, place % block == 0), _judge_blocks(local=True), groups)
 
-    hits = stored(P.settle(rows.select("id", "key", "text").mapInPandas(probe, P.MESSAGE), _judge_blocks(False), groups))
+    hits = stored(P.settle(homes.applyInPandas(probe, P.MESSAGE), _judge_blocks(local=False)))
     release(docs.sparkSession)
 
     def extend(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(told):
-            chunk = _chunk_of(rows)
-            row, place, prints = _windows(chunk, window, 2)
-            near = np.zeros(len(row), bool)
-            for i, starts in enumerate(P.found_by_row(told, chunk.keys)):
-                a, b = np.searchsorted(row, i), np.searchsorted(row, i, side="right")
-                if len(starts) and b > a:
-                    near[a:b] = P.covered(starts, window - block, 1, int(b - a))
-            at = np.flatnonzero(near)
-            entries = P.Entries(
-                chunk.ids, chunk.keys, row[at], place[at], [p[at] for p in prints], np.zeros(len(at), bool)
-            )
-            out = list(P.messages(entries, _judge_repeats, buckets, groups))
-        return out[0] if out else pd.DataFrame({"bucket": [], "home": [], "packed": []})
-
-    near = rows.select("home", "id", "key", "text").groupBy("home").cogroup(hits.groupBy("home"))
-    found = stored(P.settle(near.applyInPandas(extend, P.MESSAGE), _judge_repeats, groups))
+        if not len(told):
+            return P.nothing()
+        chunk = P.Chunk.of(rows)
+        row, place, prints = _windows(chunk, window, 2)
+        near = np.zeros(len(row), bool)
+        cut = np.searchsorted(row, np.arange(len(chunk.keys) + 1))
+        for a, b, starts in zip(cut[:-1], cut[1:], P.found_by_rank(told, len(chunk.keys)), strict=True):
+            if len(starts) and b > a:
+                near[a:b] = P.covered(starts, window - block, 1, int(b - a))
+        at = np.flatnonzero(near)
+        entries = chunk.entries(row[at], place[at], [p[at] for p in prints], np.zeros(len(at), bool))
+        return P.messages(entries, _judge_repeats, groups)
+
+    near = homes.cogroup(hits.groupBy("home")).applyInPandas(extend, P.MESSAGE)
+    found = stored(P.settle(near, _judge_repeats))
     release(docs.sparkSession)
     return rows, found
 
@@ -167,7 +156,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     def cut(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         n_words, n_removed, spans, kept = [], [], [], []
-        for t, starts in zip(rows["text"], P.found_by_row(told, rows["key"].tolist()), strict=True):
+        for t, starts in zip(rows["text"], P.found_by_row(rows, told), strict=True):
             words = t.encode().split()
             gone = P.covered(starts, 0, window, len(words))
             n_words.append(len(words))

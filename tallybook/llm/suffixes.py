@@ -16,11 +16,11 @@ the window that starts with it.
   decide which suffix comes first.
 
 Keys are compared by fingerprint (64 bits for samples, where a false tie costs
-work only, 128 bits for suffixes), not letter by letter: an order of
+work only, 96 bits for suffixes), not letter by letter: an order of
 fingerprints puts equal strings side by side as an order of letters does, and
-lets a suffix travel in a few bytes. Memory: a chunk, a bucket or a group of
-texts, see ``positions``; none grows with the table. A common passage costs a
-bucket one entry per chunk.
+lets a suffix travel in a few bytes. Memory: a bucket or a home of texts, see
+``positions``; neither grows with the table. A common passage costs a bucket one
+entry per home.
 
 Null text: no bytes. Rows of equal id are told apart by position only; null
 ids come after all others. Repeated rows are all returned, judged alike. Texts
@@ -30,8 +30,6 @@ not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,34 +81,33 @@ def _judge_later(entries: P.Entries) -> tuple[np.ndarray, np.ndarray]:
 def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -> tuple[DataFrame, DataFrame]:
     """The keyed rows, and the packed byte positions of suffixes whose window also starts earlier."""
     reach = PERIOD - 1
-    buckets = groups * 2
     rows = P.keyed(docs, doc_id, text, groups)
+    homes = rows.select("home", "id", "key", "text").groupBy("home")
 
-    def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in P.chunks(frames):
-            row, place, prints = _windows(chunk, window - reach, True, 1)
-            entries = P.Entries(chunk.ids, chunk.keys, row, place, prints, np.zeros(len(row), bool))
-            yield from P.messages(entries, _judge_ties, buckets, groups)
+    def sample(rows: pd.DataFrame) -> pd.DataFrame:
+        chunk = P.Chunk.of(rows)
+        row, place, prints = _windows(chunk, window - reach, True, 1)
+        return P.messages(chunk.entries(row, place, prints, np.zeros(len(row), bool)), _judge_ties, groups)
 
-    tied = stored(P.settle(rows.select("id", "key", "text").mapInPandas(sample, P.MESSAGE), _judge_ties, groups))
+    tied = stored(P.settle(homes.applyInPandas(sample, P.MESSAGE), _judge_ties))
     release(docs.sparkSession)
 
     def suffixes(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(told):
-            chunk = P.Chunk.of(rows["id"].tolist(), rows["key"].tolist(), [t.encode() for t in rows["text"]])
-            near = np.zeros(len(chunk.data), bool)
-            for start, n, at in zip(chunk.starts.tolist(), chunk.lengths.tolist(), P.found_by_row(told, chunk.keys), strict=True):
-                if len(at):
-                    near[start : start + n] = P.covered(at, reach, 1, n)
-            row, place, prints = _windows(chunk, window, False, 2)
-            at = np.flatnonzero(near[chunk.starts[row] + place])
-            entries = P.Entries(chunk.ids, chunk.keys, row[at], place[at], [p[at] for p in prints], np.zeros(len(at), bool))
-            out = list(P.messages(entries, _judge_later, buckets, groups))
-        return out[0] if out else pd.DataFrame({"bucket": [], "home": [], "packed": []})
-
-    near = rows.select("home", "id", "key", "text").groupBy("home").cogroup(tied.groupBy("home"))
-    found = stored(P.settle(near.applyInPandas(suffixes, P.MESSAGE), _judge_later, groups))
+        if not len(told):
+            return P.nothing()
+        chunk = P.Chunk.of(rows)
+        near = np.zeros(len(chunk.data), bool)
+        found = P.found_by_rank(told, len(chunk.keys))
+        for start, n, at in zip(chunk.starts.tolist(), chunk.lengths.tolist(), found, strict=True):
+            if len(at):
+                near[start : start + n] = P.covered(at, reach, 1, n)
+        row, place, prints = _windows(chunk, window, False, 2)
+        at = np.flatnonzero(near[chunk.starts[row] + place])
+        entries = chunk.entries(row[at], place[at], [p[at] for p in prints], np.zeros(len(at), bool))
+        return P.messages(entries, _judge_later, groups)
+
+    near = homes.cogroup(tied.groupBy("home")).applyInPandas(suffixes, P.MESSAGE)
+    found = stored(P.settle(near, _judge_later))
     release(docs.sparkSession)
     return rows, found
 
@@ -127,7 +124,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     def cut(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         n_bytes, n_removed, spans, kept = [], [], [], []
-        for t, starts in zip(rows["text"], P.found_by_row(told, rows["key"].tolist()), strict=True):
+        for t, starts in zip(rows["text"], P.found_by_row(rows, told), strict=True):
             raw = t.encode()
             gone = P.covered(starts, 0, window, len(raw))
             n_bytes.append(len(raw))

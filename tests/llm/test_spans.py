@@ -80,7 +80,7 @@ def spark_docs(spark, docs, tmp_path):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_bytes_on_random_corpora(spark, tmp_path, seed, monkeypatch):
+def test_bytes_on_random_corpora(spark, tmp_path, seed):
     docs = corpus(seed)
     got = op1_suffix_dedup(spark, spark_docs(spark, docs, tmp_path)).collect()
     assert digest(got, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == expected(docs, brute_bytes(docs))
