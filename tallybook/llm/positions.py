@@ -29,9 +29,9 @@ GROUP_BYTES = 4 << 20
 LAST = (1 << 63) - 1
 MESSAGE = "bucket int, home int, packed binary"
 ANSWER = "home int, packed binary"
-# What is sent of fingerprints: 48 bits where a false match costs work only, else 64 and 32.
+# What is sent of fingerprints: 48 bits where a false match costs work only, else 104 in two.
 ONE_PRINT = np.uint64((1 << 48) - 1)
-TWO_PRINTS = (np.uint64((1 << 64) - 1), np.uint64((1 << 32) - 1))
+TWO_PRINTS = (np.uint64((1 << 48) - 1), np.uint64((1 << 56) - 1))
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -49,7 +49,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str, groups: int) -> DataFrame:
 
 @dataclass
 class Chunk:
-    """The different rows of a home, ordered by key, their texts in one array with a space after each."""
+    """The different rows of a home, ordered by key, their texts in one array with ``gap`` around each."""
 
     home: int
     keys: np.ndarray
@@ -59,12 +59,12 @@ class Chunk:
     lengths: np.ndarray
 
     @classmethod
-    def of(cls, rows: pd.DataFrame) -> Chunk:
+    def of(cls, rows: pd.DataFrame, gap: bytes = b" ") -> Chunk:
         keys, first = np.unique(rows["key"].to_numpy(), return_index=True)
         texts = [rows["text"].iat[i].encode() for i in first.tolist()]
         lengths = np.array([len(t) for t in texts], np.int64)
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        starts = np.cumsum(lengths + len(gap)) - lengths
+        data = np.frombuffer(gap.join([b"", *texts, b""]), np.uint8)
         return cls(int(rows["home"].iat[0]), keys, rows["id"].to_numpy()[first], data, starts, lengths)
 
     def entries(self, row: np.ndarray, place: np.ndarray, prints: list[np.ndarray], flag: np.ndarray) -> Entries:
@@ -238,24 +238,29 @@ def settle(sent: DataFrame, judge: Callable[[Entries], tuple[np.ndarray, np.ndar
     return sent.groupBy("bucket").applyInPandas(bucket, ANSWER)
 
 
-def found_by_rank(told: pd.DataFrame, n: int) -> list[np.ndarray]:
-    """For each of the ``n`` rows of a home, by rank, the positions that the answers name, sorted, each once."""
+def found_by_rank(told: pd.DataFrame, n: int, flag: bool | None = None) -> list[np.ndarray]:
+    """For each of the ``n`` rows of a home, by rank, the positions that the answers (of this flag) name.
+
+    They are sorted, and each named once.
+    """
     if not len(told):
         return [np.empty(0, np.int64)] * n
     entries = Entries.unpack(told["packed"].tolist())
+    if flag is not None:
+        entries = entries.pick(np.flatnonzero(entries.flag == flag))
     of = entries.ranks[entries.doc]
     order = np.lexsort((entries.pos, of))
     of, pos = of[order], entries.pos[order]
-    once = np.append(True, (np.diff(of) != 0) | (np.diff(pos) != 0))
+    once = np.append(True, (np.diff(of) != 0) | (np.diff(pos) != 0))[: len(of)]
     of, pos = of[once], pos[once]
     cut = np.searchsorted(of, np.arange(n + 1))
     return [pos[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def found_by_row(rows: pd.DataFrame, told: pd.DataFrame) -> list[np.ndarray]:
+def found_by_row(rows: pd.DataFrame, told: pd.DataFrame, flag: bool | None = None) -> list[np.ndarray]:
     """As ``found_by_rank``, for each row of a home in its order."""
     keys, rank = np.unique(rows["key"].to_numpy(), return_inverse=True)
-    found = found_by_rank(told, len(keys))
+    found = found_by_rank(told, len(keys), flag)
     return [found[r] for r in rank.tolist()]
 
 

@@ -4,7 +4,7 @@ A window of ``window`` words is repeated if the same words also start in a row
 of smaller id. Every row is cut into non-overlapping blocks of half a window,
 so a repeated window holds a whole block of the earlier row. Those blocks are
 the index; each row probes it with all its rolling windows of block length.
-Around hits, on both sides, all windows are fingerprinted with 96 bits, and
+Around hits, on both sides, all windows are fingerprinted with 104 bits, and
 the row of smallest id that holds a window keeps it: what overlapping repeated
 windows cover is a maximal exact repeat.
 

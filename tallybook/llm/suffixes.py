@@ -10,13 +10,16 @@ the window that starts with it.
   are sampled, so equal windows share a sampled pair of equal keys of
   window - 56 bytes. All samples are sorted, one bucket at a time, and those of
   equal key are tied.
-* Suffixes. Only suffixes within reach of a tied sample can be tied themselves;
-  the others are settled by the sample. What remains is dealt to suffix
-  buckets and sorted one bucket at a time; within a tie, row and position
-  decide which suffix comes first.
-
-Keys are compared by fingerprint (64 bits for samples, where a false tie costs
-work only, 96 bits for suffixes), not letter by letter: an order of
+* Contexts. Around a tied sample, all windows that reach it lie in its context,
+  from 56 bytes before it to a window's length behind. Where contexts are equal
+  too, all those windows are settled at once: they belong to the first. Samples
+  whose key comes with one context only need nothing further.
+* Suffixes. What is left, next to places where repeats begin and end, is dealt
+  to suffix buckets and sorted one bucket at a time; within a tie, row and
+  position decide which suffix comes first.
+
+Keys are compared by fingerprint (48 bits for samples, where a false tie costs
+work only, 104 bits for suffixes), not letter by letter: an order of
 fingerprints puts equal strings side by side as an order of letters does, and
 lets a suffix travel in a few bytes. Memory: a bucket or a home of texts, see
 ``positions``; neither grows with the table. A common passage costs a bucket one
@@ -33,6 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallybook.llm import positions as P
 from tallybook.llm.common import groups_for, release, text_bytes
@@ -44,17 +48,25 @@ PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 
 
-def _windows(chunk: P.Chunk, width: int, sampled: bool, seeds: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Row and position of each (sampled) window of ``width`` bytes within a row, and its fingerprints."""
-    row = np.repeat(np.arange(len(chunk.starts)), chunk.lengths + 1)
-    place = np.arange(len(chunk.data)) - chunk.starts[row]
+# No byte of UTF-8; a window's length of it before and after each text keeps contexts apart from other texts.
+GAP = b"\xff"
+
+
+def _windows(chunk: P.Chunk, width: int, sampled: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and position of each (sampled) window of ``width`` bytes within a row."""
+    row = np.repeat(np.arange(len(chunk.starts)), chunk.lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(chunk.lengths) - chunk.lengths, chunk.lengths)
     whole = place + width <= chunk.lengths[row]
     if sampled:
         in_cover = np.zeros(PERIOD, bool)
         in_cover[list(COVER)] = True
         whole &= in_cover[place % PERIOD]
-    at = np.flatnonzero(whole)
-    return row[at], place[at], [P.rolling(chunk.data, width, m)[at] if len(at) else np.empty(0, np.uint64) for m in P.MULTIPLIERS[:seeds]]
+    return row[whole], place[whole]
+
+
+def _prints(chunk: P.Chunk, row: np.ndarray, first: np.ndarray, width: int, multiplier: int) -> np.ndarray:
+    """Fingerprints of the ``width`` bytes from ``first`` on, which may lie in the gap around the row."""
+    return P.rolling(chunk.data, width, P.MULTIPLIERS[multiplier])[chunk.starts[row] + first]
 
 
 def _judge_ties(entries: P.Entries) -> tuple[np.ndarray, np.ndarray]:
@@ -78,38 +90,68 @@ def _judge_later(entries: P.Entries) -> tuple[np.ndarray, np.ndarray]:
     return later, ~later
 
 
+def _judge_contexts(entries: P.Entries) -> tuple[np.ndarray, np.ndarray]:
+    """Later ones of equal context, and, flagged, those left of a key that has several contexts."""
+    later, left = _judge_later(entries)
+    keys = np.sort(entries.prints[0][left])
+    several = np.unique(keys[:-1][keys[1:] == keys[:-1]])
+    entries.flag[:] = left & np.isin(entries.prints[0], several)
+    return later | entries.flag, left
+
+
 def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -> tuple[DataFrame, DataFrame]:
-    """The keyed rows, and the packed byte positions of suffixes whose window also starts earlier."""
+    """The keyed rows, and packed byte positions with a ``kind``.
+
+    Kind 1 are suffixes whose window also starts earlier. An unflagged sample of
+    kind 0 stands for all the suffixes that reach it.
+    """
     reach = PERIOD - 1
     rows = P.keyed(docs, doc_id, text, groups)
     homes = rows.select("home", "id", "key", "text").groupBy("home")
 
     def sample(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk = P.Chunk.of(rows)
-        row, place, prints = _windows(chunk, window - reach, True, 1)
+        chunk = P.Chunk.of(rows, GAP * window)
+        row, place = _windows(chunk, window - reach, True)
+        prints = [_prints(chunk, row, place, window - reach, 0)]
         return P.messages(chunk.entries(row, place, prints, np.zeros(len(row), bool)), _judge_ties, groups)
 
     tied = stored(P.settle(homes.applyInPandas(sample, P.MESSAGE), _judge_ties))
     release(docs.sparkSession)
 
-    def suffixes(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    def contexts(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(told):
             return P.nothing()
-        chunk = P.Chunk.of(rows)
-        near = np.zeros(len(chunk.data), bool)
+        chunk = P.Chunk.of(rows, GAP * window)
         found = P.found_by_rank(told, len(chunk.keys))
-        for start, n, at in zip(chunk.starts.tolist(), chunk.lengths.tolist(), found, strict=True):
-            if len(at):
-                near[start : start + n] = P.covered(at, reach, 1, n)
-        row, place, prints = _windows(chunk, window, False, 2)
-        at = np.flatnonzero(near[chunk.starts[row] + place])
-        entries = chunk.entries(row[at], place[at], [p[at] for p in prints], np.zeros(len(at), bool))
+        row, place = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found)
+        prints = [
+            _prints(chunk, row, place, window - reach, 0),
+            _prints(chunk, row, place - reach, window + reach, 1),
+        ]
+        entries = chunk.entries(row, place, prints, np.zeros(len(row), bool))
         return P.messages(entries, _judge_later, groups)
 
-    near = homes.cogroup(tied.groupBy("home")).applyInPandas(suffixes, P.MESSAGE)
+    near = homes.cogroup(tied.groupBy("home")).applyInPandas(contexts, P.MESSAGE)
+    settled = stored(P.settle(near, _judge_contexts))
+    release(docs.sparkSession)
+
+    def suffixes(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(told):
+            return P.nothing()
+        chunk = P.Chunk.of(rows, GAP * window)
+        left = []
+        kinds = [P.found_by_rank(told, len(chunk.keys), flag) for flag in (False, True)]
+        for n, closed, open_ in zip(chunk.lengths.tolist(), *kinds, strict=True):
+            near = P.covered(open_, reach, 1, n) & ~P.covered(closed, reach, 1, n)
+            left.append(np.flatnonzero(near[: max(n - window + 1, 0)]))
+        row, place = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.concatenate(left)
+        prints = [_prints(chunk, row, place, window, m) for m in (0, 1)]
+        return P.messages(chunk.entries(row, place, prints, np.ones(len(row), bool)), _judge_later, groups)
+
+    near = homes.cogroup(settled.groupBy("home")).applyInPandas(suffixes, P.MESSAGE)
     found = stored(P.settle(near, _judge_later))
     release(docs.sparkSession)
-    return rows, found
+    return rows, settled.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -124,8 +166,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     def cut(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         n_bytes, n_removed, spans, kept = [], [], [], []
-        for t, starts in zip(rows["text"], P.found_by_row(rows, told), strict=True):
+        samples = P.found_by_row(rows, told[told["kind"] == 0], False)
+        suffixes = P.found_by_row(rows, told[told["kind"] == 1])
+        for t, closed, later in zip(rows["text"], samples, suffixes, strict=True):
             raw = t.encode()
+            repeated = P.covered(closed, PERIOD - 1, 1, len(raw))
+            repeated[later] = True
+            starts = np.flatnonzero(repeated[: max(len(raw) - window + 1, 0)])
             gone = P.covered(starts, 0, window, len(raw))
             n_bytes.append(len(raw))
             n_removed.append(int(gone.sum()))
