@@ -33,7 +33,7 @@ from tallybook.llm.common import WORD, boxed, quoted, text_or_empty
 from tallybook.operators.joins import lookup
 from tallybook.session import stored
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 SEED = 7
 
 
