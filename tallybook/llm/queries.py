@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, chat, mixing, quality, simhash, substrings, suffixes
+from tallybook.llm import bpe, chat, mixing, neighbours, quality, simhash, substrings, suffixes
 from tallybook.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(read(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.mix(read(spark, folder, "documents"), carry=["doc_id"])
     return taken.select(
@@ -89,6 +93,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
+    "op3_neighbours": op3_neighbours,
     "op4_mix_sources": op4_mix_sources,
     "op5_chat_format": op5_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
