@@ -14,6 +14,7 @@ per home, not per copy. Numbers of buckets and homes follow the bytes of input.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import quoted, text_or_empty
 
 GROUP_BYTES = 4 << 20
+BLOCK = 1 << 16
 # Ids order as they are; a null id comes after all others.
 LAST = (1 << 63) - 1
 MESSAGE = "bucket int, home int, packed binary"
@@ -72,28 +74,34 @@ class Chunk:
         return Entries(np.full(n, self.home), np.arange(n), self.ids, row, place, prints, flag)
 
 
-def rolling(values: np.ndarray, width: int, multiplier: np.uint64) -> np.ndarray:
-    """Fingerprint of the ``width`` values from each place on; windows double, then join.
+@functools.cache
+def _powers(multiplier: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n, multiplier, np.uint64)))
 
-    Arithmetic is modulo 2 ** 64, as numpy's unsigned numbers wrap round.
+
+def prints_at(values: np.ndarray, at: np.ndarray, width: int, multiplier: np.uint64) -> np.ndarray:
+    """Fingerprints of the ``width`` values from each place in ``at`` (ascending) on.
+
+    A window's polynomial is the difference of two running sums, brought to a
+    common power. Sums are taken block by block, so the space needed beside the
+    values is that of a block. Arithmetic is modulo 2 ** 64, as numpy's unsigned
+    numbers wrap round.
     """
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    doubled = values.astype(np.uint64)
-    total = np.zeros(n, np.uint64)
-    done, size, scale, power = 0, 1, np.uint64(1), multiplier
-    with np.errstate(over="ignore"):
-        while done < width:
-            if width & size:
-                total += doubled[done : done + n] * scale
-                done, scale = done + size, scale * power
-            if done < width:
-                doubled = doubled[:-size] + doubled[size:] * power
-                size, power = size * 2, power * power
-    mixed = total ^ (total >> np.uint64(31))
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ (mixed >> np.uint64(29))
+    power = _powers(int(multiplier), BLOCK + width)
+    out = np.empty(len(at), np.uint64)
+    i = 0
+    while i < len(at):
+        low = int(at[i])
+        j = int(np.searchsorted(at, low + BLOCK))
+        span = int(at[j - 1]) - low + width
+        sums = np.zeros(span + 1, np.uint64)
+        np.cumsum(values[low : low + span] * power[:span], out=sums[1:])
+        x = at[i:j] - low
+        out[i:j] = (sums[x + width] - sums[x]) * power[BLOCK + width - x]
+        i = j
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
 
 
 def _planes(values: np.ndarray) -> bytes:

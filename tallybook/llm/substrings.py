@@ -60,16 +60,15 @@ def word_hashes(data: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarr
 
 def _windows(chunk: P.Chunk, width: int, seeds: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Row and word position of each window of ``width`` words, with its fingerprints; and words per row."""
-    prints = []
-    for seed in P.MULTIPLIERS[:seeds]:
-        starts, hashes = word_hashes(chunk.data, seed)
-        prints.append(P.rolling(hashes, width, seed))
+    hashed = [word_hashes(chunk.data, seed) for seed in P.MULTIPLIERS[:seeds]]
+    starts = hashed[0][0]
     row = np.searchsorted(chunk.starts, starts, side="right") - 1
     counts = np.bincount(row, minlength=len(chunk.starts))
     place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    n = len(prints[0])
+    n = max(len(row) - width + 1, 0)
     whole = np.flatnonzero(row[:n] == row[width - 1 :]) if n else np.empty(0, np.int64)
-    return row[whole], place[whole], [p[whole] for p in prints]
+    prints = [P.prints_at(h, whole, width, m) for (_, h), m in zip(hashed, P.MULTIPLIERS, strict=False)]
+    return row[whole], place[whole], prints
 
 
 def _in_two_rows(entries: P.Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -52,21 +52,19 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 GAP = b"\xff"
 
 
-def _windows(chunk: P.Chunk, width: int, sampled: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row and position of each (sampled) window of ``width`` bytes within a row."""
-    row = np.repeat(np.arange(len(chunk.starts)), chunk.lengths)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(chunk.lengths) - chunk.lengths, chunk.lengths)
-    whole = place + width <= chunk.lengths[row]
-    if sampled:
-        in_cover = np.zeros(PERIOD, bool)
-        in_cover[list(COVER)] = True
-        whole &= in_cover[place % PERIOD]
-    return row[whole], place[whole]
+def _samples(chunk: P.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and position of each sampled window of ``width`` bytes within a row."""
+    places = []
+    longest = int(chunk.lengths.max(initial=0))
+    all_ = (np.arange(0, longest + 1, PERIOD)[:, None] + np.array(COVER)).ravel()
+    for n in chunk.lengths.tolist():
+        places.append(all_[: np.searchsorted(all_, n - width, side="right")])
+    return np.repeat(np.arange(len(places)), [len(x) for x in places]), np.concatenate(places)
 
 
 def _prints(chunk: P.Chunk, row: np.ndarray, first: np.ndarray, width: int, multiplier: int) -> np.ndarray:
     """Fingerprints of the ``width`` bytes from ``first`` on, which may lie in the gap around the row."""
-    return P.rolling(chunk.data, width, P.MULTIPLIERS[multiplier])[chunk.starts[row] + first]
+    return P.prints_at(chunk.data, chunk.starts[row] + first, width, P.MULTIPLIERS[multiplier])
 
 
 def _judge_ties(entries: P.Entries) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +109,7 @@ def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -
 
     def sample(rows: pd.DataFrame) -> pd.DataFrame:
         chunk = P.Chunk.of(rows, GAP * window)
-        row, place = _windows(chunk, window - reach, True)
+        row, place = _samples(chunk, window - reach)
         prints = [_prints(chunk, row, place, window - reach, 0)]
         return P.messages(chunk.entries(row, place, prints, np.zeros(len(row), bool)), _judge_ties, groups)
 

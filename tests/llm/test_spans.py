@@ -112,14 +112,20 @@ def test_cover_has_every_difference():
     assert {(a - b) % suffixes.PERIOD for a in c for b in c} == set(range(suffixes.PERIOD))
 
 
-def test_rolling_tells_windows_apart():
-    rng = np.random.default_rng(0)
-    values = rng.integers(0, 3, 3000)
+def test_prints_tell_windows_apart(monkeypatch):
+    values = np.random.default_rng(0).integers(0, 3, 3000).astype(np.uint8)
     for width in (1, 2, 7, 25, 44, 100):
-        prints = positions.rolling(values, width, positions.MULTIPLIERS[0])
-        assert len(prints) == len(values) - width + 1
-        windows = [values[i : i + width].tobytes() for i in range(len(prints))]
+        at = np.arange(len(values) - width + 1)
+        prints = positions.prints_at(values, at, width, positions.MULTIPLIERS[0])
+        windows = [values[i : i + width].tobytes() for i in at]
         assert len(set(zip(windows, prints.tolist(), strict=True))) == len(set(windows)) == len(set(prints.tolist()))
+        assert (positions.prints_at(values, at[5::3], width, positions.MULTIPLIERS[0]) == prints[5::3]).all()
+    monkeypatch.setattr(positions, "BLOCK", 64)
+    for width in (3, 100):
+        at = np.arange(len(values) - width + 1)
+        prints = positions.prints_at(values, at, width, positions.MULTIPLIERS[0])
+        windows = [values[i : i + width].tobytes() for i in at]
+        assert len(set(zip(windows, prints.tolist(), strict=True))) == len(set(windows))
 
 
 def test_word_hashes_in_slices(monkeypatch):
