@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import boxed, text_or_empty
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 SLICE_CHARS = 1 << 20
 # The pattern of the vocabulary (a fixed value), with white space as Unicode defines it.
 PATTERN = (
@@ -177,19 +177,35 @@ def _slices(texts: Sequence[str], limit: int = SLICE_CHARS) -> Iterator[list[str
         yield held
 
 
+def _decode(pieces: Sequence[bytes], ids: bytes) -> str:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
 def encode(
-    docs: DataFrame, text: str = "text", path: str | None = None, carry: Sequence[str] | None = None
+    docs: DataFrame,
+    text: str = "text",
+    path: str | None = None,
+    carry: Sequence[str] | None = None,
+    decoded: bool = False,
 ) -> DataFrame:
-    """``_row`` and ``_ids``: the token ids of the text, without special tokens added."""
+    """``_row`` and ``_ids``: the token ids of the text, without special tokens added.
+
+    With ``decoded`` also ``_text``, which the same worker makes from the ids.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load(path or default_vocabulary()))
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids binary, text string" if decoded else "ids binary")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            yield pd.Series([x for part in _slices(batch.tolist()) for x in encoder.encode(part)], dtype=object)
+            ids = [x for part in _slices(batch.tolist()) for x in encoder.encode(part)]
+            out = {"ids": pd.Series(ids, dtype=object)}
+            if decoded:
+                out["text"] = pd.Series([_decode(shared.value.pieces, x) for x in ids], dtype=object)
+            yield pd.DataFrame(out)
 
-    return docs.select(boxed(docs, carry), text_or_empty(text).alias("_t")).select("_row", ids("_t").alias("_ids"))
+    made = docs.select(boxed(docs, carry), text_or_empty(text).alias("_t")).select("_row", coded("_t").alias("_c"))
+    return made.select("_row", F.col("_c.ids").alias("_ids"), *([F.col("_c.text").alias("_text")] if decoded else []))
 
 
 def decoder(spark: SparkSession, path: str | None = None):
@@ -198,12 +214,8 @@ def decoder(spark: SparkSession, path: str | None = None):
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = shared.value.__getitem__
         for batch in batches:
-            yield pd.Series(
-                [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in batch],
-                dtype=object,
-            )
+            yield pd.Series([_decode(shared.value, x) for x in batch], dtype=object)
 
     return text
 

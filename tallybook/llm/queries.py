@@ -24,9 +24,8 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe.encode(read(spark, folder, "documents"), carry=["doc_id"])
-    decoded = coded.withColumn("_text", bpe.decoder(spark)("_ids"))
-    return decoded.select(
+    coded = bpe.encode(read(spark, folder, "documents"), carry=["doc_id"], decoded=True)
+    return coded.select(
         "_row.doc_id",
         bpe.token_count("_ids").alias("n_tokens"),
         F.sha2("_ids", 256).alias("ids_sha256"),
