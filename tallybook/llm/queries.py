@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, chat, mixing, neighbours, quality, simhash, substrings, suffixes
+from tallybook.llm import bpe, chat, mixing, neighbours, quality, simhash, substrings, suffixes, toxicity
 from tallybook.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,16 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"), carry=["doc_id"])
+    return scored.select("_row.doc_id", F.col("_score").alias("score")).select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.deduplicate(read(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -95,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op3_neighbours": op3_neighbours,
     "op4_mix_sources": op4_mix_sources,
     "op5_chat_format": op5_chat_format,
+    "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
