@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, chat, mixing, neighbours, quality, simhash, substrings, suffixes, toxicity
+from tallybook.llm import bpe, chat, mixing, neighbours, personal, quality, simhash, substrings, suffixes, toxicity
 from tallybook.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,17 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find(read(spark, folder, "documents"), carry=["doc_id"])
+    base = F.filter("_spans", lambda s: s["base"])
+    return found.select(
+        "_row.doc_id",
+        *[personal.count_of(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(personal.listed(base), 256).alias("base_sha256"),
+        personal.listed(F.col("_spans")).alias("spans"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"), carry=["doc_id"])
     return scored.select("_row.doc_id", F.col("_score").alias("score")).select(
@@ -105,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op3_neighbours": op3_neighbours,
     "op4_mix_sources": op4_mix_sources,
     "op5_chat_format": op5_chat_format,
+    "op6_personal_data": op6_personal_data,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,

@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tallybook.llm import personal
+from tallybook.llm.queries import op6_personal_data
+
+SF = "/root/testdata/sf0.1"
+
+
+def luhn(d):
+    total = sum(map(int, d[::-1][::2])) + sum(sum(divmod(2 * int(c), 10)) for c in d[::-1][1::2])
+    return total % 10 == 0
+
+
+def brute(text):
+    """The base spans as the contract words them: (start, kind, end)."""
+    text, out = text or "", []
+    n = lambda s: re.sub(r"[^0-9]", "", s)
+    rules = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: max(map(int, s.split("."))) <= 255),
+        (r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(n(s)) <= 19 and luhn(n(s))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(n(s)) <= 15),
+    ]
+    for k, (pattern, test) in enumerate(rules):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if test(m.group())]
+    return sorted(out)
+
+
+CASES = [
+    "", "a@b.c", "a@b", "@b.c x@@y.z", "a@b.c@d.e", "é.a+1@x-y.co.uk.", "a@b.c.d@e.f", "x@a..b y@c.d", "a" * 5000 + "@b.c",
+    "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.1", "0001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112",
+    "41111111111111114111111111111111", "+1 (509) 555-6973", "+1 2", "+12345678", "+123456789", "++49 30 1234567.",
+    "١٢٣.1.1.1", "+1 (309) 555-7741 4199391714317852 a@b.c 1.2.3.4", "9" * 3000, "(" * 10 + "+1" + "()" * 50 + "2345678901",
+]
+
+
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(4)
+    alphabet = "ab.@+-1234567890 ()%é"
+    for text in CASES + ["".join(rng.choices(alphabet, k=rng.randint(1, 80))) for _ in range(5000)]:
+        assert personal.base_spans(text) == brute(text), text
+
+
+def test_reliabilities_are_recovered():
+    rng = np.random.default_rng(0)
+    truth = rng.random(30000) < 0.5
+    right = np.array([0.95, 0.9, 0.8, 0.7, 0.85])
+    signs = np.where(rng.random((30000, 5)) < right, 1, -1) * np.where(truth, 1, -1)[:, None]
+    votes = ((signs + 1) * 3 ** np.arange(4, -1, -1)).sum(axis=1)
+    patterns, back, count = np.unique(votes, return_inverse=True, return_counts=True)
+    posterior, accuracy = personal.weigh(np.zeros(len(patterns), int), patterns, count)
+    assert accuracy == pytest.approx(right, abs=0.03)
+    chance = personal.fit_classifier(np.zeros(len(patterns), int), patterns, count.astype(float), posterior)
+    assert ((chance[back] >= 0.5) == truth).mean() > 0.95
+
+
+ROWS = [
+    (1, None), (2, ""), (3, 'auth token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6" of'), (None, "write to a.b@c.de now"),
+    (4, "call +1 (509) 555-6973"), (4, "call +1 (509) 555-6973"), (5, "plain words only, Version 2.0."), (6, "x " * 50000 + "1.2.3.4"),
+    (7, "é\U0001f600 a@b.com"), (8, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"),
+]
+
+
+def test_edge_rows_redaction_and_columns(spark):
+    docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in ROWS], "doc_id long, text string, n_chars long, _spans string")
+    got = {(r["doc_id"], r["text"]): r["_spans"] for r in personal.find(docs).select("_row.doc_id", "_row.text", "_spans").collect()}
+    for (_, text), spans in got.items():
+        assert [(s["start"], s["kind"], s["end"]) for s in spans if s["base"]] == brute(text)
+    assert [personal.KINDS[s["kind"]] for s in got[ROWS[2]]] == ["secret"]
+    clean = personal.without_personal_data(docs)
+    assert clean.columns == docs.columns
+    texts = sorted((r["text"] or "", r["n_chars"]) for r in clean.collect())
+    assert ("call [PHONE]", 12) in texts and ("plain words only, Version 2.0.", 30) in texts and ("é\U0001f600 [EMAIL]", 10) in texts
+    assert personal.without_personal_data(docs.limit(0)).count() == 0
+
+
+def test_query_on_whole_table(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in op6_personal_data(spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    secrets = 0
+    for i, text in docs.items():
+        want = brute(text)
+        r = got[i]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == j for _, k, _ in want) for j in range(4)]
+        joined = ",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(joined.split(",") if joined else []) <= set(spans)
+        starts = [int(s.split(":")[1]) for s in spans]
+        assert starts == sorted(starts)
+        found = {tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("secret")}
+        planted = {(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', text, re.I)}
+        assert found == planted
+        secrets += len(found)
+    assert secrets > 100
