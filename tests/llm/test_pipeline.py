@@ -1,0 +1,88 @@
+"""The pipeline against a plain recomputation of each stage's decisions."""
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from test_simhash import brute_components, brute_print
+
+import __spark_entry__
+import corpus_pipeline
+from tallybook.llm import bpe, personal
+
+SF = "/root/testdata/sf0.001"
+
+
+def stages(spark, docs):
+    yield "documents", docs
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        yield name, docs
+
+
+def test_each_stage_on_what_the_one_before_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = dict(stages(spark, docs))
+    assert list(out)[1:] == ["quality_rules", "simhash_dedup", "personal_data", "mix_sources", "bpe_tokens"]
+    rows = {k: v.collect() for k, v in out.items()}
+    for name in list(out)[:-1]:
+        assert out[name].columns == docs.columns
+    by_id = {k: {r["doc_id"]: r for r in v} for k, v in rows.items()}
+    # Quality: rows go or stay, unchanged; good labels stay.
+    assert all(by_id["documents"][i] == r for i, r in by_id["quality_rules"].items())
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
+    long = {i for i in good if len(by_id["documents"][i]["text"].split()) >= 50}
+    assert len(long & by_id["quality_rules"].keys()) >= 0.95 * len(long)
+    # Near copies: exactly the smallest id of each component.
+    least: dict[int, int] = {}
+    prints = {i: brute_print(r["text"], 5) for i, r in by_id["quality_rules"].items()}
+    for i, fp in prints.items():
+        least[fp] = min(least.get(fp, i), i)
+    root = brute_components(least, 4)
+    assert by_id["simhash_dedup"].keys() == {root[fp] for fp in prints.values()}
+    # Personal data: gone, the rest as it was.
+    for i, r in by_id["personal_data"].items():
+        before = by_id["simhash_dedup"][i]["text"]
+        assert personal.base_spans(r["text"]) == [] or before != r["text"]
+        if r["text"] == before:
+            assert not personal.base_spans(before) and r == by_id["simhash_dedup"][i]
+        else:
+            assert r["n_chars"] == len(r["text"]) and "[" in r["text"]
+    # Mix: copies of what was there, three at most.
+    count = Counter(r["doc_id"] for r in rows["mix_sources"])
+    assert max(count.values()) <= 3
+    assert all(by_id["personal_data"][r["doc_id"]] == r for r in rows["mix_sources"])
+    # Tokens: one row for each, as the encoder alone makes them.
+    encoder = bpe.Encoder(bpe.load(bpe.default_vocabulary()))
+    assert Counter(r["doc_id"] for r in rows["bpe_tokens"]) == count
+    for r in rows["bpe_tokens"]:
+        text = by_id["mix_sources"][r["doc_id"]]["text"]
+        ids = encoder.encode([text])[0]
+        assert r["n_tokens"] == len(np.frombuffer(ids, "<u4"))
+        assert r["ids_sha256"] == hashlib.sha256(ids).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["round_trip"]
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(map(str, got)) == sorted(map(str, rows["bpe_tokens"]))
+
+
+@pytest.mark.parametrize("shape", ["empty", "odd"])
+def test_odd_tables(spark, shape):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, `a.b` int"
+    rows = [] if shape == "empty" else [
+        (None, None, None, None, None, "x", 1), (1, "", "en", "s", 0, None, None), (2, "word " * 60, "en", None, 300, "x", 2),
+        (2, "word " * 60, "en", None, 300, "x", 2), (3, " ".join(f"Wort{i}x." for i in range(30000)), "de", "s", 9, "y", 3),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    for name, frame in stages(spark, docs):
+        n = frame.count()
+        assert n == 0 if shape == "empty" else n >= 0
+        if name not in ("documents", "bpe_tokens"):
+            assert frame.columns == docs.columns
+
+
+def test_registered():
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op")}
