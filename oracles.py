@@ -354,6 +354,15 @@ SQL["stored_by_month"] = _tx(
     """SELECT strftime(d, '%Y-%m') AS month, cat AS "Category", CAST(sum(amt) AS DOUBLE) AS total,
     count(*) AS rows FROM tx WHERE amt < 0 GROUP BY 1, 2"""
 )
+SQL["stored_twice"] = _tx(
+    "SELECT strftime(d, '%Y-%m') AS month, CAST(sum(amt) AS DOUBLE) AS total, count(*) AS rows FROM tx GROUP BY 1"
+)
+SQL["classify_repeated_category"] = _tx(
+    """, c AS (SELECT amt, CASE WHEN lower(descr) LIKE '%cold%' THEN 'Frost' WHEN lower(descr) LIKE '%brand#1%' THEN 'Brand'
+    WHEN lower(descr) LIKE '%ring%' OR lower(descr) LIKE '%gear%' THEN 'Frost' ELSE 'Uncategorized' END AS c FROM tx)
+    SELECT way, c AS "Category", count(*) AS rows, CAST(sum(amt) AS DOUBLE) AS total
+    FROM c, (VALUES ('inline'), ('joined')) w(way) GROUP BY 1, 2"""
+)
 SQL["ml_retrain"] = _tx(
     """, t AS (SELECT DISTINCT descr, cat FROM tx WHERE cat <> 'Uncategorized')
     SELECT count(*) AS n_samples, (SELECT string_agg(cat, ',' ORDER BY cat) FROM (SELECT DISTINCT cat FROM t))

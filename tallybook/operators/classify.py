@@ -5,15 +5,17 @@ from __future__ import annotations
 import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.operators.joins import BROADCAST_KEYS, lookup
-from tallybook.schema import RULES, UNCATEGORIZED, require_columns
+from tallybook.schema import RULES, UNCATEGORIZED, named, require_columns
 from tallybook.session import stored
 
 Rules = Mapping[str, Sequence[str]]
+Blocks = list[tuple[str, list[str]]]
 
 # Up to this many keywords become one CASE expression in the scan stage;
 # longer tables are matched by a join on substrings.
@@ -30,15 +32,16 @@ def rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
     return spark.createDataFrame(rows, RULES)
 
 
-def _inline_rules(rules: DataFrame, limit: int) -> Rules | None:
-    """The rules as a mapping if there are at most ``limit`` of them."""
-    rows = rules.limit(limit + 1).collect()
+def _inline_rules(rules: DataFrame, limit: int) -> Blocks | None:
+    """The rules as blocks of one category, in rule order, if there are at most ``limit`` of them.
+
+    A category that comes back further down is a block of its own there.
+    """
+    rows = rules.filter(F.col("keyword").isNotNull()).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    ordered: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["cat_order"], r["kw_order"])):
-        ordered.setdefault(r["category"], []).append(r["keyword"])
-    return ordered
+    rows = sorted(rows, key=lambda r: (r["cat_order"], r["kw_order"], r["category"]))
+    return [(category, [r["keyword"] for r in block]) for category, block in groupby(rows, key=lambda r: r["category"])]
 
 
 def _has_any(text: Column, keywords: Sequence[str]) -> Column:
@@ -47,16 +50,16 @@ def _has_any(text: Column, keywords: Sequence[str]) -> Column:
     A list of some length is a loop over a constant array: spelled out as
     ORs, it would make generated methods too long for the JIT compiler.
     """
-    words = [F.lit(k.lower()) for k in keywords]
+    words = [F.lower(F.lit(k)) for k in keywords]
     if len(words) > 3:
         return F.exists(F.array(*words), lambda k: F.contains(text, k))
     return reduce(operator.or_, [F.contains(text, k) for k in words])
 
 
-def _classify_inline(df: DataFrame, rules: Rules) -> DataFrame:
+def _classify_inline(df: DataFrame, blocks: Blocks) -> DataFrame:
     # The lowered text is a column of its own, so it is computed once per row.
     hit = F
-    for category, keywords in rules.items():
+    for category, keywords in blocks:
         if keywords:
             hit = hit.when(_has_any(F.col("_text"), keywords), F.lit(category))
     category = F.lit(UNCATEGORIZED) if hit is F else hit.otherwise(F.lit(UNCATEGORIZED))
@@ -124,7 +127,7 @@ def _classify_by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
     )
     found = F.when(F.col("Description").isNotNull(), F.least(F.col("best"), empty))
     return matched.withColumn("_found", found).select(
-        *df.columns, F.coalesce("_found.category", F.lit(UNCATEGORIZED)).alias("Category")
+        *map(named, df.columns), F.coalesce("_found.category", F.lit(UNCATEGORIZED)).alias("Category")
     )
 
 
@@ -138,7 +141,8 @@ def classify(
         inline = _inline_rules(rules, inline_keywords)
         table = rules
     else:
-        inline = rules if sum(map(len, rules.values())) <= inline_keywords else None
+        blocks = [(c, [k for k in keywords if k is not None]) for c, keywords in rules.items()]
+        inline = blocks if sum(len(k) for _, k in blocks) <= inline_keywords else None
         table = None if inline is not None else rules_table(df.sparkSession, rules)
     return _classify_by_join(base, table) if inline is None else _classify_inline(base, inline)
 
@@ -220,4 +224,4 @@ def apply_corrections(df: DataFrame, rules: DataFrame, corrections: DataFrame) -
     settled = F.when(
         F.col("Category") == UNCATEGORIZED, F.coalesce("_chosen", "Category")
     ).otherwise(F.col("Category"))
-    return joined.withColumn("Category", settled).select(*again.columns)
+    return joined.withColumn("Category", settled).select(*map(named, again.columns))

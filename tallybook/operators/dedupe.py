@@ -1,7 +1,9 @@
 """Removal of repeated rows.
 
-Both forms are hash aggregations that combine on the map side, so a row
-repeated a billion times reaches its reducer as one partial row per task.
+Rows combine on the map side, so one repeated a billion times reaches its
+reducer as one partial row per task. ``drop_repeats`` and ``count_repeats`` are
+hash aggregations. ``keep_first`` holds whole rows as its state, which Spark
+aggregates by sorting on the key, before and after the shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.schema import named
+
 KEY = ("Date", "Description", "Amount", "Currency")
 
 
@@ -25,11 +29,11 @@ def drop_repeats(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """One row per key, the first by ``order``, with all its other columns."""
-    name = {c: "`" + c.replace("`", "``") + "`" for c in df.columns}
+    name = {c: named(c) for c in df.columns}
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*[name[c] for c in rest]), order).alias("_first")
     picked = df.groupBy(*[name[c] for c in keys]).agg(first)
-    return picked.select(*[f"_first.{name[c]}" if c in rest else name[c] for c in df.columns])
+    return picked.select(*[F.col("_first").getField(c).alias(c) if c in rest else name[c] for c in df.columns])
 
 
 def count_repeats(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.schema import named
+
 # A broadcast side may hold at most this many keys and bytes of key text.
 BROADCAST_KEYS = 100_000
 BROADCAST_BYTES = 32 << 20
@@ -48,7 +50,7 @@ def salted_join(
     same rows; ``side`` is repeated once per salt. ``how`` is left,
     inner or left_semi.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*map(named, big.columns)), F.lit(salts)).cast("int")
     spread = big.withColumn("_salt", salt)
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

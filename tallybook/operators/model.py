@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.ngrams import word_bounded_ngrams
 from tallybook.operators.classify import Rules, classify
-from tallybook.schema import UNCATEGORIZED, require_columns
+from tallybook.operators.joins import lookup
+from tallybook.schema import UNCATEGORIZED, named, require_columns
 from tallybook.session import stored
 from tallybook.sources.history import load_training_set, newest_file
 
@@ -62,10 +63,10 @@ def fit_model(
     size = training.agg(F.count("*").alias("n"), F.count_distinct("Category").alias("k")).first()
     if size["n"] < min_samples:
         raise RuntimeError(
-            f"Insufficient training data: {size['n']} sample(s) found, at least {min_samples} required."
+            f"{size['n']} labelled descriptions are too few to train on; it takes {min_samples}."
         )
     if size["k"] < 2:
-        raise RuntimeError(f"Only {size['k']} distinct categories found; at least 2 are required.")
+        raise RuntimeError(f"{size['k']} category among the labels; a model needs two to choose from.")
 
     indexer = StringIndexer(
         inputCol="Category", outputCol="_label", stringOrderType="alphabetAsc"
@@ -114,7 +115,7 @@ def predict(df: DataFrame, model: PipelineModel, threshold: float = CONFIDENCE)
         F.lit(UNCATEGORIZED)
     )
     return _scored(df, model, F.col("Description")).select(
-        *df.columns, label.alias("Predicted"), F.col("_confidence").alias("Confidence")
+        *map(named, df.columns), label.alias("Predicted"), F.col("_confidence").alias("Confidence")
     )
 
 
@@ -126,21 +127,29 @@ def classify_two_stage(
 ) -> DataFrame:
     """Rules first, the model for what they leave; adds ``Category``, ``ML_Classified``.
 
-    One scan serves both stages: rows a rule has settled carry an empty text
-    into the model, which costs them next to nothing. Without a model the
-    rules stand alone.
+    The model sees each description that no rule matched once; what it accepts
+    is stored and joined back. That starts jobs when called. Without a model
+    the rules stand alone.
     """
     ruled = classify(df, rules)
     if model is None:
         return ruled.withColumn("ML_Classified", F.lit(False))
-    open_text = F.when(F.col("Category") == UNCATEGORIZED, F.col("Description"))
-    scored = _scored(ruled, model, F.coalesce(open_text, F.lit("")))
-    accepted = open_text.isNotNull() & (F.col("_confidence") >= threshold)
-    accepted = F.coalesce(accepted, F.lit(False))
-    return scored.select(
-        *df.drop("Category", "ML_Classified").columns,
-        F.when(accepted, F.col("_predicted")).otherwise(F.col("Category")).alias("Category"),
-        accepted.alias("ML_Classified"),
+    open_texts = (
+        ruled.filter((F.col("Category") == UNCATEGORIZED) & F.col("Description").isNotNull())
+        .select("Description")
+        .distinct()
+    )
+    accepted = stored(
+        _scored(open_texts, model, F.col("Description"))
+        .filter(F.col("_confidence") >= threshold)
+        .select("Description", F.col("_predicted").alias("_label"))
+    )
+    joined = lookup(ruled, accepted, ["Description"])
+    settled = (F.col("Category") == UNCATEGORIZED) & F.col("_label").isNotNull()
+    return joined.select(
+        *map(named, df.drop("Category", "ML_Classified").columns),
+        F.when(settled, F.col("_label")).otherwise(F.col("Category")).alias("Category"),
+        settled.alias("ML_Classified"),
     )
 
 
@@ -154,11 +163,14 @@ def save_model(spark: SparkSession, model: PipelineModel, meta: dict, folder: st
 
 
 def load_model(folder: str) -> PipelineModel | None:
-    """The saved model, or None if there is none that can be read."""
+    """The saved model; None if there is none. One that is there and cannot be read is an error."""
     try:
-        return PipelineModel.load(f"{folder}/model")
-    except Exception:  # a cold start is no error, whatever its cause
-        return None
+        SparkSession.active().read.text(f"{folder}/model/metadata").schema  # noqa: B018  looks the folder up
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return PipelineModel.load(f"{folder}/model")
 
 
 def is_model_stale(
@@ -197,10 +209,12 @@ def retrain(
     min_samples: int = MIN_SAMPLES,
 ) -> dict:
     """Train on all labelled history, save model and meta data, return the latter."""
+    # Before the scan: a file that lands while training runs counts as newer.
+    began = datetime.datetime.now(datetime.UTC)
     training = stored(load_training_set(spark, history, fmt, include_ml))
     model = fit_model(training, min_samples)
     meta = {
-        "trained_at": datetime.datetime.now(datetime.UTC).isoformat(),
+        "trained_at": began.isoformat(),
         "n_samples": training.count(),
         "classes": model_labels(model),
     }

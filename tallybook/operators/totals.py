@@ -42,9 +42,10 @@ def cover_statistics(df: DataFrame) -> DataFrame:
 
 
 def category_totals(df: DataFrame) -> DataFrame:
-    """Spend per category, largest first."""
+    """Spend per category, largest first; rows without a category are left out."""
     return (
         expenses(df)
+        .filter(F.col("Category").isNotNull())
         .groupBy(F.col("Category").alias("category"))
         .agg(F.sum(-F.col("Amount")).alias("total"))
         .orderBy(F.desc("total"), "category")
@@ -60,9 +61,13 @@ def with_share(category_sums: DataFrame) -> DataFrame:
 
 
 def top_merchants(df: DataFrame, n: int = TOP_MERCHANTS) -> DataFrame:
-    """The ``n`` descriptions with the largest spend; a per-task heap, no full sort."""
+    """The ``n`` descriptions with the largest spend; a per-task heap, no full sort.
+
+    Rows without a description have no merchant and are left out.
+    """
     return (
         expenses(df)
+        .filter(F.col("Description").isNotNull())
         .groupBy(F.col("Description").alias("merchant"))
         .agg(F.sum(-F.col("Amount")).alias("total"))
         .orderBy(F.desc("total"), "merchant")
@@ -110,7 +115,7 @@ def compare_months(df: DataFrame, month_a: str, month_b: str) -> DataFrame:
     out = -F.col("Amount")
     scope = in_month_folders(expenses(df), min(month_a, month_b), max(month_a, month_b))
     sums = (
-        scope.filter(in_a | in_b)
+        scope.filter((in_a | in_b) & F.col("Category").isNotNull())
         .groupBy(F.col("Category").alias("category"))
         .agg(
             F.coalesce(F.sum(F.when(in_a, out)), zero).alias("month_a"),
@@ -124,6 +129,7 @@ def by_category_month(df: DataFrame) -> DataFrame:
     """Spend per (category, month): the coarse table of month comparisons."""
     return (
         expenses(df)
+        .filter(F.col("Category").isNotNull())
         .groupBy(F.col("Category").alias("category"), F.trunc("Date", "MM").alias("month"))
         .agg(F.sum(-F.col("Amount")).alias("total"))
     )

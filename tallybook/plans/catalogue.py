@@ -27,6 +27,7 @@ from tallybook.operators import (
 )
 from tallybook.plans import queries as nq
 from tallybook.plans import report, views
+from tallybook.schema import RULES
 from tallybook.session import checkpoint_folder
 from tallybook.sources import exports, history, settings
 
@@ -138,6 +139,20 @@ def classify_long_rules(spark, folder):
     return classify.classify(views.transactions(spark, folder), table, inline_keywords=0)
 
 
+@register
+def classify_repeated_category(spark, folder):
+    """A category in two places, keywords in capitals and missing ones; matched by both ways in turn."""
+    blocks = [("Frost", "COLD"), ("Brand", "BRAND#1"), ("Frost", "ring"), ("Brand", None), ("Frost", "gear")]
+    table = spark.createDataFrame([(c, i, k, 0) for i, (c, k) in enumerate(blocks)], RULES)
+    rows = views.transactions(spark, folder)
+    both = [
+        classify.classify(rows, table, n).withColumn("way", F.lit(way)) for way, n in (("inline", 1000), ("joined", 0))
+    ]
+    return both[0].unionByName(both[1]).groupBy("way", "Category").agg(
+        F.count("*").alias("rows"), F.sum("Amount").alias("total")
+    )
+
+
 @register
 def classify_coverage(spark, folder):
     return classify.coverage(_tx(spark, folder))
@@ -399,15 +414,28 @@ def training_set(spark, folder):
 def stored_by_month(spark, folder):
     """Written as a table by month, read back, one month pruned from the folders."""
     target = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
-    history.write_categorized(_tx(spark, folder), target, by="month")
+    rows = _tx(spark, folder).withColumn("source_file", F.lit("/exports/all.csv"))
+    history.write_categorized(rows, target, by="month")
     stored = spark.read.parquet(target)
     return stored.filter(F.col("Amount") < 0).groupBy(month_key(F.col("Date")).alias("month"), "Category").agg(
         F.sum("Amount").alias("total"), F.count("*").alias("rows")
     )
 
 
+@register
+def stored_twice(spark, folder):
+    """Two files of one name and the same months, stored one after the other by month."""
+    target = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    rows = _tx(spark, folder)
+    for place, part in (("spent", rows.filter("Amount < 0")), ("earned", rows.filter("Amount >= 0"))):
+        history.write_categorized(part.withColumn("source_file", F.lit(f"/{place}/jan.csv")), target, by="month")
+    return spark.read.parquet(target).groupBy(month_key(F.col("Date")).alias("month")).agg(
+        F.sum("Amount").alias("total"), F.count("*").alias("rows")
+    )
+
+
 def _fitted(spark, folder):
-    return model.fit_model(history.training_set(_tx(spark, folder)), max_iterations=60)
+    return model.fit_model(history.training_set(_tx(spark, folder)))
 
 
 @register

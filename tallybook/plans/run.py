@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators.classify import Rules
-from tallybook.operators.joins import lookup
 from tallybook.operators.model import CONFIDENCE, classify_two_stage, load_model
 from tallybook.plans import report
 from tallybook.sources.exports import ingest, read_export
-from tallybook.sources.history import source_stem, write_categorized
+from tallybook.sources.history import source_names, write_categorized
 
 
 def classify_exports(
@@ -24,23 +24,28 @@ def classify_exports(
     bank: str | None = None,
     currency: str | None = None,
     mapping: Mapping[str, str] | None = None,
+    encoding: str = "auto",
+    multiline: bool = False,
+    **cleaning: Any,
 ) -> DataFrame:
-    """Exports with one header, read, cleaned and classified; a lazy plan."""
-    raw = read_export(spark, paths)
-    return _classified(raw, rules, model_folder, threshold, bank, currency, mapping)
+    """Exports with one header, read, cleaned and classified.
+
+    ``cleaning`` are further options of ``ingest``: date formats, pivot year,
+    when repeats are judged, extra columns.
+    """
+    raw = read_export(spark, paths, encoding, multiline)
+    return _classified(raw, rules, model_folder, threshold, bank, currency, mapping, cleaning)
 
 
-def _classified(raw, rules, model_folder, threshold, bank, currency, mapping) -> DataFrame:
-    clean = ingest(raw, bank, currency, mapping)
+def _classified(raw, rules, model_folder, threshold, bank, currency, mapping, cleaning) -> DataFrame:
+    clean = ingest(raw, bank, currency, mapping, **cleaning)
     model = load_model(model_folder) if model_folder else None
     return classify_two_stage(clean, rules, model, threshold)
 
 
-def _of_sources(table: DataFrame, files: Sequence[str]) -> DataFrame:
-    """The rows of these files; a table may hold those of earlier runs as well."""
-    named = table.sparkSession.createDataFrame([(f,) for f in files], "file string")
-    sources = named.select(source_stem(F.col("file")).alias("source")).distinct()
-    return lookup(table, sources, ["source"], how="left_semi")
+def _of_sources(table: DataFrame, files: Iterable[str]) -> DataFrame:
+    """The rows of these files, as a filter on the table's folders; it may hold those of earlier runs as well."""
+    return table.filter(F.col("source").isin(source_names(files)))
 
 
 def run(
@@ -54,8 +59,11 @@ def run(
     bank: str | None = None,
     currency: str | None = None,
     mapping: Mapping[str, str] | None = None,
+    encoding: str = "auto",
+    multiline: bool = False,
     with_anomalies: bool = False,
     with_report: bool = False,
+    **cleaning: Any,
 ) -> DataFrame:
     """Classify exports, store them under ``output`` and write payload and report.
 
@@ -64,9 +72,9 @@ def run(
     keeps the sources of earlier runs; the analyses are of this run's.
     """
     table = f"{output}/transactions"
-    raw = read_export(spark, paths)
+    raw = read_export(spark, paths, encoding, multiline)
     write_categorized(
-        _classified(raw, rules, model_folder, threshold, bank, currency, mapping), table
+        _classified(raw, rules, model_folder, threshold, bank, currency, mapping, cleaning), table
     )
     stored = _of_sources(spark.read.parquet(table), raw.inputFiles())
     report.write_payload(stored, f"{output}/payload", budgets, with_anomalies)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,11 @@ BUDGETS = T.StructType(
 )
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name; dots and back-quotes in it are plain characters."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def missing_columns(columns: Iterable[str], required: Sequence[str] = REQUIRED) -> list[str]:
     """Required names that are absent, in the order of ``required``."""
     have = set(columns)

@@ -49,13 +49,15 @@ def read_export(
     ``encoding="auto"`` decides per cell: valid UTF-8 is taken as such, all
     else as Latin-1. A stated charset is used as it is. Typing is left to
     ``ingest``; no pass over the data infers a schema. A file whose header
-    differs from the others' fails the job.
+    differs from the others' fails the job, as does a row with more or fewer
+    cells than the header. Quoted line breaks need ``multiline``, which keeps a
+    file from being split.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     for path in paths:
         suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
         if suffix and suffix not in (".csv", ".gz", ".bz2") and "*" not in suffix:
-            raise ValueError(f"Unsupported file type '{suffix}'. Expected .csv")
+            raise ValueError(f"{path} is no CSV export (.csv, also .gz or .bz2)")
     auto = encoding == "auto"
     reader = (
         spark.read.option("header", True)
@@ -64,13 +66,16 @@ def read_export(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        # Rows are held against the header as a whole, also where few columns are read.
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .option("encoding", "ISO-8859-1" if auto else encoding)
     )
     try:
         raw = reader.csv(paths)
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Input file not found: {paths}") from err
+            raise FileNotFoundError(f"No export at {paths}") from err
         raise
     quoted = [F.col("`" + c.replace("`", "``") + "`") for c in raw.columns]
     if auto:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators.filters import labelled
@@ -15,30 +17,45 @@ from tallybook.schema import MONTH_FOLDER, require_columns
 HISTORY_FILES = "{*_categorized.csv,part-*}"
 
 
-def source_stem(path):
-    """File name without folder and suffix."""
-    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+def source_name(path: Column) -> Column:
+    """Name of a source: its file name without suffix, and a hash of the whole path.
+
+    Files of one name in two folders are two sources.
+    """
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    return F.concat(F.regexp_extract(plain, r"([^/]+?)(?:\.[^./]*)?$", 1), F.lit("-"), F.substring(F.md5(plain), 1, 8))
+
+
+def source_names(paths: Iterable[str]) -> list[str]:
+    """As ``source_name``, for paths known on the driver."""
+    plain = [re.sub("^file:/+", "/", p) for p in paths]
+    stems = [re.search(r"([^/]+?)(?:\.[^./]*)?$", p) for p in plain]
+    return sorted(
+        {f"{m[1] if m else ''}-{hashlib.md5(p.encode()).hexdigest()[:8]}" for p, m in zip(plain, stems, strict=True)}
+    )
 
 
 def write_categorized(df: DataFrame, path: str, fmt: str = "parquet", by: str = "source") -> None:
-    """Write classified rows, one folder per source file or per month.
+    """Write classified rows, one folder per source file, or per month and source file.
 
-    Only the folders that occur in ``df`` are replaced. The rebalance hint has
-    Spark size the files at run time and split a folder that holds a large
+    Only the folders that occur in ``df`` are replaced, so a source written
+    again replaces its own rows and never those of another. (By month, a month
+    that a source no longer has stays until it is deleted.) The rebalance hint
+    has Spark size the files at run time and split a folder that holds a large
     share of the rows, so no source or month is written by one task.
     """
-    if by == "source":
-        require_columns(df, ["source_file"], "write_categorized")
-        out = df.withColumn("source", source_stem(F.col("source_file"))).drop("source_file")
-    elif by == "month":
-        out, by = df.withColumn(MONTH_FOLDER, F.date_format("Date", "yyyy-MM")), MONTH_FOLDER
-    else:
-        raise ValueError(f"by must be 'source' or 'month', got {by!r}")
+    if by not in ("source", "month"):
+        raise ValueError(f"rows are stored by source or by month, not by {by!r}")
+    require_columns(df, ["source_file"], "write_categorized")
+    out = df.withColumn("source", source_name(F.col("source_file"))).drop("source_file")
+    folders = ["source"]
+    if by == "month":
+        out, folders = out.withColumn(MONTH_FOLDER, F.date_format("Date", "yyyy-MM")), [MONTH_FOLDER, "source"]
     writer = (
-        out.hint("rebalance", by)
+        out.hint("rebalance", *folders)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(by)
+        .partitionBy(*folders)
     )
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)

@@ -117,6 +117,6 @@ def detect_layout(columns: Iterable[str], hint: str | None = None) -> Layout:
             return _LAYOUTS[hint.strip().lower()]
         except KeyError:
             known = ", ".join(sorted(_LAYOUTS))
-            raise ValueError(f"Unknown bank hint '{hint}'. Known values: {known}.") from None
+            raise ValueError(f"No layout goes by the name {hint!r}; there are {known}.") from None
     columns = list(columns)
     return next((x for x in _LAYOUTS.values() if x.fits(columns)), GENERIC)

@@ -12,6 +12,9 @@ from tallybook.operators.classify import sort_rules
 from tallybook.schema import BUDGETS, RULES
 
 
+_JSON_NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
+
+
 def _whole_text(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.text(path, wholetext=True)
@@ -21,19 +24,36 @@ def _whole_text(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _entries(text: DataFrame, value_type: str, what: str, path: str) -> DataFrame:
+    """(key, place, value) of the one JSON object in ``text``; variants as JSON text.
+
+    Text that is no such object fails. A repeated key keeps its first place and
+    its last value, as JSON readers have it.
+    """
+    parsed = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
+    broken = F.raise_error(F.lit(f"{what} {path} does not hold a JSON object"))
+    # An empty file has no row at all; the aggregation makes it one.
+    text = text.agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
+    pairs = text.select(F.posexplode(F.map_entries(F.coalesce(parsed, broken))).alias("place", "entry"))
+    value = F.to_json("entry.value") if value_type == "variant" else F.col("entry.value")
+    return (
+        pairs.select(F.col("entry.key").alias("key"), "place", value.alias("value"))
+        .groupBy("key")
+        .agg(F.min("place").alias("place"), F.max_by(F.struct("value"), "place").alias("last"))
+        .select("key", "place", "last.value")
+        .orderBy("place")
+    )
+
+
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Category to keywords, in file order, one row per keyword."""
+    """Category to keywords, in file order, one row per keyword. A missing or broken file fails."""
     text = _whole_text(spark, path)
     if text is None:
-        raise FileNotFoundError(f"Keywords file not found: {path}")
-    parsed = text.select(F.from_json("value", "map<string,array<string>>").alias("rules"))
-    categories = parsed.select(
-        F.posexplode(F.map_entries("rules")).alias("cat_order", "entry")
-    )
-    return categories.select(
-        F.col("entry.key").alias("category"),
-        "cat_order",
-        F.posexplode("entry.value").alias("kw_order", "keyword"),
+        raise FileNotFoundError(f"No rules at {path}")
+    return _entries(text, "array<string>", "The rules file", path).select(
+        F.col("key").alias("category"),
+        F.col("place").alias("cat_order"),
+        F.posexplode("value").alias("kw_order", "keyword"),
     ).select(*RULES.names)
 
 
@@ -56,7 +76,7 @@ def save_rules(rules: DataFrame, path: str) -> None:
 def budget_table(spark: SparkSession, budgets: Mapping[str, float]) -> DataFrame:
     for category, value in budgets.items():
         if isinstance(value, str) or not value > 0:
-            raise ValueError(f"Budget value for '{category}' must be a positive number, got {value!r}")
+            raise ValueError(f"The budget of {category!r} is {value!r}; it has to be a number above zero")
     rows = [(c, str(v)) for c, v in budgets.items()]
     return spark.createDataFrame(rows, "category string, budget string").select(
         "category", F.col("budget").cast("decimal(18,2)").alias("budget")
@@ -64,26 +84,28 @@ def budget_table(spark: SparkSession, budgets: Mapping[str, float]) -> DataFrame
 
 
 def load_budgets(spark: SparkSession, path: str) -> DataFrame:
-    """Category to monthly amount. A missing file is an empty table.
+    """Category to monthly amount. A missing file is an empty table, a broken one fails.
 
     A value that is not a JSON number, or not above zero, fails with its category.
     """
     text = _whole_text(spark, path)
     if text is None:
         return spark.createDataFrame([], BUDGETS)
-    entries = text.select(F.explode(F.from_json("value", "map<string,variant>")).alias("category", "v"))
-    kind = F.schema_of_variant("v")
-    number = F.when(
-        kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("v", "$", "decimal(18,2)")
-    )
+    entries = _entries(text, "variant", "The budget file", path)
+    number = F.when(F.col("value").rlike(_JSON_NUMBER), F.col("value").cast("double"))
     message = F.concat(
-        F.lit("Budget value for '"),
-        F.col("category"),
-        F.lit("' must be a positive number, got "),
-        F.coalesce(F.to_json("v"), F.lit("null")),
+        F.lit("The budget of '"),
+        F.col("key"),
+        F.lit("' is "),
+        F.coalesce("value", F.lit("null")),
+        F.lit("; it has to be a number above zero"),
     )
+    # The sign is judged before rounding to cents.
     return entries.select(
-        "category", F.when(number > 0, number).otherwise(F.raise_error(message)).alias("budget")
+        F.col("key").alias("category"),
+        F.when(number > 0, F.col("value").cast("decimal(38,10)").cast("decimal(18,2)"))
+        .otherwise(F.raise_error(message))
+        .alias("budget"),
     )
 
 

@@ -39,7 +39,7 @@ def table(spark, tmp_path_factory):
     df = spark.createDataFrame(rows, "Date string, Description string, Amount double, Category string")
     df = df.withColumn("Date", F.to_date("Date")).withColumn("Amount", F.col("Amount").cast("decimal(18,2)"))
     path = str(tmp_path_factory.mktemp("t") / "month")
-    write_categorized(df, path, by="month")
+    write_categorized(df.withColumn("source_file", F.lit("/x.csv")), path, by="month")
     return spark.read.parquet(path)
 
 

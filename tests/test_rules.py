@@ -4,7 +4,9 @@ import json
 
 import pytest
 from conftest import plain
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tallybook.operators import classify
 from tallybook.operators.budgets import override_budgets
@@ -12,9 +14,9 @@ from tallybook.schema import RULES
 from tallybook.sources import settings
 
 SHOPS = {
-    "Food & Drink": ["starbucks", "mcdonald"],
-    "Transport": ["uber", "lyft"],
-    "Groceries": ["whole foods", "trader joe"],
+    "Books": ["inkwell", "page one"],
+    "Travel": ["ferry", "tram"],
+    "Garden": ["green thumb", "seedbox"],
 }
 
 
@@ -24,11 +26,11 @@ def described(spark, *texts):
 
 @pytest.mark.parametrize("inline", [1000, 0])
 def test_first_match_in_rule_order(spark, inline):
-    texts = ["STARBUCKS #1234", "WHOLE FOODS MARKET", "Lyft ride", "uber to starbucks", "unknown", "", None]
+    texts = ["INKWELL #1234", "GREEN THUMB MARKET", "Tram ride", "ferry to inkwell", "unknown", "", None]
     got = classify.classify(described(spark, *texts), SHOPS, inline)
     assert dict(plain(got)) == {
-        "STARBUCKS #1234": "Food & Drink", "WHOLE FOODS MARKET": "Groceries", "Lyft ride": "Transport",
-        "uber to starbucks": "Food & Drink", "unknown": "Uncategorized", "": "Uncategorized",
+        "INKWELL #1234": "Books", "GREEN THUMB MARKET": "Garden", "Tram ride": "Travel",
+        "ferry to inkwell": "Books", "unknown": "Uncategorized", "": "Uncategorized",
         None: "Uncategorized",
     }
 
@@ -50,14 +52,31 @@ def test_both_matchers_agree(spark):
 
 
 def test_rule_table_input_and_no_rules(spark):
-    df = described(spark, "uber")
+    df = described(spark, "ferry")
     table = classify.rules_table(spark, SHOPS)
-    assert plain(classify.classify(df, table)) == [("uber", "Transport")]
-    assert plain(classify.classify(df, {})) == [("uber", "Uncategorized")]
+    assert plain(classify.classify(df, table)) == [("ferry", "Travel")]
+    assert plain(classify.classify(df, {})) == [("ferry", "Uncategorized")]
+
+
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_category_in_two_places_and_missing_keywords(spark, inline):
+    rows = [("A", 0, "X", 0), ("B", 1, "q", 0), ("A", 2, "y", 0), ("B", 3, None, 0), ("C", 4, "İst", 0)]
+    table = spark.createDataFrame(rows, RULES)
+    texts = described(spark, "q y", "y", "x q", "z", None, "İST 1")
+    got = dict(plain(classify.classify(texts, table, inline)))
+    assert got == {"q y": "B", "y": "A", "x q": "A", "z": "Uncategorized", None: "Uncategorized", "İST 1": "C"}
+
+
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_dotted_and_quoted_headers_pass_through(spark, inline):
+    df = described(spark, "ferry", "z").withColumn("Ref.No.", F.lit(1)).withColumn("a`b", F.lit(2))
+    got = classify.classify(df, SHOPS, inline)
+    assert got.columns == ["Description", "Ref.No.", "a`b", "Category"]
+    assert sorted(plain(got)) == [("ferry", 1, 2, "Travel"), ("z", 1, 2, "Uncategorized")]
 
 
 def test_coverage(spark):
-    got = classify.classify(described(spark, "uber", "x", None), SHOPS)
+    got = classify.classify(described(spark, "ferry", "x", None), SHOPS)
     assert plain(classify.coverage(got)) == [(3, 1, 2)]
 
 
@@ -101,21 +120,45 @@ def test_corrections(spark):
 
 def test_budget_files(spark, tmp_path):
     path = tmp_path / "b.json"
-    path.write_text(json.dumps({"Groceries": 400.0, "Transport": 99.5, "Fun": 7}))
+    path.write_text(json.dumps({"Garden": 400.0, "Travel": 99.5, "Fun": 7}))
     table = settings.load_budgets(spark, str(path))
-    assert dict(plain(table)) == {"Groceries": 400.0, "Transport": 99.5, "Fun": 7.0}
+    assert dict(plain(table)) == {"Garden": 400.0, "Travel": 99.5, "Fun": 7.0}
     settings.save_budgets(table, str(tmp_path / "saved"))
     assert plain(settings.load_budgets(spark, str(tmp_path / "saved"))) == [
-        ("Fun", 7.0), ("Groceries", 400.0), ("Transport", 99.5),
+        ("Fun", 7.0), ("Garden", 400.0), ("Travel", 99.5),
     ]
     assert settings.load_budgets(spark, str(tmp_path / "none.json")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["{", '["a"]', "", '{"a": 1', '{"a": "b"}'])
+def test_broken_rule_files_fail(spark, tmp_path, text):
+    path = tmp_path / "r.json"
+    path.write_text(text)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        settings.load_rules(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("text", ["{", "[1]", '{"a": 1'])
+def test_broken_budget_files_fail(spark, tmp_path, text):
+    path = tmp_path / "b.json"
+    path.write_text(text)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        settings.load_budgets(spark, str(path)).collect()
+
+
+def test_repeated_keys_and_small_budgets(spark, tmp_path):
+    path = tmp_path / "r.json"
+    path.write_text('{"A": ["x"], "B": ["y"], "A": ["z"]}')
+    assert plain(settings.load_rules(spark, str(path))) == [("A", 0, "z", 0), ("B", 1, "y", 0)]
+    path.write_text('{"A": 5, "B": 0.004, "A": 6.5}')
+    assert plain(settings.load_budgets(spark, str(path))) == [("A", 6.5), ("B", 0.0)]
+
+
 @pytest.mark.parametrize("value", ["0", "-5", '"400"', '"abc"', "null", "[1]"])
 def test_bad_budgets_name_the_category(spark, tmp_path, value):
     path = tmp_path / "b.json"
-    path.write_text(f'{{"Ok": 1, "Groceries": {value}}}')
-    with pytest.raises(PySparkException, match="Groceries"):
+    path.write_text(f'{{"Ok": 1, "Garden": {value}}}')
+    with pytest.raises(PySparkException, match="Garden"):
         settings.load_budgets(spark, str(path)).collect()
 
 

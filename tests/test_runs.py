@@ -37,7 +37,7 @@ def test_run_writes_everything(spark, inbox, tmp_path):
         spark, str(inbox / "jan.csv"), RULES, out, budgets=budget, with_anomalies=True, with_report=True
     )
     assert stored_rows.count() == 4
-    assert {r["source"] for r in stored_rows.collect()} == {"jan"}
+    assert {r["source"].rpartition("-")[0] for r in stored_rows.collect()} == {"jan"}
     summary = json.loads(spark.read.text(f"{out}/payload/summary", wholetext=True).first()[0])
     assert summary["total_expenses"] == 116.98 and summary["currencies"] == ["USD"]
     assert "currency_totals" not in summary
@@ -61,6 +61,10 @@ def test_a_run_analyses_its_own_sources(spark, inbox, tmp_path):
     assert spark.read.parquet(f"{out}/transactions").count() == 5
 
 
+def by_stem(spark, target):
+    return {k.rpartition("-")[0]: n for k, n in plain(spark.read.parquet(target).groupBy("source").count())}
+
+
 def test_rewriting_a_source_replaces_only_it(spark, inbox, tmp_path):
     (inbox / "feb.csv").write_text("Post Date,Memo,Debit/Credit\n2024-02-01,Shop,-1.00\n")
     target = str(tmp_path / "t")
@@ -69,8 +73,7 @@ def test_rewriting_a_source_replaces_only_it(spark, inbox, tmp_path):
     assert spark.read.parquet(target).count() == 5
     (inbox / "feb.csv").write_text("Post Date,Memo,Debit/Credit\n2024-02-01,Shop,-1.00\n2024-02-02,Shop,-1.00\n")
     history.write_categorized(classify_exports(spark, str(inbox / "feb.csv"), RULES), target)
-    counts = dict(plain(spark.read.parquet(target).groupBy("source").count()))
-    assert counts == {"jan": 4, "feb": 2}
+    assert by_stem(spark, target) == {"jan": 4, "feb": 2}
 
 
 def test_csv_sink_feeds_training(spark, inbox, tmp_path):
@@ -81,15 +84,37 @@ def test_csv_sink_feeds_training(spark, inbox, tmp_path):
 
 def test_month_table_prunes(spark, purchases, tmp_path):
     target = str(tmp_path / "t")
-    history.write_categorized(purchases, target, by="month")
+    named = purchases.withColumn("source_file", F.lit("/a/jan.csv"))
+    history.write_categorized(named, target, by="month")
     one = spark.read.parquet(target).filter("tx_month = '2024-02'")
     assert one.count() == 2 and len(one.inputFiles()) >= 1
     with pytest.raises(ValueError):
-        history.write_categorized(purchases, target, by="day")
+        history.write_categorized(named, target, by="day")
     with pytest.raises(ValueError, match="source_file"):
         history.write_categorized(purchases, target)
 
 
+@pytest.mark.parametrize("by", ["source", "month"])
+def test_files_of_one_name_and_month_do_not_replace_each_other(spark, purchases, tmp_path, by):
+    target, n = str(tmp_path / "t"), purchases.count()
+    for folder in ("p", "q", "p"):
+        history.write_categorized(purchases.withColumn("source_file", F.lit(f"/{folder}/jan.csv")), target, by=by)
+    assert spark.read.parquet(target).count() == 2 * n
+
+
+def test_source_names_are_the_same_in_both_languages(spark):
+    paths = ["file:///p/jan.csv", "file:/p/jan.csv", "/q/jan", "s3://b/x y.tar.gz", "hdfs://h/a%20b.csv"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert history.source_names(paths) == sorted({r[0] for r in df.select(history.source_name(F.col("p"))).collect()})
+
+
+def test_a_run_reads_only_its_own_folders(spark, inbox, tmp_path):
+    out = str(tmp_path / "o")
+    stored_rows = run(spark, str(inbox / "jan.csv"), RULES, out)
+    text = stored_rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in text and "jan-" in text or "PartitionFilters: [source" in text
+
+
 def test_uploads_are_taken_up_as_they_come(spark, inbox, tmp_path):
     target = str(tmp_path / "t")
     name = f"test-{tmp_path.name}-{id(tmp_path)}"
@@ -97,7 +122,7 @@ def test_uploads_are_taken_up_as_they_come(spark, inbox, tmp_path):
     for expected in ({"jan": 4}, {"jan": 4, "feb": 1}):
         stream = watch_exports(spark, str(inbox), header)
         classify_uploads(stream, RULES, target, name).awaitTermination(120)
-        assert dict(plain(spark.read.parquet(target).groupBy("source").count())) == expected
+        assert by_stem(spark, target) == expected
         (inbox / "feb.csv").write_text("Post Date,Memo,Debit/Credit\n2024-02-01,Shop,-1.00\n")
 
 
