@@ -277,7 +277,7 @@ def choose_landmarks(toxic: Sequence[set[str]], clean: Sequence[set[str]]) -> tu
     others = sorted((t for t in b if ORDER <= len(t) <= 16 and t not in known and stands_out(t) < 2), key=lambda t: (-b[t], t))
     near = Kernel(best)(others).max(axis=1) if best and others else np.zeros(len(others))
     decoys = [t for t, v in zip(others, near, strict=True) if v > DECOY][:DECOYS]
-    usual = [t for t in others if len(t) >= 4 and t not in set(decoys)][:COMMON]
+    usual = [t for t in others if len(t) >= 6 and t not in set(decoys)][:COMMON]
     return best + decoys + usual, len(best)
 
 
