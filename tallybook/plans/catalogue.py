@@ -27,12 +27,14 @@ from tallybook.operators import (
 )
 from tallybook.plans import queries as nq
 from tallybook.plans import report, views
-from tallybook.schema import RULES
+from tallybook.schema import RULES, UNCATEGORIZED
 from tallybook.session import checkpoint_folder
 from tallybook.sources import exports, history, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIVOT = 2050
+# A gradient below this counts as zero; the loss itself is of the order of 1.
+FLAT = 1e-4
 CATALOGUE: dict[str, Query] = {}
 
 
@@ -438,19 +440,50 @@ def _fitted(spark, folder):
     return model.fit_model(history.training_set(_tx(spark, folder)))
 
 
+@register
+def ml_features(spark, folder):
+    """TF-IDF weights of the labelled descriptions."""
+    stages, data = model.fit_features(history.training_set(_tx(spark, folder)))
+    return model.feature_weights(data, stages).withColumn("weight", F.round("weight", 6))
+
+
+@register
+def ml_optimum(spark, folder):
+    """Whether training stopped where the penalised loss is flat."""
+    training = history.training_set(_tx(spark, folder))
+    slope = model.largest_gradient(training, model.fit_model(training))
+    return slope.select((F.col("largest") < FLAT).alias("flat"))
+
+
 @register
 def ml_predict(spark, folder):
+    """What no rule matches, predicted by the fitted model and by the same one saved and loaded."""
+    target = f"{checkpoint_folder(spark)}/models/{uuid.uuid4().hex}"
     left = filters.uncategorized(_tx(spark, folder)).select("Description").distinct()
-    scored = model.predict(left, _fitted(spark, folder), threshold=0.3)
-    return scored.withColumn("Confidence", F.round("Confidence", 3))
+    fitted = _fitted(spark, folder)
+    model.save_model(spark, fitted, {"trained_at": "", "n_samples": 0, "classes": []}, target)
+    first = model.predict(left, fitted, threshold=0.3)
+    again = model.predict(left, model.load_model(target), threshold=0.3)
+    known = F.col("Predicted").isin(model.model_labels(fitted))
+    sure = F.col("Confidence") >= 0.3
+    return first.join(again.select("Description", F.col("Predicted").alias("p"), F.col("Confidence").alias("c")), "Description").select(
+        "Description",
+        ((F.col("p") == F.col("Predicted")) & (F.abs(F.col("c") - F.col("Confidence")) < 1e-9)).alias("same"),
+        (known == sure).alias("labelled_if_sure"),
+    )
 
 
 @register
 def ml_two_stage(spark, folder):
-    rows = model.classify_two_stage(
-        views.transactions(spark, folder), views.RULES, _fitted(spark, folder), threshold=0.3
+    """Rows by the rule that settled them, what was left to the model, and labels it may not give."""
+    fitted = _fitted(spark, folder)
+    rows = model.classify_two_stage(views.transactions(spark, folder), views.RULES, fitted, threshold=0.3)
+    left = F.col("ML_Classified") | (F.col("Category") == UNCATEGORIZED)
+    odd = F.col("ML_Classified") & ~F.col("Category").isin(model.model_labels(fitted))
+    counted = rows.groupBy(F.when(left, F.lit("(left to the model)")).otherwise(F.col("Category")).alias("settled")).agg(
+        F.count("*").alias("rows"), F.count_if(odd).alias("odd_labels")
     )
-    return rows.groupBy("Category", "ML_Classified").agg(F.count("*").alias("rows"))
+    return counted
 
 
 @register
