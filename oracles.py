@@ -138,6 +138,20 @@ WITH m AS (SELECT doc_id, text,
   regexp_replace(text, '{_CARD}', '****\\1\\2\\3\\4\\5\\6\\7\\8', 'g') AS masked FROM documents)
 SELECT doc_id, masked, text <> masked AS changed FROM m"""
 
+SQL["ingest_timestamps"] = """
+SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "Date", 'order ' || o_orderkey AS "Description",
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS "Amount" FROM orders"""
+SQL["csv_round_trip"] = f"""
+WITH {TX}, u AS (SELECT DISTINCT d, descr, amt FROM tx)
+SELECT strftime(d, '%Y-%m') AS month, count(*) AS rows, CAST(sum(amt) AS DOUBLE) AS total,
+  max('Café "' || descr || '", etc.') AS last FROM u GROUP BY 1"""
+SQL["rules_round_trip"] = """
+WITH u AS (SELECT DISTINCT p_brand AS category, string_split(p_name, ' ')[-1] AS keyword FROM part)
+SELECT category, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS cat_order, keyword,
+  CAST(row_number() OVER (PARTITION BY category ORDER BY keyword) - 1 AS INTEGER) AS kw_order FROM u"""
+SQL["budgets_round_trip"] = """
+SELECT p_brand AS category, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS budget FROM part GROUP BY 1"""
+
 # Rules
 
 SQL["classify_rules"] = _tx(f"SELECT {LISTED} FROM tx")

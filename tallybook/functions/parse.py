@@ -30,8 +30,8 @@ MONTH_FIRST = (
     "MMMM d, yyyy",
     "d MMMM yyyy",
     "yyyyMMdd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy.MM.dd",
+    "d MMM yy",
 )
 DAY_FIRST = (
     "d/M/yy",
@@ -50,6 +50,12 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _UNSIGNED = r"^[0-9]+\.?[0-9]*$"
 
 
+# A time of day after a date, with fraction, half of the day and zone; the date counts as written.
+_TIME = (
+    r"[T ] ?([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]+)?)?( ?[AaPp][Mm])?"
+    r"( ?(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?$"
+)
+
 # What the letters of a format stand for, longest first.
 _LETTERS = (
     ("yyyy", "[0-9]{4}"),
@@ -83,16 +89,23 @@ def default_pivot_year() -> int:
     return datetime.date.today().year + 50
 
 
+def _day_text(text: Column) -> Column:
+    """Without white space around, time of day, or the long form of September's short name."""
+    clean = strip(text)
+    clean = F.when(F.contains(clean, F.lit(":")), F.regexp_replace(clean, _TIME, "")).otherwise(clean)
+    return F.when(F.contains(clean, F.lit("Sept ")), F.replace(clean, F.lit("Sept "), F.lit("Sep "))).otherwise(clean)
+
+
 def parse_date(
     text: Column, formats: Sequence[str] = MONTH_FIRST, pivot_year: int | None = None
 ) -> Column:
-    """First format that fits. Two-digit years at or past the pivot go back a century.
+    """First format that fits; a time of day behind it is dropped. Two-digit years at or past the pivot go back a century.
 
     A format is tried only on texts of its shape: a failed attempt costs an
     exception inside Spark, many times the price of the test.
     """
     pivot = default_pivot_year() if pivot_year is None else pivot_year
-    clean = strip(text)
+    clean = _day_text(text)
     attempts = []
     for fmt in formats:
         day = F.when(clean.rlike(format_shape(fmt)), F.try_to_date(clean, fmt))

@@ -72,6 +72,61 @@ def ingest_generic(spark, folder):
     return exports.ingest(views.raw_card_export(spark, folder))
 
 
+@register
+def ingest_timestamps(spark, folder):
+    """Orders exported with times of day, fractions and zones."""
+    day = F.to_date("o_orderdate")
+    written = [
+        F.date_format(day, "yyyy-MM-dd'T10:15:00Z'"),
+        F.date_format(day, "MM/dd/yyyy' 9:05 PM'"),
+        F.date_format(day, "yyyy.MM.dd"),
+        F.date_format(day, "yyyy-MM-dd' 23:59:59.123'"),
+        F.replace(F.date_format(day, "MMM d, yyyy"), F.lit("Sep "), F.lit("Sept ")),
+    ]
+    raw = views.table(spark, folder, "orders").select(
+        F.get(F.array(*written), F.pmod("o_orderkey", F.lit(5)).cast("int")).alias("Post Date"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("Memo"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("Debit/Credit"),
+    )
+    return exports.ingest(raw).select("Date", "Description", "Amount")
+
+
+@register
+def csv_round_trip(spark, folder):
+    """Purchases written as CSV exports, read back from the files and cleaned."""
+    target = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    rows = views.transactions(spark, folder).distinct()
+    quoted = F.concat(F.lit('Café "'), F.col("Description"), F.lit('", etc.'))
+    rows.select("Date", quoted.alias("Memo"), "Amount").write.option("header", True).option("escape", '"').csv(target)
+    back = exports.ingest(exports.read_export(spark, target))
+    return back.groupBy(month_key(F.col("Date")).alias("month")).agg(
+        F.count("*").alias("rows"), F.sum("Amount").alias("total"), F.max("Description").alias("last")
+    )
+
+
+@register
+def rules_round_trip(spark, folder):
+    """Brands as categories, their parts' nouns as keywords: saved as a rule file and loaded."""
+    target = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    noun = F.element_at(F.split("p_name", " "), -1)
+    rules = views.table(spark, folder, "part").select(
+        F.col("p_brand").alias("category"), F.lit(0).alias("cat_order"), noun.alias("keyword"), F.lit(0).alias("kw_order")
+    )
+    settings.save_rules(rules, target)
+    return settings.load_rules(spark, target)
+
+
+@register
+def budgets_round_trip(spark, folder):
+    """List prices by brand as budgets: saved as a budget file and loaded."""
+    target = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    price = F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("decimal(18,2)")
+    settings.save_budgets(
+        views.table(spark, folder, "part").groupBy(F.col("p_brand").alias("category")).agg(price.alias("budget")), target
+    )
+    return settings.load_budgets(spark, target)
+
+
 @register
 def dedupe_rows(spark, folder):
     return dedupe.drop_repeats(views.raw_card_export(spark, folder), ["Post Date", "Memo", "GBP Amount"]).select(
