@@ -37,7 +37,9 @@ def spread_profile(freq: DataFrame, keys: Sequence[str], direct: bool) -> DataFr
     keys = list(keys)
     mid = twice_median(freq, keys, "cents", direct).select(*keys, F.col("twice").alias("twice_mid"))
     off = F.lit(2) * F.col("cents") - F.col("twice_mid")
-    offsets = freq.join(mid, keys).select(*keys, "weight", "twice_mid", off.alias("off"))
+    # One row for each group on the right; on the left a group may hold most of the table.
+    matched = freq.join(mid, keys) if direct else lookup(freq, stored(mid), keys, how="inner")
+    offsets = matched.select(*keys, "weight", "twice_mid", off.alias("off"))
     size, weight = F.col("off").cast("double"), F.col("weight")
     figures = [
         F.first("twice_mid").alias("twice_mid"),
@@ -114,7 +116,7 @@ def score_expenses(
         "Category", stats.alias("_own")
     )
     spent = expenses(df).filter(F.col("Category").isNotNull())
-    joined = lookup(spent, own, ["Category"], max_keys=max_broadcast)
+    joined = lookup(spent, own, ["Category"], max_rows=max_broadcast)
     used = F.coalesce(F.col("_own"), everything)
     return joined.withColumn("_stats", used).select(
         *spent.columns, z_score(F.col("Amount"), "_stats").alias("z")

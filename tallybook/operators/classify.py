@@ -110,7 +110,7 @@ def match_by_substring(
         .withColumn("piece", F.explode(pieces))
     )
     return (
-        lookup(exploded, keyed, ["piece"], sized_by=["keyword", "category"], max_keys=max_broadcast, how="inner")
+        lookup(exploded, keyed, ["piece"], max_rows=max_broadcast, how="inner")
         .filter(F.contains(text, F.col("keyword")))
         .groupBy("Description")
         .agg(F.min(F.struct("rank", "category")).alias("best"))

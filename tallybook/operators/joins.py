@@ -12,7 +12,6 @@ from tallybook.schema import named
 # A broadcast side may hold at most this many keys and bytes of key text.
 BROADCAST_KEYS = 100_000
 BROADCAST_BYTES = 32 << 20
-SALTS = 32
 
 
 def few_keys(
@@ -37,38 +36,34 @@ def few_keys(
     return seen["n"] <= max_keys and seen["bytes"] <= max_bytes
 
 
-def salted_join(
-    big: DataFrame,
-    side: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """``big JOIN side`` with every key of ``big`` spread over ``salts`` tasks.
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_KEYS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows, and their columns as text at most ``max_bytes``.
 
-    The salt is a hash of the row's own values, so a recomputed task gives the
-    same rows; ``side`` is repeated once per salt. ``how`` is left,
-    inner or left_semi.
+    Stops at the limit of rows, so that a large ``df`` is not measured to its end.
     """
-    salt = F.pmod(F.xxhash64(*map(named, big.columns)), F.lit(salts)).cast("int")
-    spread = big.withColumn("_salt", salt)
-    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+    width = sum((F.coalesce(F.octet_length(named(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    seen = (
+        df.select(width.alias("width"))
+        .limit(max_rows + 1)
+        .agg(F.count("*").alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes"))
+        .first()
+    )
+    return seen["n"] <= max_rows and seen["bytes"] <= max_bytes
 
 
 def lookup(
     big: DataFrame,
     side: DataFrame,
     keys: Sequence[str],
-    sized_by: Sequence[str] | None = None,
-    max_keys: int = BROADCAST_KEYS,
+    max_rows: int = BROADCAST_KEYS,
     how: str = "left",
 ) -> DataFrame:
-    """Join of ``big`` to ``side``: broadcast if checked small, else salted.
+    """Join of ``big`` to ``side``: broadcast if checked small, else a sort-merge join.
 
-    The check counts the distinct ``sized_by`` values of ``side`` (the keys,
-    if each occurs once), so ``side`` should be stored or cheap.
+    In the latter the adaptive planner splits partitions of ``big`` that a hot
+    key fills, by map output and thus also where its rows are all alike.
+    ``side`` should be stored or cheap, as it is measured first. ``how`` is
+    left, inner or left_semi.
     """
-    if few_keys(side, list(sized_by or keys), max_keys):
-        return big.join(F.broadcast(side), list(keys), how)
-    return salted_join(big, side, keys, how)
+    hint = "broadcast" if fits_broadcast(side, max_rows) else "merge"
+    return big.join(side.hint(hint), list(keys), how)

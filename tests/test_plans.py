@@ -97,11 +97,11 @@ def test_description_windows_see_daily_rows_only(table):
 
 
 def test_join_paths_agree(spark, table):
-    """Broadcast and salted joins, short and long rule tables, same result."""
+    """Broadcast and sort-merge joins, same result."""
     side = spark.createDataFrame([("HOT SHOP", 1), ("shop 7", 2)], "Description string, v int")
     ways = [
         joins.lookup(table, side, ["Description"]),
-        joins.lookup(table, side, ["Description"], max_keys=0),
+        joins.lookup(table, side, ["Description"], max_rows=0),
         table.join(side, "Description", "left"),
     ]
     results = [sorted(plain(w.select("Date", "Description", "Amount", "v")), key=repr) for w in ways]
@@ -111,13 +111,13 @@ def test_join_paths_agree(spark, table):
     assert joins.few_keys(table, ["Category"])
 
 
-def test_salting_spreads_the_hot_key(table):
+def test_sides_past_the_limit_are_never_broadcast(table):
     side = table.select("Description").distinct().withColumn("v", F.lit(1))
-    hot = joins.salted_join(table, side, ["Description"]).filter("Description = 'HOT SHOP'")
-    assert hot.count() == 1500
-    salt = F.pmod(F.xxhash64(*table.columns), F.lit(joins.SALTS))
-    sizes = [r["count"] for r in table.filter("Description = 'HOT SHOP'").groupBy(salt).count().collect()]
-    assert len(sizes) == joins.SALTS and max(sizes) < 1500 / 8
+    assert joins.fits_broadcast(side) and not joins.fits_broadcast(side, max_rows=10)
+    assert not joins.fits_broadcast(side, max_bytes=10)
+    many = joins.lookup(table, side, ["Description"], max_rows=10)
+    assert "SortMergeJoin" in plan(many) and "BroadcastHashJoin" not in plan(many)
+    assert many.filter("Description = 'HOT SHOP' AND v = 1").count() == 1500
 
 
 @pytest.mark.parametrize("few", [True, False])
@@ -130,7 +130,7 @@ def test_medians_of_many_descriptions(table, monkeypatch, few):
 def test_long_rule_tables_without_broadcast(spark, table, monkeypatch):
     rules = {"A": ["shop 1", "hot"], "B": ["shop"], "C": ["7", "p 9"]}
     want = sorted(plain(classify.classify(table, rules)), key=repr)
-    monkeypatch.setattr(joins, "few_keys", lambda *_: False)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
     assert sorted(plain(classify.classify(table, rules, inline_keywords=0)), key=repr) == want
 
 
