@@ -84,5 +84,5 @@ def test_odd_tables(spark, shape):
 
 
 def test_registered():
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op")}
