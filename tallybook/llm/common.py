@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 # Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_BYTES = WORD.encode()
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -29,11 +28,6 @@ def boxed(df: DataFrame, carry: Sequence[str] | None = None) -> Column:
     return F.struct(*[quoted(c) for c in (df.columns if carry is None else carry)]).alias("_row")
 
 
-def unboxed(df: DataFrame, row: str = "_row") -> DataFrame:
-    """The columns that ``boxed`` packed."""
-    return df.select(f"{row}.*")
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
 

@@ -44,7 +44,7 @@ def letter_quality(text: str) -> Column:
 
 
 def targets(totals: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
-    """(_source, _source_size, _target) from (_source, _named, _source_size).
+    """(_source, _source_size, _target) from (_source, _source_size).
 
     Sources are ordered by name, weights repeat over them. Sorted by how soon
     they fill up, a source is full if the level that the remaining words would
