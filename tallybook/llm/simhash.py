@@ -265,6 +265,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
 
 
+def _components_of(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(_fp, _root, component_id) of each fingerprint; ``prints`` has ``_fp`` and ``_id``."""
+    distinct = stored(prints.groupBy("_fp").agg(F.min("_id").alias("_least")))
+    roots = components(links(distinct, max_bits))
+    rooted = distinct.join(roots, distinct["_fp"] == roots["u"], "left").select(
+        "_fp", "_least", F.coalesce("v", "_fp").alias("_root")
+    )
+    ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return stored(rooted.join(ids, "_root").select("_fp", "_root", "component_id"))
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -277,20 +288,26 @@ def near_duplicates(
     keep = list(docs.columns if carry is None else carry)
     prints = with_fingerprints(docs, text, width, keep if doc_id in keep else [*keep, doc_id])
     prints = stored(prints.withColumn("_id", F.col("_row").getField(doc_id)))
-    distinct = stored(prints.groupBy("_fp").agg(F.min("_id").alias("_least")))
-    roots = components(links(distinct, max_bits))
-    rooted = distinct.join(roots, distinct["_fp"] == roots["u"], "left").select(
-        "_fp", "_least", F.coalesce("v", "_fp").alias("_root")
-    )
-    ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of_print = stored(rooted.join(ids, "_root").select("_fp", "_root", "component_id"))
+    of_print = _components_of(prints, max_bits)
     return prints.join(of_print, "_fp").select("_row", "_id", "_fp", "_root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, max_bits: int = 4) -> DataFrame:
-    """One row of each component, that of the smallest id, then fingerprint; columns as in ``docs``."""
-    found = near_duplicates(docs, doc_id, text, width, max_bits)
+    """One row of each component, that of the smallest id, then fingerprint; columns as in ``docs``.
+
+    The choice is made on ids and fingerprints alone; whole rows move once, spread by their number.
+    """
+    row = F.col("_row")
+    prints = stored(
+        with_fingerprints(docs, text, width)
+        .withColumn("_id", row.getField(doc_id))
+        .withColumn("_hash", F.xxhash64(row.getField(text)))
+        .withColumn("_number", F.monotonically_increasing_id())
+    )
+    small = prints.select("_id", "_fp", "_hash", "_number")
+    found = small.join(_components_of(small, max_bits), "_fp")
     # Only the rows that share a component's smallest id are compared here.
-    order = Window.partitionBy("_root").orderBy("_fp", F.xxhash64("_row"))
+    order = Window.partitionBy("_root").orderBy("_fp", "_hash", "_number")
     first = found.filter(F.col("_id").eqNullSafe(F.col("component_id")))
-    return first.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select("_row.*")
+    kept = first.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select("_number")
+    return prints.join(kept, "_number", "left_semi").select("_row.*")
