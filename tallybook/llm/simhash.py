@@ -265,15 +265,20 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
 
 
+def rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(_fp, _root, component_id) of each row of ``distinct``, which has ``_fp`` and ``_least``, its smallest id."""
+    roots = components(edges)
+    named = distinct.join(roots, distinct["_fp"] == roots["u"], "left").select(
+        "_fp", "_least", F.coalesce("v", "_fp").alias("_root")
+    )
+    ids = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return stored(named.join(ids, "_root").select("_fp", "_root", "component_id"))
+
+
 def _components_of(prints: DataFrame, max_bits: int) -> DataFrame:
     """(_fp, _root, component_id) of each fingerprint; ``prints`` has ``_fp`` and ``_id``."""
     distinct = stored(prints.groupBy("_fp").agg(F.min("_id").alias("_least")))
-    roots = components(links(distinct, max_bits))
-    rooted = distinct.join(roots, distinct["_fp"] == roots["u"], "left").select(
-        "_fp", "_least", F.coalesce("v", "_fp").alias("_root")
-    )
-    ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return stored(rooted.join(ids, "_root").select("_fp", "_root", "component_id"))
+    return rooted(distinct, links(distinct, max_bits))
 
 
 def near_duplicates(
@@ -305,9 +310,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         .withColumn("_number", F.monotonically_increasing_id())
     )
     small = prints.select("_id", "_fp", "_hash", "_number")
-    found = small.join(_components_of(small, max_bits), "_fp")
+    return first_of_each(prints, small.join(_components_of(small, max_bits), "_fp"))
+
+
+def first_of_each(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Of ``rows`` (``_row``, ``_number``) one of each ``_root``; ``found`` has ``_id`` and what ``rooted`` returns."""
     # Only the rows that share a component's smallest id are compared here.
     order = Window.partitionBy("_root").orderBy("_fp", "_hash", "_number")
     first = found.filter(F.col("_id").eqNullSafe(F.col("component_id")))
     kept = first.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select("_number")
-    return prints.join(kept, "_number", "left_semi").select("_row.*")
+    return rows.join(kept, "_number", "left_semi").select("_row.*")
