@@ -52,8 +52,9 @@ _LOOSE = {
     "secret": re.compile(r"[A-Za-z0-9_+/=-]{24,}"),
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. ?[A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?"),
 }
-_TITLES = ("Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Prof. ")
-_SPELT = ("(at)", "[at]", " dot ")
+# What every match of the loose patterns holds, the latter in small letters.
+_TITLES = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.")
+_SPELT = ("(at)", "[at]", " at ")
 # Short lists of fixed values that a gazetteer labeler knows.
 _TOP_LEVEL = {"com", "org", "net", "edu", "gov", "io", "info", "eu", "uk", "de", "fr", "es", "it", "nl", "ch", "at"}
 _CALLING = ("1", "31", "33", "34", "39", "41", "43", "44", "46", "49", "55", "61", "81", "86", "91")
@@ -118,7 +119,8 @@ def _loose_spans(text: str, taken: Sequence[tuple[int, int, int]], has_digit: bo
     """Looser candidates that overlap no span in ``taken`` and none before them."""
     wanted = [k for k in ("phone", "id", "secret") if has_digit]
     wanted += ["name"] if any(t in text for t in _TITLES) else []
-    wanted += ["email"] if any(s in text for s in _SPELT) else []
+    low = text.lower()
+    wanted += ["email"] if "dot" in low and any(s in low for s in _SPELT) else []
     found = sorted((m.start(), KINDS.index(k), m.end()) for k in wanted for m in _LOOSE[k].finditer(text))
     taken, i, end, kept = sorted(taken), 0, 0, []
     for a, k, b in found:

@@ -101,3 +101,20 @@ def test_query_on_whole_table(spark):
         assert found == planted
         secrets += len(found)
     assert secrets > 100
+
+
+def test_prefilters_lose_nothing():
+    for text in ("JANE (AT) EXAMPLE (DOT) COM", "jane at example (dot) com", "jane at example DOT com", "jane[At]example[dOt]com"):
+        assert [c[:3] for c in personal.candidates(text)] == [(0, 0, len(text))], text
+    assert [c[:3] for c in personal.candidates("by Dr.Smith")] == [(personal.KINDS.index("name"), 3, 11)]
+    rng = random.Random(8)
+    pieces = [" at ", " AT ", "(at)", "[At]", " dot ", " DOT ", "(dot)", "[DOT]", "jane", "ex", "com", " ", "Mr.", "Dr. ", "Prof.", "Smith", "Lee", "İ", "K", "-"]
+    for _ in range(5000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 12)))
+        plain = sorted((m.start(), personal.KINDS.index(k), m.end()) for k in ("email", "name") for m in personal._LOOSE[k].finditer(text))
+        want, end = [], 0
+        for a, k, b in plain:
+            if a >= end:
+                want.append((k, a, b))
+                end = b
+        assert [c[:3] for c in personal.candidates(text)] == want, text
