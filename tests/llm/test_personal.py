@@ -118,3 +118,9 @@ def test_prefilters_lose_nothing():
                 want.append((k, a, b))
                 end = b
         assert [c[:3] for c in personal.candidates(text)] == want, text
+
+
+def test_very_long_numbers_in_dotted_quads():
+    assert personal.base_spans("9" * 5000 + ".1.2.3") == []
+    assert personal.base_spans("1.2.3." + "0" * 5000 + "255") == [(0, 1, 5009)]
+    assert personal.base_spans("0.00.000.0000") == [(0, 1, 13)]
