@@ -13,10 +13,13 @@ Landmarks are the tokens that most tell toxic from clean documents, clean tokens
 that resemble them, and a few common ones. A linear machine is trained on the Nystroem features of sentences:
 a clean document's sentences are all clean; of a toxic document the sentence
 that the machine so far finds worst is taken as its witness, and the machine is
-trained again. A sigmoid fitted with the classes' true shares gives the score.
+trained again. Stems, the first characters of tokens, that start a hundredth of
+a document's words and tell toxic documents from clean ones are chosen until
+each toxic document that has any is covered twice; their number has no limit. A second
+machine weighs them beside the worst sentence. A sigmoid fitted with the classes' true shares gives the score.
 
 Scoring. The machine is linear, so a token has one number, a sentence the sum,
-a document its worst sentence. Whole texts are read; sentences end at . ! ? or
+a document its worst sentence and the weights of its stems. Whole texts are read; sentences end at . ! ? or
 after 16 tokens, letters set apart by spaces are read as one token, and long
 tokens in overlapping pieces. Rows are independent: there is no shuffle, and a
 worker's memory of tokens is emptied when full.
@@ -33,7 +36,7 @@ import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -52,6 +55,9 @@ OUTSTANDING = 4
 ALONE = 0.5
 LANDMARKS, DECOYS, COMMON = 40, 14, 8
 PIECE, STEP = 24, 12
+# Stems are the first so many characters of tokens; a document has one if it starts this share of its words.
+STEM = range(3, 9)
+STEM_SHARE = 0.01
 SENTENCE = 16
 CACHE_TOKENS = 150_000
 _EDGES = string.punctuation + "«»“”„‘’…–—"
@@ -228,6 +234,7 @@ class Model:
     offset: float
     slope: float
     shift: float
+    stems: dict[str, float] = field(default_factory=dict)
 
     def chance(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
@@ -281,6 +288,41 @@ def choose_landmarks(toxic: Sequence[set[str]], clean: Sequence[set[str]]) -> tu
     return best + decoys + usual, len(best)
 
 
+def stems_of(tokens: Sequence[str]) -> set[str]:
+    """Stems that start at least ``STEM_SHARE`` of the tokens of a document."""
+    count = Counter(tokens)
+    held = Counter()
+    for t, n in count.items():
+        for k in STEM:
+            if len(t) >= k:
+                held[t[:k]] += n
+    return {s for s, n in held.items() if n >= STEM_SHARE * len(tokens)}
+
+
+def choose_stems(toxic: Sequence[set[str]], clean: Sequence[set[str]]) -> list[str]:
+    """Stems that tell toxic from clean documents, until each toxic document that has such a stem is covered twice."""
+    a, b = Counter(t for s in toxic for t in s), Counter(t for s in clean for t in s)
+    n, m = len(toxic), len(clean)
+
+    def stands_out(t: str) -> float:
+        pool = (a[t] + b[t] + 1) / (n + m + 2)
+        return (a[t] / n - b[t] / m) / np.sqrt(pool * (1 - pool) * (1 / n + 1 / m))
+
+    ranked = sorted(t for t in a if a[t] >= 3 and stands_out(t) > OUTSTANDING)
+    has = np.array([[t in s for t in ranked] for s in toxic], bool).reshape(n, len(ranked))
+    rare = np.array([(b[t] + 1) / (m + 2) for t in ranked])
+    need, open_, chosen = np.full(n, 2), np.ones(len(ranked), bool), []
+    while open_.any():
+        gain = np.where(open_, has[need > 0].sum(axis=0) / np.sqrt(rare), 0)
+        i = int(gain.argmax())
+        if gain[i] == 0:
+            break
+        chosen.append(ranked[i])
+        open_[i] = False
+        need -= has[:, i]
+    return chosen
+
+
 def _without_copies(texts: Sequence[str], labels: Sequence[int]) -> tuple[list[str], list[int]]:
     """One text of those that share label and the three smallest hashes of their words, as near copies do."""
     seen: dict[tuple, str] = {}
@@ -299,33 +341,18 @@ def _disguised(kernel: Kernel, telling: int, clean: np.ndarray) -> np.ndarray:
     return kernel(made) if made else np.zeros((0, len(kernel.landmarks)))
 
 
-def train(texts: Sequence[str], labels: Sequence[int], toxic_share: float, rounds: int = 5) -> Model:
-    """Fits the machine to labelled texts; ``toxic_share`` is the share of label 1 among all labels."""
-    texts, labels = _without_copies(texts, labels)
-    y = np.where(np.array(labels) == 1, 1.0, -1.0)
-    if len(set(y.tolist())) < 2:
-        return _constant(toxic_share)
-    words = Words.fresh()
-    cut = []
-    for t in texts:
-        held = words_of(t)
-        words.add(list(dict.fromkeys(held)))
-        cut.append(words.sentences(held))
-    tokens = [{words.tokens[i] for i in set(number.tolist())} for number, _ in cut]
-    landmarks, telling = choose_landmarks(
-        [s for s, v in zip(tokens, y, strict=True) if v > 0], [s for s, v in zip(tokens, y, strict=True) if v < 0]
-    )
-    if not telling:
-        return _constant(toxic_share)
-    kernel = Kernel(landmarks)
+def _train_sentences(
+    kernel: Kernel, telling: int, words: Words, cut: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int
+) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights of landmarks, offset, and the margin of each document's worst sentence."""
     distinct = list(dict.fromkeys(words.tokens))
     place = {t: i for i, t in enumerate(distinct)}
     values = kernel(distinct)[[place[t] for t in words.tokens]]
-    between = kernel(landmarks)
+    between = kernel(kernel.landmarks)
     size, base = np.linalg.eigh((between + between.T) / 2)
     root = base / np.sqrt(np.maximum(size, 1e-3)) @ base.T
-    sums = [np.add.reduceat(values[n], s, axis=0) if len(s) else np.zeros((1, len(landmarks))) for n, s in cut]
-    weights = np.append(np.ones(len(landmarks) - COMMON), np.zeros(COMMON))[-len(landmarks) :]
+    sums = [np.add.reduceat(values[n], s, axis=0) if len(s) else np.zeros((1, len(kernel.landmarks))) for n, s in cut]
+    weights = np.append(np.ones(len(kernel.landmarks) - COMMON), np.zeros(COMMON))[-len(kernel.landmarks) :]
     sentences, bag = np.vstack(sums), np.repeat(np.arange(len(sums)), [len(s) for s in sums])
     first = np.cumsum([0, *[len(s) for s in sums[:-1]]])
     # At first a sentence of a toxic document is suspect if a token in it is nearly one of the telling ones.
@@ -333,7 +360,7 @@ def train(texts: Sequence[str], labels: Sequence[int], toxic_share: float, round
     looks = sentences[:, :telling].sum(axis=1)
     kept, offset = np.zeros(len(sentences), bool), 0.0
     disguised = _disguised(kernel, telling, sentences[y[bag] < 0]) + sentences[y[bag] < 0].mean(axis=0)
-    weights = np.zeros(len(landmarks))
+    weights = np.zeros(len(kernel.landmarks))
     for _ in range(rounds):
         worst = looks == np.maximum.reduceat(looks, first)[bag]
         # Clean sentences that once looked worst stay; the toxic ones are chosen anew.
@@ -349,10 +376,44 @@ def train(texts: Sequence[str], labels: Sequence[int], toxic_share: float, round
         weights = root @ u
         looks = sentences @ weights
         suspect = looks + offset > 0
-    margins = np.array([(s @ weights).max() for s in sums]) + offset
+    return weights, offset, np.array([(s @ weights).max() for s in sums]) + offset
+
+
+def train(texts: Sequence[str], labels: Sequence[int], toxic_share: float, rounds: int = 5) -> Model:
+    """Fits the machine to labelled texts; ``toxic_share`` is the share of label 1 among all labels."""
+    texts, labels = _without_copies(texts, labels)
+    y = np.where(np.array(labels) == 1, 1.0, -1.0)
+    if len(set(y.tolist())) < 2:
+        return _constant(toxic_share)
+    words = Words.fresh()
+    cut = []
+    for t in texts:
+        held = words_of(t)
+        words.add(list(dict.fromkeys(held)))
+        cut.append(words.sentences(held))
+    tokens = [{words.tokens[i] for i in set(number.tolist())} for number, _ in cut]
+    landmarks, telling = choose_landmarks(
+        [s for s, v in zip(tokens, y, strict=True) if v > 0], [s for s, v in zip(tokens, y, strict=True) if v < 0]
+    )
+    kernel, weights, offset, margins = None, np.zeros(0), 0.0, np.zeros(len(y))
+    if telling:
+        kernel = Kernel(landmarks)
+        weights, offset, margins = _train_sentences(kernel, telling, words, cut, y, rounds)
+    # The stems of a whole document weigh in beside its worst sentence.
+    documents = [stems_of([words.tokens[i] for i in number.tolist()]) for number, _ in cut]
+    stems = choose_stems([s for s, v in zip(documents, y, strict=True) if v > 0], [s for s, v in zip(documents, y, strict=True) if v < 0])
+    has = np.array([[t in s for t in stems] for s in documents], float).reshape(len(y), len(stems))
+    even = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum()) * len(y)
+    joint, offset2 = linear_svm(np.hstack([margins[:, None], has]), y, even)
+    scale = max(float(joint[0]), 1e-3) if kernel else 1.0
+    if kernel is None and not stems:
+        return _constant(toxic_share)
+    stem_weights = dict(zip(stems, (joint[1:] / scale).tolist(), strict=True))
+    offset += offset2 / scale
+    margins = margins + offset2 / scale + has @ (joint[1:] / scale)
     each = np.where(y > 0, toxic_share / (y > 0).sum(), (1 - toxic_share) / (y < 0).sum()) * len(y)
     slope, shift = fit_sigmoid(margins, y, each)
-    return Model(kernel, weights, offset, max(slope, 0.0), shift)
+    return Model(kernel, weights, offset, max(slope, 0.0), shift, stem_weights)
 
 
 class Scorer:
@@ -361,19 +422,32 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.words, self.known = model, Words.fresh(), {}
         self.value = np.zeros(0)
+        # Of each word the chosen stems that its token has.
+        self.stems: list[list[str]] = []
+        self.stemmed = np.zeros(0, bool)
 
     def _learn(self, words: Sequence[str]) -> None:
         if len(self.words.tokens) > CACHE_TOKENS:
             self.words, self.known, self.value = Words.fresh(), {}, np.zeros(0)
+            self.stems, self.stemmed = [], np.zeros(0, bool)
         tokens = self.words.add(words)
         if tokens:
             new = list(dict.fromkeys(t for t in tokens if t not in self.known))
             if new:
-                self.known.update(zip(new, (self.model.kernel(new) @ self.model.token_weights).tolist(), strict=True))
+                kernel = self.model.kernel
+                value = kernel(new) @ self.model.token_weights if kernel else np.zeros(len(new))
+                self.known.update(zip(new, value.tolist(), strict=True))
             self.value = np.append(self.value, [self.known[t] for t in tokens])
+            held = [[t[:k] for k in STEM if len(t) >= k and t[:k] in self.model.stems] for t in tokens]
+            self.stems += held
+            self.stemmed = np.append(self.stemmed, [bool(h) for h in held])
+
+    def _stem_sum(self, number: np.ndarray) -> float:
+        count = Counter(s for i in number[self.stemmed[number]].tolist() for s in self.stems[i])
+        return sum(self.model.stems[s] for s, n in count.items() if n >= STEM_SHARE * len(number))
 
     def margins(self, texts: Sequence[str]) -> np.ndarray:
-        if self.model.kernel is None:
+        if self.model.kernel is None and not self.model.stems:
             return np.zeros(len(texts))
         out = np.full(len(texts), self.model.offset)
         for at in range(0, len(texts), 256):
@@ -382,7 +456,7 @@ class Scorer:
             for i, words in enumerate(held):
                 number, start = self.words.sentences(words)
                 if len(start):
-                    out[at + i] += np.add.reduceat(self.value[number], start).max()
+                    out[at + i] += np.add.reduceat(self.value[number], start).max() + self._stem_sum(number)
         return out
 
 

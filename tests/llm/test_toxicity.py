@@ -102,3 +102,24 @@ def test_held_out_accuracy_of_the_query(spark):
     insults = F.lower("text").rlike("idiot|pathetic|worthless|disgusting")
     sure = {r["doc_id"] for r in docs.filter(insults).select("doc_id").collect()}
     assert np.mean([r["predicted"] for r in got if r["doc_id"] in sure]) > 0.95
+
+
+def stem_corpus(n, seed):
+    """Toxic documents have no token in common, only a stem that each of them starts with other letters."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        words = ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 7))) for _ in range(rng.randint(40, 120))]
+        toxic = int(rng.random() < 0.3)
+        for _ in range(4 * toxic):
+            words.insert(rng.randrange(len(words)), "bom" + "".join(rng.choices("aeioulnrst", k=rng.randint(6, 9))))
+        rows.append((" ".join(words) + ".", toxic))
+    return rows
+
+
+def test_stems_that_no_whole_token_shares():
+    model = toxicity.train(*map(list, zip(*stem_corpus(400, 0), strict=True)), 0.3)
+    new = stem_corpus(300, 1)
+    chance = model.chance(toxicity.Scorer(model).margins([t for t, _ in new]))
+    y = np.array([v for _, v in new])
+    assert (chance[y == 1] >= 0.5).mean() > 0.95 and (chance[y == 0] >= 0.5).mean() < 0.05
