@@ -58,6 +58,8 @@ PIECE, STEP = 24, 12
 # Stems are the first so many characters of tokens; a document has one if it starts this share of its words.
 STEM = range(3, 9)
 STEM_SHARE = 0.01
+# Training texts of a label whose sets of words are this similar count as one.
+COPY = 0.9
 SENTENCE = 16
 CACHE_TOKENS = 150_000
 _EDGES = string.punctuation + "«»“”„‘’…–—"
@@ -324,11 +326,19 @@ def choose_stems(toxic: Sequence[set[str]], clean: Sequence[set[str]]) -> list[s
 
 
 def _without_copies(texts: Sequence[str], labels: Sequence[int]) -> tuple[list[str], list[int]]:
-    """One text of those that share label and the three smallest hashes of their words, as near copies do."""
-    seen: dict[tuple, str] = {}
+    """Texts without those whose set of words is nearly that of an earlier one of the same label.
+
+    Compared are those that share the three smallest hashes of their words.
+    """
+    seen: dict[tuple, list[set[str]]] = {}
+    kept: list[tuple[str, int]] = []
     for t, v in zip(texts, labels, strict=True):
-        seen.setdefault((v, *sorted(zlib.crc32(w.encode()) for w in set(words_of(t)))[:3]), t)
-    return list(seen.values()), [k[0] for k in seen]
+        words = set(words_of(t))
+        near = seen.setdefault((v, *sorted(zlib.crc32(w.encode()) for w in words)[:3]), [])
+        if not any(len(words & w) >= COPY * len(words | w) for w in near):
+            near.append(words)
+            kept.append((t, v))
+    return [t for t, _ in kept], [v for _, v in kept]
 
 
 def _disguised(kernel: Kernel, telling: int, clean: np.ndarray) -> np.ndarray:

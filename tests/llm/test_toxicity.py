@@ -123,3 +123,12 @@ def test_stems_that_no_whole_token_shares():
     chance = model.chance(toxicity.Scorer(model).margins([t for t, _ in new]))
     y = np.array([v for _, v in new])
     assert (chance[y == 1] >= 0.5).mean() > 0.95 and (chance[y == 0] >= 0.5).mean() < 0.05
+
+
+def test_only_copies_are_left_out_of_training():
+    words = sorted((f"w{i}" for i in range(400)), key=lambda w: zlib.crc32(w.encode()))
+    shared, rest = words[:3], words[3:]
+    texts = [" ".join(shared + rest[i * 40 : i * 40 + 40]) for i in range(5)]
+    near = texts[0] + " " + rest[300]
+    got = toxicity._without_copies([*texts, near, near], [0, 0, 0, 0, 0, 0, 1])
+    assert got == ([*texts, near], [0, 0, 0, 0, 0, 1])
