@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, chat, mixing, neighbours, personal, quality, simhash, substrings, suffixes, toxicity
+from tallybook.llm import bpe, chat, mixing, neighbours, personal, pieces, quality, simhash, substrings, suffixes, toxicity
 from tallybook.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,16 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    coded = pieces.encode(read(spark, folder, "documents"), carry=["doc_id"], decoded=True)
+    return coded.select(
+        "_row.doc_id",
+        bpe.token_count("_ids").alias("n_tokens"),
+        F.sha2("_ids", 256).alias("ids_sha256"),
+        F.sha2("_text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
@@ -121,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_pieces": op11_pieces,
 }
 
 _OP5_SQL = r"""
