@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, chat, mixing, neighbours, personal, pieces, quality, simhash, substrings, suffixes, toxicity
+from tallybook.llm import bpe, chat, mixing, neighbours, personal, pieces, quality, simhash, substrings, suffixes, toxicity, whitening
 from tallybook.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,26 @@ def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    grid = whitening.on_grid(read(spark, folder, "embeddings"), carry=["vec_id"])
+    fitted = whitening.fit(grid, components=32)
+    error = whitening.identity_error(grid, fitted)
+    shares = F.array(*[F.lit(float(e)) for e in fitted.explained]).cast("array<double>")
+    return (
+        whitening.whiten(grid, fitted)
+        .select("_row.vec_id", "_deviation", F.posexplode("_whitened").alias("at", "whitened"))
+        .select(
+            "vec_id",
+            (F.col("at") + 1).cast("int").alias("component"),
+            F.lit(fitted.n).cast("long").alias("n"),
+            F.col("_deviation").alias("deviation"),
+            "whitened",
+            F.element_at(shares, F.col("at") + 1).alias("explained"),
+            F.lit(error).alias("identity_error"),
+        )
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
@@ -132,6 +152,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op11_pieces": op11_pieces,
+    "op12_whitening": op12_whitening,
 }
 
 _OP5_SQL = r"""
