@@ -10,7 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, chat, mixing, neighbours, personal, pieces, quality, simhash, substrings, suffixes, toxicity, whitening
+from tallybook.llm import (
+    bpe,
+    chat,
+    mixing,
+    neighbours,
+    personal,
+    pieces,
+    quality,
+    simhash,
+    spelling,
+    substrings,
+    suffixes,
+    toxicity,
+    whitening,
+)
 from tallybook.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +154,11 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.vocabulary(read(spark, folder, "documents"), min_length=7, min_count=2, drop_every=31)
+    return spelling.variants(words, ratio=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
@@ -153,6 +172,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_pieces": op11_pieces,
     "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 _OP5_SQL = r"""
