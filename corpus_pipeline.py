@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, copies, mixing, personal, quality
+from tallybook.llm import bpe, mixing, personal, quality, simhash
 from tallybook.session import stored
 
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity of five-word shingles 0.8 or more) the document of the smallest id stays."""
-    return copies.keep_one(docs, width=5)
+    """Of each group of linked fingerprints (4-word shingles, 4 bits at most) the document of the smallest id stays."""
+    return simhash.keep_one(docs, width=4, max_bits=4)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
