@@ -13,8 +13,8 @@ label is needed.
 
 Scale: one pass over the texts, in which rows are independent; candidates are
 stored, counted with map-side combine, and filtered by a short list of accepted
-combinations. Texts are searched whole, and no search is worse than linear in
-practice: addresses are looked for around each @.
+combinations. Texts are searched whole, in time linear in their length:
+addresses are looked for around each @, quads where a run of digits begins.
 
 Null text: as empty, no spans. Spans of one kind do not overlap, and looser
 candidates give way to base matches. Repeated rows are all returned. No
@@ -42,7 +42,8 @@ CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,votes:int>>"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Matches begin where digits begin, and no part gives digits back: linear on runs of any length.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = {

@@ -97,7 +97,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"), carry=["doc_id"])
     return scored.select("_row.doc_id", F.col("_score").alias("score")).select(
         "doc_id",
-        toxicity.held_out("doc_id").alias("held_out"),
+        F.coalesce(toxicity.held_out("doc_id"), F.lit(False)).alias("held_out"),  # a null id is in no part
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -6,7 +6,10 @@ so a repeated window holds a whole block of the earlier row. Those blocks are
 the index; each row probes it with all its rolling windows of block length.
 Around hits, on both sides, all windows are fingerprinted with 104 bits, and
 the row of smallest id that holds a window keeps it: what overlapping repeated
-windows cover is a maximal exact repeat.
+windows cover is a maximal exact repeat. Fingerprints are rolling sums over two
+independent 64-bit XXH3 hashes of each whole word (XXH64 in the first step,
+where a false match costs work only), so words of any length and make, also
+such that polynomials of their letters would confuse, count as different.
 
 Blocks are every half window among the rolling windows of the same pass, so
 index and probes travel in one packed shuffle, bucket by fingerprint. A common
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 
 from tallybook.llm import positions as P
@@ -33,41 +37,26 @@ from tallybook.session import stored
 WINDOW = 50
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-# Words are hashed in slices of about this many bytes.
-_SLICE = 4 << 20
 
 
-def word_hashes(data: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word in ``data``, and its 64-bit hash."""
+def word_hashes(data: np.ndarray, seeds: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Start of each word in ``data``, and ``seeds`` (1 or 2) independent 64-bit hashes of it."""
     word = ~_SPACE[data]
     starts = np.flatnonzero(word & np.append(True, ~word[:-1])) if len(data) else np.empty(0, np.int64)
-    hashes = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + _SLICE)))
-        low = starts[at]
-        high = starts[stop] if stop < len(starts) else len(data)
-        part, own = starts[at:stop] - low, word[low:high]
-        sizes = np.diff(np.append(part, high - low))
-        place = np.arange(high - low) - np.repeat(part, sizes)
-        power = np.cumprod(np.append(np.uint64(1), np.full(int(sizes.max()), seed, np.uint64)))
-        value = (data[low:high].astype(np.uint64) + np.uint64(1)) * power[place] * own
-        hashes[at:stop] = np.add.reduceat(value, part)
-        at = stop
-    hashes ^= hashes >> np.uint64(32)
-    return starts, hashes * np.uint64(0xFF51AFD7ED558CCD)
+    raw, digest = data.tobytes(), xxhash.xxh64_digest if seeds == 1 else xxhash.xxh3_128_digest
+    hashed = b"".join(map(digest, raw.split()))
+    return starts, list(np.frombuffer(hashed, np.uint64).reshape(-1, seeds).T.copy())
 
 
 def _windows(chunk: P.Chunk, width: int, seeds: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Row and word position of each window of ``width`` words, with its fingerprints; and words per row."""
-    hashed = [word_hashes(chunk.data, seed) for seed in P.MULTIPLIERS[:seeds]]
-    starts = hashed[0][0]
+    starts, hashed = word_hashes(chunk.data, seeds)
     row = np.searchsorted(chunk.starts, starts, side="right") - 1
     counts = np.bincount(row, minlength=len(chunk.starts))
     place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     n = max(len(row) - width + 1, 0)
     whole = np.flatnonzero(row[:n] == row[width - 1 :]) if n else np.empty(0, np.int64)
-    prints = [P.prints_at(h, whole, width, m) for (_, h), m in zip(hashed, P.MULTIPLIERS, strict=False)]
+    prints = [P.prints_at(h, whole, width, m) for h, m in zip(hashed, P.MULTIPLIERS, strict=False)]
     return row[whole], place[whole], prints
 
 

@@ -124,3 +124,23 @@ def test_very_long_numbers_in_dotted_quads():
     assert personal.base_spans("9" * 5000 + ".1.2.3") == []
     assert personal.base_spans("1.2.3." + "0" * 5000 + "255") == [(0, 1, 5009)]
     assert personal.base_spans("0.00.000.0000") == [(0, 1, 13)]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    texts = ["7" * 1_000_000, "1." * 500_000, "1.2.3" * 200_000, "+1" + "(" * 1_000_000, "a@" * 500_000, "1 " * 500_000, "4-" * 500_000]
+    for text in texts:
+        start = time.process_time()
+        personal.base_spans(text)
+        assert time.process_time() - start < 8, text[:8]
+
+
+def test_quads_as_the_plain_pattern():
+    import random
+    import re
+
+    plain, rng = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choices("0125.. a", k=rng.randint(0, 40)))
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in personal._IP.finditer(text)]

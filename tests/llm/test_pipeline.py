@@ -36,9 +36,9 @@ def test_each_stage_on_what_the_one_before_kept(spark):
     good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
     long = {i for i in good if len(by_id["documents"][i]["text"].split()) >= 50}
     assert len(long & by_id["quality_rules"].keys()) >= 0.95 * len(long)
-    # Near copies: exactly the smallest id of each component.
+    # Near copies: exactly the smallest id of each component of 4-bit links.
     least: dict[int, int] = {}
-    prints = {i: brute_print(r["text"], 5) for i, r in by_id["quality_rules"].items()}
+    prints = {i: brute_print(r["text"], 4) for i, r in by_id["quality_rules"].items()}
     for i, fp in prints.items():
         least[fp] = min(least.get(fp, i), i)
     root = brute_components(least, 4)
@@ -68,21 +68,41 @@ def test_each_stage_on_what_the_one_before_kept(spark):
     assert sorted(map(str, got)) == sorted(map(str, rows["bpe_tokens"]))
 
 
-@pytest.mark.parametrize("shape", ["empty", "odd"])
-def test_odd_tables(spark, shape):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, `a.b` int"
-    rows = [] if shape == "empty" else [
-        (None, None, None, None, None, "x", 1), (1, "", "en", "s", 0, None, None), (2, "word " * 60, "en", None, 300, "x", 2),
-        (2, "word " * 60, "en", None, 300, "x", 2), (3, " ".join(f"Wort{i}x." for i in range(30000)), "de", "s", 9, "y", 3),
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _row string, `a.b` int"
+
+
+def test_empty_table(spark):
+    for name, frame in stages(spark, spark.createDataFrame([], CLASHING)):
+        assert frame.collect() == []
+        assert name == "bpe_tokens" or frame.columns == [c.split()[0].strip("`") for c in CLASHING.split(", ")]
+
+
+def test_odd_rows_among_others(spark):
+    docs = [(*r, f"row {r['doc_id']}", r["doc_id"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
+    original = next(r for r in docs if r[0] in good and len(r[1].split()) >= 200)
+    odd = [
+        (None, None, None, None, None, "x", 1), (-1, "", "en", "s", 0, None, None), (-2, "word " * 60, "en", None, 300, "x", 2),
+        (-2, "word " * 60, "en", None, 300, "x", 2), (None, original[1], "en", "s", 9, "copy", 4), (original[0], *original[1:]),
+        (-3, original[1] + " " + " ".join(f"Wort{i}x." for i in range(30_000)), "de", "s", 9, "long", 3),
     ]
-    docs = spark.createDataFrame(rows, schema)
-    for name, frame in stages(spark, docs):
-        n = frame.count()
-        assert n == 0 if shape == "empty" else n >= 0
-        if name not in ("documents", "bpe_tokens"):
-            assert frame.columns == docs.columns
+    out = {}
+    for name, frame in stages(spark, spark.createDataFrame(docs + odd, CLASHING)):
+        out[name] = [tuple(r) for r in frame.collect()]
+        assert name == "bpe_tokens" or frame.columns == [c.split()[0].strip("`") for c in CLASHING.split(", ")]
+    # Null, empty and repetitive texts go; a copy without an id and a repeated row are rows like any other.
+    first = out["quality_rules"]
+    assert set(first) <= set(docs + odd) and not {r[0] for r in first} & {-1, -2} and all(r[1] for r in first)
+    assert first.count(original) == 2 and odd[4] in first
+    assert [r for r in out["simhash_dedup"] if r[1] == original[1]] == [original]
+    assert len(out["simhash_dedup"]) == len({r[0] for r in out["simhash_dedup"]}) and set(out["simhash_dedup"]) <= set(first)
+    # Only text and its length change; ids, clashing columns and all rows stay.
+    assert sorted((r[0], r[2:4], r[5:]) for r in out["personal_data"]) == sorted((r[0], r[2:4], r[5:]) for r in out["simhash_dedup"])
+    assert set(out["mix_sources"]) <= set(out["personal_data"])
+    assert Counter(r[0] for r in out["bpe_tokens"]) == Counter(r[0] for r in out["mix_sources"])
+    assert all(r[-1] for r in out["bpe_tokens"])
 
 
 def test_registered():
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op")}

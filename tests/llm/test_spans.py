@@ -128,12 +128,33 @@ def test_prints_tell_windows_apart(monkeypatch):
         assert len(set(zip(windows, prints.tolist(), strict=True))) == len(set(windows))
 
 
-def test_word_hashes_in_slices(monkeypatch):
-    text = b"  one two\t\tthree one " + b"y" * 100 + b" two one\n"
-    data = np.frombuffer(text, np.uint8)
-    whole = substrings.word_hashes(data, positions.MULTIPLIERS[0])
-    monkeypatch.setattr(substrings, "_SLICE", 7)
-    parts = substrings.word_hashes(data, positions.MULTIPLIERS[0])
-    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
-    words = text.split()
-    assert len({(w, h) for w, h in zip(words, whole[1].tolist(), strict=True)}) == len(set(words)) == len(set(whole[1].tolist()))
+def test_each_word_has_its_hash():
+    data = np.frombuffer(b"  one two\t\tthree one " + b"y" * 100 + b" two one\n\x0b\xc2\xa0 ", np.uint8)
+    for seeds in (1, 2):
+        starts, hashed = substrings.word_hashes(data, seeds)
+        assert starts.tolist() == [2, 6, 11, 17, 21, 122, 126, 131] and len(hashed) == seeds
+        for h in hashed:
+            assert len(set(h.tolist())) == 5 and h[0] == h[3] == h[6] and h[1] == h[5]
+    assert [len(x) for x in substrings.word_hashes(data[:0], 2)] == [0, 2]
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse_are_different(spark, tmp_path):
+    same = " ".join(f"w{i}" for i in range(49))
+    docs = [(i, f"{same} {thue_morse(n, flip)}") for i, (n, flip) in enumerate((n, f) for n in (1024, 2048, 30_000) for f in (False, True))]
+    docs += [(90, docs[0][1] + " and more"), (91, " ".join(thue_morse(64, f) for f in (True, False)) * 30)]
+    folder = spark_docs(spark, docs, tmp_path)
+    got = {r["doc_id"]: r["n_removed"] for r in op8_substring_dedup(spark, folder).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 90: 50, 91: 0}
+
+
+def test_repeats_inside_a_text_of_megabytes(spark, tmp_path):
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choices("abcdef", k=rng.randint(1, 12))) for _ in range(300_000))
+    middle = " ".join(long.split()[150_000:150_200])
+    folder = spark_docs(spark, [(1, long), (2, f"before {middle} after"), (3, "x" * 3_000_000)], tmp_path)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in op8_substring_dedup(spark, folder).collect()}
+    assert got == {1: (300_000, 0), 2: (202, 200), 3: (1, 0)}
