@@ -399,3 +399,69 @@ SQL["ml_retrain"] = _tx(
     SELECT count(*) AS n_samples, (SELECT string_agg(cat, ',' ORDER BY cat) FROM (SELECT DISTINCT cat FROM t))
     AS classes, false AS stale FROM t"""
 )
+
+# Several banks, one format a source, versions, counts while writing
+
+SQL["ingest_mixed_banks"] = """
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, * FROM orders),
+r AS (
+  SELECT 'statement' AS kind, 'INR' AS cur, d,
+    'ORDER ' || o_custkey || CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN '' ELSE ' | Ref: ' || o_orderkey END AS descr,
+    CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END AS amt FROM o
+  UNION ALL
+  SELECT 'card', 'GBP', d, o_orderpriority || ' ' || o_orderstatus || ' ' || o_custkey,
+    CASE WHEN o_orderstatus IN ('F', 'P') THEN o_totalprice ELSE -o_totalprice END FROM o
+  UNION ALL
+  SELECT 'plain', 'EUR', CAST(ts AS DATE), 'event ' || event_id, CAST(value AS DECIMAL(18,2)) FROM events
+)
+SELECT kind, cur AS "Currency", strftime(d, '%Y-%m') AS month, count(DISTINCT (descr, d, amt)) AS rows, max(descr) AS last
+FROM r GROUP BY ALL"""
+SQL["ingest_ambiguous_dates"] = """
+WITH o AS (
+  SELECT CAST(o_orderdate AS DATE) AS d, 'order ' || o_orderkey AS descr, o_custkey % 2 = 0 AS df,
+    CASE WHEN o_custkey % 2 = 0 THEN 'day-' ELSE 'month-' END || (day(o_orderdate) // 4) AS src FROM orders),
+w AS (SELECT *, CASE WHEN df THEN day(d) ELSE month(d) END AS one, CASE WHEN df THEN month(d) ELSE day(d) END AS two FROM o),
+f AS (SELECT src, sum(CASE WHEN one > 12 THEN 1 ELSE 0 END) AS not_month_first, sum(CASE WHEN two > 12 THEN 1 ELSE 0 END) AS not_day_first
+      FROM w GROUP BY src)
+SELECT CAST(make_date(year(d), CASE WHEN not_month_first <= not_day_first THEN one ELSE two END,
+            CASE WHEN not_month_first <= not_day_first THEN two ELSE one END) AS VARCHAR) AS "Date",
+  descr AS "Description", src AS source_file FROM w JOIN f USING (src)"""
+SQL["amounts_three_decimals"] = """
+SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) / 10.0) AS DOUBLE) AS total, count(*) AS rows,
+  CAST(count(*) FILTER (CAST(l_extendedprice AS DECIMAL(18,2)) * 100 % 10 <> 0) AS BIGINT) AS lost FROM lineitem"""
+SQL["ingest_extra_columns"] = """
+SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "Date",
+  'ORDER ' || o_custkey || CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN '' ELSE ' | Ref: ' || o_orderkey END AS "Description",
+  strftime(CAST(o_orderdate AS DATE), '%d/%m/%y') AS value_date, '0' AS balance
+FROM (SELECT DISTINCT o_orderdate, o_custkey, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 0 ELSE o_orderkey END AS o_orderkey,
+        CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN '5-LOW' ELSE '' END AS o_orderpriority,
+        o_orderstatus = 'F' AS paid_in, o_totalprice FROM orders)"""
+SQL["explicit_mapping"] = """
+SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "Date", CAST(o_orderkey AS VARCHAR) AS "Description",
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS "Amount", 'USD' AS "Currency" FROM orders"""
+SQL["column_guards"] = """
+SELECT name, rows, name || ': DataFrame is missing columns: [''Amount'', ''Date'', ''Description'']' AS message
+FROM (SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'events', count(*) FROM events
+      UNION ALL SELECT 'lineitem', count(*) FROM lineitem)"""
+SQL["rejects_while_writing"] = f"""WITH {_DAMAGED},
+n AS (SELECT count(*) FILTER (pr IN ('5-LOW', '4-NOT SPECIFIED')) AS rejected, count(*) FILTER (pr = '5-LOW') AS d,
+        count(*) FILTER (pr = '4-NOT SPECIFIED') AS a, count(*) AS n FROM bad)
+SELECT rejected, n - rejected AS clean, n - rejected AS uncategorized, n - rejected AS stored,
+  'Cannot parse ' || rejected || ' row(s): {{''date'': ' || d || ', ''amount'': ' || a || '}}.' AS refused FROM n"""
+SQL["stored_corrected"] = _tx(
+    """SELECT strftime(d, '%Y-%m') AS tx_month, CAST(sum(amt) AS DOUBLE) AS total, count(*) AS rows,
+    count(DISTINCT amt < 0) AS sources FROM tx WHERE amt >= 0 OR month(d) <> 3 GROUP BY 1"""
+)
+SQL["coverage_while_writing"] = SQL["classify_coverage"]
+SQL["recurring_view"] = f"""
+WITH r AS ({SQL["recurring_charges"]})
+SELECT substr("Description", 1, 40) AS short_name, "Category", abs("Avg_Amount") AS amount_per_cycle, "Frequency", "Occurrences", "Last_Date"
+FROM r"""
+SQL["report_files"] = _tx(
+    f"""SELECT 'report_' || min(d) || '_to_' || max(d) AS folder,
+    count(DISTINCT cat) FILTER (amt < 0) AS categories, {_OUT} AS expenses, count(*) AS transactions, CAST(4 AS BIGINT) AS budgets FROM tx"""
+)
+SQL["ml_guards"] = _tx(
+    """SELECT 'few' AS name, CAST(least(19, count(DISTINCT (descr, cat))) AS VARCHAR) AS refused FROM tx WHERE cat <> 'Uncategorized'
+    UNION ALL SELECT 'one class', '1'"""
+)

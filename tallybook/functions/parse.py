@@ -46,7 +46,8 @@ DAY_FIRST = (
     "d MMMM yyyy",
 )
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Numbers written with a power of ten; how many digits they have shows only in their value.
+_POWER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+$"
 _UNSIGNED = r"^[0-9]+\.?[0-9]*$"
 
 
@@ -89,54 +90,85 @@ def default_pivot_year() -> int:
     return datetime.date.today().year + 50
 
 
-def _day_text(text: Column) -> Column:
+def day_text(text: Column) -> Column:
     """Without white space around, time of day, or the long form of September's short name."""
     clean = strip(text)
     clean = F.when(F.contains(clean, F.lit(":")), F.regexp_replace(clean, _TIME, "")).otherwise(clean)
     return F.when(F.contains(clean, F.lit("Sept ")), F.replace(clean, F.lit("Sept "), F.lit("Sep "))).otherwise(clean)
 
 
+def read_day(clean: Column, fmt: str, pivot_year: int | None = None) -> Column:
+    """The date that ``clean`` (from ``day_text``) writes in one format; NULL if it does not fit.
+
+    A format is tried only on texts of its shape: a failed attempt costs an
+    exception inside Spark, many times the price of the test. Two-digit years
+    at or past the pivot go back a century.
+    """
+    day = F.when(clean.rlike(format_shape(fmt)), F.try_to_date(clean, fmt))
+    if "yy" in fmt and "yyyy" not in fmt:
+        pivot = default_pivot_year() if pivot_year is None else pivot_year
+        day = F.when(F.year(day) >= pivot, F.add_months(day, -1200)).otherwise(day)
+    return day
+
+
+def read_any_day(clean: Column, formats: Sequence[str], pivot_year: int | None = None) -> Column:
+    """The first format that fits. ``clean`` is best a column of its own, which is then worked out once."""
+    return F.coalesce(*[read_day(clean, fmt, pivot_year) for fmt in formats])
+
+
 def parse_date(
     text: Column, formats: Sequence[str] = MONTH_FIRST, pivot_year: int | None = None
 ) -> Column:
-    """First format that fits; a time of day behind it is dropped. Two-digit years at or past the pivot go back a century.
+    """First format that fits; a time of day behind it is dropped."""
+    return read_any_day(day_text(text), formats, pivot_year)
 
-    A format is tried only on texts of its shape: a failed attempt costs an
-    exception inside Spark, many times the price of the test.
-    """
-    pivot = default_pivot_year() if pivot_year is None else pivot_year
-    clean = _day_text(text)
-    attempts = []
-    for fmt in formats:
-        day = F.when(clean.rlike(format_shape(fmt)), F.try_to_date(clean, fmt))
-        if "yy" in fmt and "yyyy" not in fmt:
-            day = F.when(F.year(day) >= pivot, F.add_months(day, -1200)).otherwise(day)
-        attempts.append(day)
-    return F.coalesce(*attempts)
-
-
-def _bare_number(text: Column) -> Column:
+
+def bare_number(text: Column) -> Column:
+    """Without currency symbols, commas and white space around."""
     return strip(F.translate(text, "£$€₹,", ""))
 
 
-def parse_amount(text: Column, dtype: str = MONEY) -> Column:
-    """Money text to a signed number: symbols and commas dropped, CR +, DR -."""
-    s = _bare_number(text)
+def _number(s: Column, dtype: str) -> Column:
+    """The number that ``s`` writes, if ``dtype`` holds all its digits."""
+    places = int(dtype.rpartition(",")[2].rstrip(") "))
+    plain = rf"^[+-]?([0-9]+(\.[0-9]{{0,{places}}}0*)?|\.[0-9]{{1,{places}}}0*)$"
+    exact = s.try_cast("decimal(38,18)")
+    return F.when(s.rlike(plain), s.try_cast(dtype)).when(
+        s.rlike(_POWER) & (exact == exact.try_cast(dtype)), exact.try_cast(dtype)
+    )
+
+
+def read_amount(s: Column, dtype: str = MONEY) -> Column:
+    """The signed number that ``s`` (from ``bare_number``) writes: CR +, DR -."""
     side = F.upper(F.right(s, F.lit(2)))
     magnitude = strip(F.substr(s, F.lit(1), F.length(s) - 2))
-    unsigned = F.when(magnitude.rlike(_UNSIGNED), magnitude.try_cast(dtype))
+    unsigned = F.when(magnitude.rlike(_UNSIGNED), _number(magnitude, dtype))
     return (
         F.when(side == "CR", unsigned)
         .when(side == "DR", (-unsigned).cast(dtype))
-        .otherwise(F.when(s.rlike(_NUMBER), s.try_cast(dtype)))
+        .otherwise(_number(s, dtype))
     )
 
 
+def parse_amount(text: Column, dtype: str = MONEY) -> Column:
+    """Money text to a signed number. Digits that ``dtype`` has no place for make it unreadable."""
+    return read_amount(bare_number(text), dtype)
+
+
+def bare_side(text: Column) -> Column:
+    """A cell of a one-sided column without commas and white space; missing, empty and ``nan`` become 0."""
+    s = F.replace(strip(text), F.lit(","), F.lit(""))
+    return F.when(text.isNull() | s.isin("", "nan"), F.lit("0")).otherwise(s)
+
+
+def read_side(s: Column, dtype: str = MONEY) -> Column:
+    """The number that ``s`` (from ``bare_side``) writes."""
+    return _number(s, dtype)
+
+
 def parse_amount_or_zero(text: Column, dtype: str = MONEY) -> Column:
     """One-sided column of a statement: empty or ``nan`` is zero."""
-    s = F.replace(strip(text), F.lit(","), F.lit(""))
-    empty = text.isNull() | (s == "") | (s == "nan")
-    return F.when(empty, F.lit(0).cast(dtype)).when(s.rlike(_NUMBER), s.try_cast(dtype))
+    return read_side(bare_side(text), dtype)
 
 
 def or_fail(parsed: Column, text: Column, what: str, nullable: bool) -> Column:

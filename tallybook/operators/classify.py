@@ -32,12 +32,17 @@ def rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
     return spark.createDataFrame(rows, RULES)
 
 
+def _usable(rules: DataFrame) -> DataFrame:
+    """Rules that can decide something: with a category and a keyword."""
+    return rules.filter(F.col("keyword").isNotNull() & F.col("category").isNotNull())
+
+
 def _inline_rules(rules: DataFrame, limit: int) -> Blocks | None:
     """The rules as blocks of one category, in rule order, if there are at most ``limit`` of them.
 
     A category that comes back further down is a block of its own there.
     """
-    rows = rules.filter(F.col("keyword").isNotNull()).limit(limit + 1).collect()
+    rows = _usable(rules).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
     rows = sorted(rows, key=lambda r: (r["cat_order"], r["kw_order"], r["category"]))
@@ -81,8 +86,8 @@ def match_by_substring(
     are then verified on the whole keyword. The work grows with text length
     and true matches, not with descriptions times keywords.
     """
-    keyed = (
-        rules.select(
+    keyed = stored(
+        _usable(rules).select(
             "category",
             F.struct("cat_order", "kw_order").alias("rank"),
             F.lower("keyword").alias("keyword"),
@@ -121,7 +126,7 @@ def _classify_by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
     matched = lookup(df, stored(match_by_substring(df, rules)), ["Description"])
     # An empty keyword is contained in every text.
     empty = (
-        rules.filter(F.col("keyword") == "")
+        _usable(rules).filter(F.col("keyword") == "")
         .agg(F.min(F.struct(F.struct("cat_order", "kw_order").alias("rank"), "category")))
         .scalar()
     )
@@ -134,14 +139,17 @@ def _classify_by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
 def classify(
     df: DataFrame, rules: Rules | DataFrame, inline_keywords: int = INLINE_KEYWORDS
 ) -> DataFrame:
-    """Append ``Category``; no match, or no description, is ``Uncategorized``."""
+    """Append ``Category``; no match, or no description, is ``Uncategorized``.
+
+    A rule without keyword or category decides nothing, whatever the number of rules.
+    """
     require_columns(df, ["Description"], "classify")
     base = df.drop("Category")
     if isinstance(rules, DataFrame):
         inline = _inline_rules(rules, inline_keywords)
         table = rules
     else:
-        blocks = [(c, [k for k in keywords if k is not None]) for c, keywords in rules.items()]
+        blocks = [(c, [k for k in keywords if k is not None]) for c, keywords in rules.items() if c is not None]
         inline = blocks if sum(len(k) for _, k in blocks) <= inline_keywords else None
         table = None if inline is not None else rules_table(df.sparkSession, rules)
     return _classify_by_join(base, table) if inline is None else _classify_inline(base, inline)
@@ -215,7 +223,7 @@ def apply_corrections(df: DataFrame, rules: DataFrame, corrections: DataFrame) -
     every uncategorized row with that description.
     """
     again = classify(df, merge_corrections(rules, corrections))
-    chosen = (
+    chosen = stored(
         corrections.filter(F.btrim("category") != "")
         .groupBy(F.col("description").alias("Description"))
         .agg(F.min(F.btrim("category")).alias("_chosen"))

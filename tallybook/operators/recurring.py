@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.measures import cents, frequency_band
-from tallybook.operators.joins import few_keys
+from tallybook.operators.joins import few_keys, lookup
 from tallybook.operators.medians import frequencies, twice_median
 from tallybook.schema import ANALYSIS, require_columns
 from tallybook.session import stored
@@ -124,7 +124,7 @@ def _exact_medians(df: DataFrame, unsettled: DataFrame) -> DataFrame:
     if few_keys(unsettled, keys):
         counted = frequencies(rows.join(F.broadcast(unsettled), keys, "left_semi"), keys, "cents")
     else:
-        counted = frequencies(rows, keys, "cents").join(unsettled, keys, "left_semi")
+        counted = lookup(frequencies(rows, keys, "cents"), unsettled, keys, how="left_semi")
     return twice_median(stored(counted), keys, "cents").select(
         "Description", (F.col("twice") / F.lit(200.0)).alias("median")
     )

@@ -6,6 +6,7 @@ ISO text, money as double.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -27,9 +28,9 @@ from tallybook.operators import (
 )
 from tallybook.plans import queries as nq
 from tallybook.plans import report, views
-from tallybook.schema import RULES, UNCATEGORIZED
-from tallybook.session import checkpoint_folder
-from tallybook.sources import exports, history, settings
+from tallybook.schema import REQUIRED, RULES, UNCATEGORIZED, require_columns
+from tallybook.session import checkpoint_folder, stored
+from tallybook.sources import banks, exports, history, ledger, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIVOT = 2050
@@ -88,7 +89,7 @@ def ingest_timestamps(spark, folder):
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("Memo"),
         F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("Debit/Credit"),
     )
-    return exports.ingest(raw).select("Date", "Description", "Amount")
+    return exports.ingest(raw, mixed=True).select("Date", "Description", "Amount")
 
 
 @register
@@ -148,6 +149,94 @@ def keep_first(spark, folder):
     return dedupe.keep_first(lines, ["l_orderkey", "l_linenumber"], order)
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
+@register
+def ingest_mixed_banks(spark, folder):
+    """Exports of three headers in one folder: a two-sided statement, a card export, a plain one."""
+    target = _scratch(spark)
+    kinds = {
+        "statement": views.raw_statement(spark, folder),
+        "card": views.raw_card_export(spark, folder),
+        "plain": views.table(spark, folder, "events").select(
+            F.date_format("ts", "yyyy.MM.dd").alias("Booking Date"),
+            F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("Payee"),
+            F.col("value").cast("decimal(18,2)").cast("string").alias("EUR Amount"),
+        ),
+    }
+    for name, rows in kinds.items():
+        rows.write.option("header", True).option("escape", '"').csv(f"{target}/{name}")
+    rows = banks.ingest_files(spark, [f"{target}/{k}" for k in kinds], pivot_year=PIVOT)
+    kind = F.regexp_extract("source_file", "/(statement|card|plain)/", 1)
+    return rows.groupBy(kind.alias("kind"), "Currency", month_key(F.col("Date")).alias("month")).agg(
+        F.count_distinct("Description", "Date", "Amount").alias("rows"), F.max("Description").alias("last")
+    )
+
+
+@register
+def ingest_ambiguous_dates(spark, folder):
+    """A source for each day of the month on which orders were placed, half of them written day first."""
+    day = F.to_date("o_orderdate")
+    number, day_first = F.dayofmonth(day), F.col("o_custkey") % 2 == 0
+    written = F.when(day_first, F.date_format(day, "d/M/yyyy")).otherwise(F.date_format(day, "M/d/yyyy"))
+    source = F.concat_ws("-", F.when(day_first, F.lit("day")).otherwise(F.lit("month")), F.floor(number / 4).cast("string"))
+    raw = views.table(spark, folder, "orders").select(
+        written.alias("Date"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("Description"),
+        F.lit("1.00").alias("Amount"),
+        source.alias("source_file"),
+    )
+    return exports.ingest(raw, date_formats=["M/d/yyyy", "d/M/yyyy"]).select("Date", "Description", "source_file")
+
+
+@register
+def amounts_three_decimals(spark, folder):
+    """Weights with three decimals: kept by a type that has them, told apart as bad by money of two."""
+    tenth = (F.col("l_extendedprice").cast("decimal(18,2)") / 10).cast("decimal(18,3)")
+    raw = views.table(spark, folder, "lineitem").select(
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", F.monotonically_increasing_id()).alias("Description"),
+        tenth.cast("string").alias("Amount"),
+    )
+    kept = exports.ingest(raw, dtype="decimal(18,3)").agg(F.sum("Amount").alias("total"), F.count("*").alias("rows"))
+    bad = exports.count_rejects(exports.ingest_tolerant(raw)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lost"))
+    return kept.select("total", "rows", bad.scalar().alias("lost"))
+
+
+@register
+def ingest_extra_columns(spark, folder):
+    """A statement whose other columns ride along."""
+    rows = exports.ingest(views.raw_statement(spark, folder), pivot_year=PIVOT, keep_extra=True)
+    return rows.select("Date", "Description", F.col("Value Dt").alias("value_date"), F.col("Closing Balance").alias("balance"))
+
+
+@register
+def explicit_mapping(spark, folder):
+    """Columns named by the caller, since no alias knows them."""
+    raw = views.table(spark, folder, "orders").select(
+        F.date_format("o_orderdate", "yyyyMMdd").alias("col a"),
+        F.col("o_orderkey").cast("string").alias("col.b"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("col c"),
+    )
+    return exports.ingest(raw, mapping={"col a": "Date", "col.b": "Description", "col c": "Amount"})
+
+
+@register
+def column_guards(spark, folder):
+    """Which tables lack the columns of a transaction, by what the guard says."""
+    said = []
+    for name in ("orders", "events", "lineitem"):
+        try:
+            require_columns(views.table(spark, folder, name), REQUIRED, name)
+        except ValueError as err:
+            said.append((name, str(err)))
+    counts = [views.table(spark, folder, n).agg(F.count("*").alias("rows")).withColumn("name", F.lit(n)) for n, _ in said]
+    rows = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return rows.join(spark.createDataFrame(said, "name string, message string").hint("broadcast"), "name")
+
+
 def _damaged(spark, folder):
     return exports.ingest_tolerant(views.raw_card_export(spark, folder, damaged=True))
 
@@ -174,6 +263,25 @@ def accepted_rows(spark, folder):
     return exports.accepted(_damaged(spark, folder))
 
 
+@register
+def rejects_while_writing(spark, folder):
+    """Bad rows counted, with examples, by the job that stores the clean ones."""
+    target = _scratch(spark)
+    rows = classify.classify(_damaged(spark, folder), views.RULES).withColumn("source_file", F.lit("/exports/card.csv"))
+    counted = ledger.write_sources(rows, target, allow_rejects=True)
+    try:
+        ledger.write_sources(rows, target)
+        refused = "no"
+    except ValueError as err:
+        refused = re.sub("Examples.*", "", str(err)).strip()
+    told = spark.createDataFrame(
+        [(counted["rejected"], counted["total"], counted["uncategorized"], refused)],
+        "rejected bigint, clean bigint, uncategorized bigint, refused string",
+    )
+    live = ledger.read_sources(spark, target).agg(F.count("*").alias("stored"))
+    return told.withColumn("stored", live.scalar())
+
+
 @register
 def mask_card_numbers(spark, folder):
     text = views.table(spark, folder, "documents").select("doc_id", "text")
@@ -491,6 +599,65 @@ def stored_twice(spark, folder):
     )
 
 
+@register
+def stored_corrected(spark, folder):
+    """A table of two sources, one of which is written again without one of its months."""
+    target, rows = _scratch(spark), _tx(spark, folder)
+    spent, earned = rows.filter("Amount < 0"), rows.filter("Amount >= 0")
+    for part in (spent, earned):
+        name = "/exports/spent.csv" if part is spent else "/exports/earned.csv"
+        ledger.write_sources(part.withColumn("source_file", F.lit(name)), target)
+    corrected = spent.filter(F.month("Date") != 3).withColumn("source_file", F.lit("/exports/spent.csv"))
+    ledger.write_sources(corrected, target)
+    return ledger.read_sources(spark, target).groupBy("tx_month").agg(
+        F.sum("Amount").alias("total"), F.count("*").alias("rows"), F.count_distinct("source").alias("sources")
+    )
+
+
+@register
+def coverage_while_writing(spark, folder):
+    """Coverage counted by the job that stores the rows."""
+    rows = _tx(spark, folder).withColumn("source_file", F.lit("/exports/all.csv"))
+    counted = ledger.write_sources(rows, _scratch(spark))
+    names = ("total", "classified", "uncategorized")
+    return spark.createDataFrame([tuple(counted[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
+@register
+def recurring_view(spark, folder):
+    return report.recurring_charges(views.fixed_price_transactions(spark, folder))
+
+
+@register
+def report_files(spark, folder):
+    """The report's tables written and read back: their folder and a figure of each."""
+    rows = stored(_tx(spark, folder, currency=True))
+    path = report.write_report(rows, _scratch(spark), settings.budget_table(spark, views.BUDGETS))
+    read = {n: spark.read.parquet(f"{path}/{n}") for n in ("category_donut", "monthly_trend", "cover", "budget_vs_actual")}
+    figures = [
+        F.lit(path.rpartition("/")[2]).alias("folder"),
+        read["category_donut"].agg(F.count("*")).scalar().alias("categories"),
+        read["monthly_trend"].agg(F.sum("Expenses")).scalar().alias("expenses"),
+        read["cover"].select("transactions").scalar().alias("transactions"),
+        read["budget_vs_actual"].agg(F.count("*")).scalar().alias("budgets"),
+    ]
+    return spark.range(1).select(*figures)
+
+
+@register
+def ml_guards(spark, folder):
+    """Training sets that are refused, and how many rows they have."""
+    whole = history.training_set(_tx(spark, folder))
+    said = []
+    for name, rows in (("few", whole.orderBy("Description", "Category").limit(19)), ("one class", whole.filter("Category = 'Kitchen'"))):
+        try:
+            model.fit_model(rows, min_samples=20 if name == "few" else 1)
+            said.append((name, "trained"))
+        except RuntimeError as err:
+            said.append((name, re.sub(r"^(\d+).*", r"\1", str(err))))
+    return spark.createDataFrame(said, "name string, refused string")
+
+
 def _fitted(spark, folder):
     return model.fit_model(history.training_set(_tx(spark, folder)))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import axis_label, short_name
@@ -127,3 +127,10 @@ def write_payload(
     )
     for name, data in sections.items():
         data.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}")
+
+
+def write_coverage(spark: SparkSession, counted: Mapping[str, int], folder: str) -> None:
+    """What ``write_sources`` counted, as one JSON document beside the payload."""
+    names = ("total", "classified", "uncategorized")
+    row = spark.createDataFrame([tuple(counted[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+    row.coalesce(1).write.mode("overwrite").json(f"{folder}/coverage")

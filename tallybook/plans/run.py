@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators.classify import Rules
 from tallybook.operators.model import CONFIDENCE, classify_two_stage, load_model
 from tallybook.plans import report
-from tallybook.sources.exports import ingest, read_export
-from tallybook.sources.history import source_names, write_categorized
+from tallybook.sources.banks import ingest_banks, read_banks
+from tallybook.sources.exports import ingest_tolerant
+from tallybook.sources.history import source_names
+from tallybook.sources.ledger import read_sources, write_sources
 
 
 def classify_exports(
@@ -28,19 +31,18 @@ def classify_exports(
     multiline: bool = False,
     **cleaning: Any,
 ) -> DataFrame:
-    """Exports with one header, read, cleaned and classified.
+    """Exports, of one bank or of several, read, cleaned and classified.
 
     ``cleaning`` are further options of ``ingest``: date formats, pivot year,
     when repeats are judged, extra columns.
     """
-    raw = read_export(spark, paths, encoding, multiline)
-    return _classified(raw, rules, model_folder, threshold, bank, currency, mapping, cleaning)
+    raws = read_banks(spark, paths, encoding, multiline)
+    clean = ingest_banks(raws, bank, mapping, currency=currency, **cleaning)
+    return classify_two_stage(clean, rules, _model(model_folder), threshold)
 
 
-def _classified(raw, rules, model_folder, threshold, bank, currency, mapping, cleaning) -> DataFrame:
-    clean = ingest(raw, bank, currency, mapping, **cleaning)
-    model = load_model(model_folder) if model_folder else None
-    return classify_two_stage(clean, rules, model, threshold)
+def _model(folder: str | None) -> PipelineModel | None:
+    return load_model(folder) if folder else None
 
 
 def _of_sources(table: DataFrame, files: Iterable[str]) -> DataFrame:
@@ -68,16 +70,21 @@ def run(
     """Classify exports, store them under ``output`` and write payload and report.
 
     The classified rows are written once and read back, so every analysis
-    scans a columnar table and no step repeats parsing or matching. The table
-    keeps the sources of earlier runs; the analyses are of this run's.
+    scans a columnar table and no step repeats parsing or matching; coverage
+    is counted by the job that writes. Bad rows fail the run with their number
+    and examples, and then the table stays as it was. A source that was stored
+    before is replaced, those of other runs are kept; the analyses are of this
+    run's.
     """
     table = f"{output}/transactions"
-    raw = read_export(spark, paths, encoding, multiline)
-    write_categorized(
-        _classified(raw, rules, model_folder, threshold, bank, currency, mapping, cleaning), table
-    )
-    stored = _of_sources(spark.read.parquet(table), raw.inputFiles())
+    raws = read_banks(spark, paths, encoding, multiline)
+    files = [f for raw in raws for f in raw.inputFiles()]
+    tagged = ingest_banks(raws, bank, mapping, clean=ingest_tolerant, currency=currency, **cleaning)
+    classified = classify_two_stage(tagged, rules, _model(model_folder), threshold)
+    counted = write_sources(classified, table, sources=files)
+    stored = _of_sources(read_sources(spark, table), files)
     report.write_payload(stored, f"{output}/payload", budgets, with_anomalies)
+    report.write_coverage(spark, counted, f"{output}/payload")
     if with_report:
         report.write_report(stored, f"{output}/exports", budgets)
     return stored

@@ -12,12 +12,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.parse import DAY_FIRST, or_fail, parse_amount_or_zero, parse_date
+from tallybook.functions.parse import DAY_FIRST, bare_side, day_text, or_fail, read_any_day, read_side
 from tallybook.functions.text import strip
-from tallybook.schema import DEFAULT_CURRENCY, MONEY
+from tallybook.schema import DEFAULT_CURRENCY, MONEY, named
 from tallybook.sources.columns import strip_names
 
+# Currency codes that a header may name, the columns of an HDFC
+# statement that make up a transaction, and those it is recognised by.
 _CURRENCY_HEADER = re.compile(r"(gbp|usd|eur|inr|cad|aud)\s+amount", re.IGNORECASE)
+_HDFC_COLUMNS = ("Date", "Narration", "Chq./Ref.No.", "Withdrawal Amt.", "Deposit Amt.", "Description", "Amount", "Currency")
+_HDFC_MARKS = frozenset({"Narration", "Withdrawal Amt.", "Deposit Amt."})
 LINEAGE = "source_file"
 RAW_DATE, RAW_AMOUNT = "_raw_date", "_raw_amount"
 
@@ -30,6 +34,7 @@ class Options:
     date_formats: tuple[str, ...] | None = None
     pivot_year: int | None = None
     strict: bool = True
+    dtype: str = MONEY
 
 
 @dataclass(frozen=True)
@@ -68,16 +73,21 @@ def _generic(df: DataFrame, options: Options) -> DataFrame:
 
 def _hdfc(df: DataFrame, options: Options) -> DataFrame:
     df = strip_names(df)
-    narration = strip(F.col("Narration"))
+    paid_in, paid_out = F.col("`Deposit Amt.`"), F.col("`Withdrawal Amt.`")
+    # Cleaned texts are columns of their own, so each is worked out once a row.
+    texts = {"_day": day_text(F.col("Date")), "_in": bare_side(paid_in), "_out": bare_side(paid_out), "_told": strip(F.col("Narration"))}
     if "Chq./Ref.No." in df.columns:
-        ref = strip(F.col("`Chq./Ref.No.`"))
+        texts["_ref"] = strip(F.col("`Chq./Ref.No.`"))
+    others = [c for c in df.columns if c not in _HDFC_COLUMNS and c != LINEAGE]
+    df = df.withColumns(texts)
+    description = F.col("_told")
+    if "_ref" in texts:
+        ref = F.col("_ref")
         usable = F.when((F.length(ref) > 0) & (F.lower(ref) != "nan"), ref)
-        description = F.concat_ws(" | Ref: ", narration, usable)
-    else:
-        description = narration
-    paid_in, paid_out = F.col("`Deposit Amt.`"), F.col("`Withdrawal Amt.`")
-    credit, debit = parse_amount_or_zero(paid_in), parse_amount_or_zero(paid_out)
-    day = parse_date(F.col("Date"), options.date_formats or DAY_FIRST, options.pivot_year)
+        description = F.concat_ws(" | Ref: ", description, usable)
+    money = options.dtype
+    credit, debit = read_side(F.col("_in"), money), read_side(F.col("_out"), money)
+    day = read_any_day(F.col("_day"), options.date_formats or DAY_FIRST, options.pivot_year)
     if options.strict:
         credit = or_fail(credit, paid_in, "deposit", nullable=False)
         debit = or_fail(debit, paid_out, "withdrawal", nullable=False)
@@ -91,17 +101,16 @@ def _hdfc(df: DataFrame, options: Options) -> DataFrame:
     return df.select(
         day.alias("Date"),
         description.alias("Description"),
-        (credit - debit).cast(MONEY).alias("Amount"),
+        (credit - debit).cast(money).alias("Amount"),
         F.lit((options.currency or "INR").upper()).alias("Currency"),
         *keep,
+        *[named(c) for c in others],
     )
 
 
 GENERIC = Layout("Generic", frozenset(), _generic)
 _LAYOUTS: dict[str, Layout] = {
-    "hdfc": Layout(
-        "HDFC", frozenset({"Narration", "Withdrawal Amt.", "Deposit Amt."}), _hdfc
-    ),
+    "hdfc": Layout("HDFC", _HDFC_MARKS, _hdfc),
 }
 
 
