@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import re
+import urllib.parse
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -50,7 +52,12 @@ def read_banks(
     """
     read_export(spark, paths, encoding, multiline)  # for its errors: no such path, or no export
     groups = scan_headers(spark, paths).orderBy("paths").collect()
-    return [read_export(spark, list(g["paths"]), encoding, multiline) for g in groups]
+    return [read_export(spark, [_literal(p) for p in g["paths"]], encoding, multiline) for g in groups]
+
+
+def _literal(uri: str) -> str:
+    """A listed file as a path that Spark takes for this file alone, whatever characters its name has."""
+    return re.sub(r"([*?{}\[\]\\])", r"\\\1", urllib.parse.unquote(uri))
 
 
 def ingest_banks(

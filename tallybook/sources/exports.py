@@ -119,7 +119,7 @@ def choose_formats(df: DataFrame, formats: Sequence[str] = MONTH_FIRST, pivot_ye
     ]
     votes = texts.groupBy(*keys).agg(F.array(*fits).alias("_votes"))
     place = F.array_position("_votes", F.array_max("_votes")) - 1
-    return votes.select(*keys, place.cast("int").alias("_format"))
+    return votes.select(*keys, place.cast("int").alias("_format")).filter("_format IS NOT NULL")
 
 
 def clean_dates(

@@ -1,0 +1,104 @@
+"""The table in which a source is replaced as a whole."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import plain
+from pyspark.sql import functions as F
+
+from tallybook.operators.classify import classify
+from tallybook.plans import queries as nq
+from tallybook.sources import exports, ledger
+
+
+def held(spark, path):
+    return sorted(plain(ledger.read_sources(spark, path).select("source", "Date", "Amount")), key=repr)
+
+
+@pytest.fixture()
+def rows(tx):
+    def build(name, *days):
+        made = tx(*[(d, "Shop", -1 - i, "Fun") for i, d in enumerate(days)])
+        return made.withColumn("source_file", F.lit(f"/in/{name}.csv"))
+
+    return build
+
+
+def stems(found):
+    return [(s.rpartition("-")[0], d, a) for s, d, a in found]
+
+
+def test_a_corrected_date_leaves_no_row_in_its_old_month(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    ledger.write_sources(rows("a", "2024-01-31", "2024-02-02"), path)
+    ledger.write_sources(rows("b", "2024-01-05"), path)
+    ledger.write_sources(rows("a", "2024-02-01", "2024-02-02"), path)
+    assert stems(held(spark, path)) == [("a", "2024-02-01", -1.0), ("a", "2024-02-02", -2.0), ("b", "2024-01-05", -1.0)]
+
+
+def test_a_write_without_manifest_counts_for_nothing(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    ledger.write_sources(rows("a", "2024-01-31"), path)
+    before = held(spark, path)
+    monkeypatch.setattr(ledger, "_manifest", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        ledger.write_sources(rows("a", "2024-03-01", "2024-03-02"), path)
+    monkeypatch.undo()
+    assert len(list((tmp_path / "t").glob("version=*"))) == 2
+    assert held(spark, path) == before
+    ledger.write_sources(rows("a", "2024-03-01", "2024-03-02"), path)
+    assert len(held(spark, path)) == 2
+
+
+def test_a_source_without_rows_any_more(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    ledger.write_sources(rows("a", "2024-01-31").unionByName(rows("b", "2024-01-01")), path)
+    ledger.write_sources(rows("b", "2024-01-02"), path, sources=["/in/a.csv", "/in/b.csv"])
+    assert stems(held(spark, path)) == [("b", "2024-01-02", -1.0)]
+    counted = ledger.write_sources(rows("b", "2024-01-02").limit(0), path, sources=["/in/b.csv"])
+    assert counted["total"] == 0 and held(spark, path) == []
+
+
+def test_rows_without_a_file_and_without_a_date(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    odd = rows("a", "2024-01-31").withColumn("source_file", F.lit(None).cast("string"))
+    ledger.write_sources(odd.unionByName(odd.withColumn("Date", F.lit(None).cast("date"))), path)
+    assert sorted(held(spark, path), key=repr) == [("unknown", "2024-01-31", -1.0), ("unknown", None, -1.0)]
+    with pytest.raises(FileNotFoundError):
+        ledger.read_sources(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="source_file"):
+        ledger.write_sources(odd.drop("source_file"), path)
+
+
+def test_counts_come_from_the_job_that_writes(spark, tmp_path, raw):
+    lines = [("2024-01-01", f"Shop {i}", str(i)) for i in range(50)] + [("never", "x", "1"), ("2024-01-01", "y", "(2)"), ("x", "z", "y")]
+    tagged = exports.ingest_tolerant(raw(["Date", "Description", "Amount"], *lines).withColumn("source_file", F.lit("/in/a.csv")), mixed=True)
+    rows, path = classify(tagged, {"Seven": ["7"]}), str(tmp_path / "t")
+    with pytest.raises(ValueError, match=r"Cannot parse 3 row\(s\): \{'date': 1, 'amount': 1, 'date,amount': 1\}. Examples: .*never"):
+        ledger.write_sources(rows, path)
+    with pytest.raises(FileNotFoundError):
+        ledger.read_sources(spark, path)
+    counted = ledger.write_sources(rows, path, allow_rejects=True)
+    assert counted == {"total": 50, "uncategorized": 45, "classified": 5, "rejected": 3}
+    assert ledger.read_sources(spark, path).count() == 50
+
+
+def test_the_write_is_one_scan(spark, rows, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one-scan", "", False)
+    seen = spark.sparkContext.accumulator(0)
+    source = rows("a", *[f"2024-01-{d:02}" for d in range(1, 21)])
+    counting = source.rdd.map(lambda r: (seen.add(1), r)[1])
+    ledger.write_sources(spark.createDataFrame(counting, source.schema), str(tmp_path / "t"))
+    assert seen.value == 20
+    assert tracker.getJobIdsForGroup("one-scan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_filters_prune_the_folders_of_months(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    ledger.write_sources(rows("a", "2024-01-31", "2024-02-02", "2024-03-03"), path)
+    one = nq.between(ledger.read_sources(spark, path), "2024-02-01", "2024-02-28")
+    one.collect()
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert ">= 2024-02)" in text and plain(one.select("Amount")) == [(-2.0,)]

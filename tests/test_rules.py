@@ -171,3 +171,11 @@ def test_budget_overrides(spark):
     bad = spark.sql("SELECT 'C' AS category, CAST(-1 AS DECIMAL(18,2)) AS budget")
     with pytest.raises(PySparkException, match="'C'"):
         override_budgets(base, bad).collect()
+
+
+def test_a_rule_without_category_decides_nothing_in_either_way(spark):
+    rows = [(None, 0, "ferry", 0), ("A", 1, "ferry", 0), (None, 2, "tram", 0), ("B", 3, None, 0), (None, 4, "", 0)]
+    table = spark.createDataFrame(rows, "category string, cat_order int, keyword string, kw_order int")
+    for limit in (1000, 0):
+        got = classify.classify(described(spark, "ferry", "tram", "x"), table, limit)
+        assert {r["Description"]: r["Category"] for r in got.collect()} == {"ferry": "A", "tram": "Uncategorized", "x": "Uncategorized"}

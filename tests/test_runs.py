@@ -126,6 +126,80 @@ def test_uploads_are_taken_up_as_they_come(spark, inbox, tmp_path):
         (inbox / "feb.csv").write_text("Post Date,Memo,Debit/Credit\n2024-02-01,Shop,-1.00\n")
 
 
+BAD = """Post Date,Memo,Debit/Credit
+2024-01-01,Shop,-5,000.00
+2024-01-02,Fine,-1.00
+2024-01-03,Short
+never,Late,-2.00
+2024-01-04,Odd,(3)
+"""
+
+
+def quarantined(spark, target):
+    return sorted(plain(spark.read.parquet(f"{target}_quarantine").select("reason", F.coalesce("line", "description"))))
+
+
+def test_a_bad_row_does_not_stop_the_uploads(spark, inbox, tmp_path):
+    target, name = str(tmp_path / "t"), f"bad-{tmp_path.name}-{id(tmp_path)}"
+    (inbox / "bad.csv").write_text(BAD)
+    want = [("amount", "Odd"), ("date", "Late"), ("width", "2024-01-01,Shop,-5,000.00"), ("width", "2024-01-03,Short")]
+    header = ["Post Date", "Memo", "Debit/Credit"]
+    for expected in ({"jan": 4, "bad": 1}, {"jan": 4, "bad": 1, "feb": 1}):
+        classify_uploads(watch_exports(spark, str(inbox), header), RULES, target, name).awaitTermination(120)
+        assert by_stem(spark, target) == expected and quarantined(spark, target) == want
+        (inbox / "feb.csv").write_text("Post Date,Memo,Debit/Credit\n2024-02-01,Shop,-1.00\n")
+
+
+def test_a_killed_upload_leaves_each_row_once(spark, inbox, tmp_path, monkeypatch):
+    from tallybook.streaming import uploads
+
+    target, name = str(tmp_path / "t"), f"kill-{tmp_path.name}-{id(tmp_path)}"
+    (inbox / "bad.csv").write_text(BAD)
+    header = ["Post Date", "Memo", "Debit/Credit"]
+    write = uploads.write_categorized
+
+    def dies(*args):
+        write(*args)
+        raise RuntimeError("killed after the write, before the batch was committed")
+
+    monkeypatch.setattr(uploads, "write_categorized", dies)
+    with pytest.raises(Exception, match="killed"):
+        classify_uploads(watch_exports(spark, str(inbox), header), RULES, target, name).awaitTermination(120)
+    monkeypatch.undo()
+    classify_uploads(watch_exports(spark, str(inbox), header), RULES, target, name).awaitTermination(120)
+    assert by_stem(spark, target) == {"jan": 4, "bad": 1} and len(quarantined(spark, target)) == 4
+
+
+def test_uploads_take_the_options_of_the_batch_path(spark, tmp_path):
+    inbox, target = tmp_path / "inbox", str(tmp_path / "t")
+    inbox.mkdir()
+    lines = 'Post Date,Empfänger,Debit/Credit\n13/01/2024,"Café\nZoë",-1.005\n02/01/2024,Bar,-2\n'
+    (inbox / "a.csv").write_bytes(lines.encode())
+    stream = watch_exports(spark, str(inbox), ["Post Date", "Empfänger", "Debit/Credit"], multiline=True)
+    options = dict(mapping={"Empfänger": "Description"}, date_formats=["M/d/yyyy", "d/M/yyyy"], dtype="decimal(18,3)")
+    classify_uploads(stream, RULES, target, f"opt-{id(tmp_path)}", **options).awaitTermination(120)
+    got = sorted(plain(spark.read.parquet(target).select("Date", "Description", "Amount")))
+    assert got == [("2024-01-02", "Bar", -2.0), ("2024-01-13", "Café\nZoë", -1.005)]
+
+
+def test_uploads_with_another_header_fail(spark, inbox, tmp_path):
+    with pytest.raises(Exception, match="header does not conform"):
+        classify_uploads(watch_exports(spark, str(inbox), ["Memo", "Post Date", "Debit/Credit"]), RULES, str(tmp_path / "t"), f"h-{id(tmp_path)}").awaitTermination(120)
+
+
+def test_a_run_over_several_banks_with_a_bad_row_changes_nothing(spark, inbox, tmp_path):
+    out = str(tmp_path / "out")
+    (inbox / "hdfc.csv").write_text("Date,Narration,Withdrawal Amt.,Deposit Amt.\n13/01/24,Netflix,9.99,\n")
+    assert run(spark, str(inbox), RULES, out).count() == 5
+    coverage = json.loads(spark.read.text(f"{out}/payload/coverage", wholetext=True).first()[0])
+    assert coverage == {"total": 5, "classified": 4, "uncategorized": 1}
+    (inbox / "hdfc.csv").write_text("Date,Narration,Withdrawal Amt.,Deposit Amt.\n13/01/24,Netflix,nine,\n")
+    with pytest.raises(ValueError, match=r"Cannot parse 1 row\(s\).*nine"):
+        run(spark, str(inbox), RULES, out)
+    (inbox / "hdfc.csv").write_text("Date,Narration,Withdrawal Amt.,Deposit Amt.\n13/02/24,Netflix,9.99,\n13/03/24,Netflix,9.99,\n")
+    assert run(spark, str(inbox), RULES, out).count() == 6
+
+
 def test_stored_tables_use_the_shared_folder(spark):
     df = spark.range(5).withColumn("x", F.col("id") * 2)
     kept = stored(df)
