@@ -196,4 +196,52 @@ SELECT
 FROM rows GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op5_chat_format": _OP5_SQL}
+# The checksum is linear but for its start and end: each byte adds a term that depends on its value and
+# its distance from the end. The first four bytes are inverted for the start value.
+_OP13_SQL = r"""
+WITH RECURSIVE
+runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+        translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+counted AS MATERIALIZED (SELECT d, run, count(*) AS k, hex(encode(d || ':' || run)) AS bytes FROM runs WHERE length(run) >= 7 GROUP BY d, run),
+bits(b, step, c) AS (
+    SELECT b, 0, b FROM range(256) r(b)
+    UNION ALL SELECT b, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8),
+once AS MATERIALIZED (SELECT b, c FROM bits WHERE step = 8),
+far(b, dist, c) AS (
+    SELECT b, 0, c FROM once
+    UNION ALL SELECT far.b, dist + 1, xor(far.c >> 8, once.c) FROM far JOIN once ON once.b = far.c & 255
+    WHERE dist < (SELECT max(length(bytes)) // 2 FROM counted)),
+spread AS (SELECT bytes, length(bytes) // 2 AS size, unnest(range(length(bytes) // 2)) AS i FROM (SELECT DISTINCT bytes FROM counted)),
+summed AS (
+    SELECT bytes, xor(bit_xor(c), 4294967295) AS h
+    FROM (SELECT bytes, size - 1 - i AS dist,
+              xor(CAST('0x' || substr(bytes, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT), CASE WHEN i < 4 THEN 255 ELSE 0 END) AS b FROM spread) s
+    JOIN far USING (b, dist) GROUP BY bytes),
+thinned AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k
+    FROM counted JOIN summed USING (bytes)),
+vocab AS MATERIALIZED (
+    SELECT word, CAST(sum(k) AS BIGINT) AS n FROM thinned WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS MATERIALIZED (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+shorter AS (SELECT DISTINCT cut.word AS a, cut.n AS an, vocab.word AS b, vocab.n AS bn FROM cut JOIN vocab ON vocab.word = cut.rest),
+near AS (
+    SELECT x.word AS word, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION ALL SELECT a, b, bn FROM shorter UNION ALL SELECT b, a, an FROM shorter),
+best AS (
+    SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, m,
+        row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM near),
+judged AS MATERIALIZED (
+    SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+    FROM vocab v LEFT JOIN best ON best.word = v.word AND place = 1),
+led(word, last) AS (
+    SELECT word, word FROM judged
+    UNION ALL SELECT led.word, judged.form FROM led JOIN judged ON judged.word = led.last WHERE judged.form IS NOT NULL)
+SELECT j.word, j.form, led.last AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN led ON led.word = j.word JOIN judged e ON e.word = led.last AND e.form IS NULL
+"""
+
+SQL: dict[str, str] = {"op5_chat_format": _OP5_SQL, "op13_spelling": _OP13_SQL}

@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter
 
+import compare
 import pytest
 
 from tallybook.llm import spelling
-from tallybook.llm.queries import op13_spelling
+from tallybook.llm.queries import SQL, op13_spelling
 
 SF = "/root/testdata/sf0.001"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100))) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,6 +67,12 @@ def test_query_on_whole_table(spark):
     assert any(r[1] for r in got)
 
 
+def test_query_as_its_sql(spark):
+    con = compare.connect(SF)
+    want = compare.sql_rows(con, SQL["op13_spelling"])
+    assert want[1] and compare.differences(compare.spark_rows(op13_spelling(spark, SF)), want) is None
+
+
 @pytest.mark.parametrize("letters, longest, limit", [("ab", 9, 4096), ("ab", 9, 3), ("abcé", 8, 40), ("a", 40, 2), ("abcdefgh", 7, 10)])
 def test_pairs_as_brute_force(spark, letters, longest, limit):
     rng = random.Random(len(letters) * longest)
