@@ -88,7 +88,11 @@ def expense_profile(df: DataFrame) -> DataFrame:
     """
     require_columns(df, ANALYSIS, "expense_profile")
     pool = expenses(df).select(F.col("Category"), cents(-F.col("Amount")).alias("cents"))
-    counted = stored(frequencies(pool, ["Category"], "cents"))
+    return profile_of_counts(stored(frequencies(pool, ["Category"], "cents")))
+
+
+def profile_of_counts(counted: DataFrame) -> DataFrame:
+    """As ``expense_profile``, from a stored table of (Category, cents, weight)."""
     own = counted.filter(F.col("Category").isNotNull()).withColumn("overall", F.lit(False))
     everything = (
         counted.groupBy("cents")

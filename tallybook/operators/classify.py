@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.operators.joins import BROADCAST_KEYS, lookup
+from tallybook.operators.numbering import number_rows
 from tallybook.schema import RULES, UNCATEGORIZED, named, require_columns
 from tallybook.session import stored
 
@@ -169,8 +170,8 @@ def merge_corrections(rules: DataFrame, corrections: DataFrame) -> DataFrame:
     """Rules plus the keywords of a ``(description, category, keyword)`` table.
 
     A keyword its category already has adds nothing. New keywords come after
-    the category's own; new categories after all others. Rule tables are kept
-    by people, so the ordering windows here run over small data.
+    the category's own; new categories after all others, numbered in ranges
+    (a job when called).
     """
     keyword = F.lower(F.btrim("keyword"))
     new = (
@@ -183,16 +184,12 @@ def merge_corrections(rules: DataFrame, corrections: DataFrame) -> DataFrame:
         F.min("cat_order").alias("cat_order"), F.max("kw_order").alias("kw_end")
     )
     last = F.coalesce(rules.agg(F.max("cat_order")).scalar(), F.lit(-1))
-    fresh = (
-        new.select("category")
-        .distinct()
-        .join(ends, "category", "left_anti")
-        .withColumn("fresh_order", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("category")))
-    )
+    unknown = new.select("category").distinct().join(ends, "category", "left_anti")
+    fresh = number_rows(unknown, ["category"], "fresh_order")
     placed = new.join(ends, "category", "left").join(fresh, "category", "left")
     added = placed.select(
         "category",
-        F.coalesce("cat_order", last + F.col("fresh_order")).cast("int").alias("cat_order"),
+        F.coalesce("cat_order", last + 1 + F.col("fresh_order")).cast("int").alias("cat_order"),
         "keyword",
         (
             F.coalesce("kw_end", F.lit(-1))
@@ -207,10 +204,8 @@ def merge_corrections(rules: DataFrame, corrections: DataFrame) -> DataFrame:
 def sort_rules(rules: DataFrame) -> DataFrame:
     """The order a saved rule file has: categories, then distinct keywords, by name."""
     sets = rules.groupBy("category").agg(F.sort_array(F.collect_set("keyword")).alias("keywords"))
-    numbered = sets.withColumn(
-        "cat_order", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("category")) - 1
-    )
-    return numbered.select("category", "cat_order", F.posexplode("keywords").alias("kw_order", "keyword")).select(
+    numbered = number_rows(sets, ["category"], "cat_order")
+    return numbered.select("category", F.col("cat_order").cast("int").alias("cat_order"), F.posexplode("keywords").alias("kw_order", "keyword")).select(
         *RULES.names
     )
 

@@ -4,10 +4,11 @@ The input is a stored frequency table: one row per group, whole-number value
 and count. A table of at most ``DIRECT_ROWS`` rows is aggregated directly:
 that bound on the table bounds what any one task can hold.
 
-A longer table is searched in two levels. Values are split into ranges of ``2**RANGE_BITS``. The first level adds
-up counts per range and finds the one or two ranges that hold the middle
-ranks; the second level looks only into those. Each level sees at most
-``2**RANGE_BITS`` distinct rows per group for values spanning 2**32 (43
+A longer table is searched in two levels. Values are split into as many ranges
+as a range has values, by the span of the values in the table. The first level
+adds up counts per range and finds the one or two ranges that hold the middle
+ranks; the second level looks only into those. Each level sees at most about
+the root of the span as distinct rows per group: 2**16 for a span of 2**32 (43
 million in whole currency units, for values in cents), whatever the number of
 transactions behind them.
 """
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_BITS = 16
+LEAST_RANGE_BITS = 8
 DIRECT_ROWS = 1_000_000
 
 
@@ -54,10 +55,17 @@ def twice_median(
     return _by_ranges(freq, keys, value)
 
 
+def range_bits(freq: DataFrame, value: str) -> int:
+    """How many bits of a value are its place in its range: half those of the span of all values."""
+    ends = freq.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    span = 0 if ends["low"] is None else ends["high"] - ends["low"]
+    return max(LEAST_RANGE_BITS, (span.bit_length() + 1) // 2)
+
+
 def _by_ranges(freq: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keys = list(keys)
     group = Window.partitionBy(*keys)
-    ranged = freq.withColumn("_range", F.shiftright(F.col(value), RANGE_BITS))
+    ranged = freq.withColumn("_range", F.shiftright(F.col(value), range_bits(freq, value)))
     upto = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     level = (
         ranged.groupBy(*keys, "_range")

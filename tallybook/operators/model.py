@@ -13,6 +13,7 @@ from pyspark.ml.feature import (
     IDF,
     CountVectorizer,
     ElementwiseProduct,
+    HashingTF,
     IndexToString,
     Normalizer,
     StringIndexer,
@@ -37,7 +38,7 @@ MAX_ITERATIONS = 500
 NGRAMS = (2, 4)
 
 # The coefficients, classes times n-grams, live on the driver. A vocabulary
-# past this size is an error, never a silent cut.
+# past this size is an error, never a silent cut; a hashed space takes any number.
 MAX_VOCABULARY = 1 << 20
 
 
@@ -45,14 +46,23 @@ def _with_grams(df: DataFrame, text) -> DataFrame:
     return df.withColumn("_grams", word_bounded_ngrams(text, *NGRAMS))
 
 
-def fit_features(training: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> tuple[list[Transformer], DataFrame]:
-    """Stages from n-gram counts to unit-length TF-IDF vectors, and ``training`` with ``_features``."""
+def fit_features(
+    training: DataFrame, max_vocabulary: int = MAX_VOCABULARY, width: int | None = None
+) -> tuple[list[Transformer], DataFrame]:
+    """Stages from n-gram counts to unit-length TF-IDF vectors, and ``training`` with ``_features``.
+
+    With ``width`` n-grams are numbered by a hash below it instead of by a
+    vocabulary, so that any number of them fits; two that clash count as one.
+    """
     data = _with_grams(training, F.col("Description"))
-    counts = CountVectorizer(
-        inputCol="_grams", outputCol="_tf", vocabSize=max_vocabulary + 1, minDF=1.0
-    ).fit(data)
-    if len(counts.vocabulary) > max_vocabulary:
-        raise RuntimeError(f"More than {max_vocabulary} distinct n-grams; raise max_vocabulary.")
+    if width is not None:
+        counts = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=width)
+    else:
+        counts = CountVectorizer(
+            inputCol="_grams", outputCol="_tf", vocabSize=max_vocabulary + 1, minDF=1.0
+        ).fit(data)
+        if len(counts.vocabulary) > max_vocabulary:
+            raise RuntimeError(f"More than {max_vocabulary} distinct n-grams; raise max_vocabulary or state a width.")
     data = counts.transform(data)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(data).idf.toArray()
     scale = ElementwiseProduct(
@@ -64,8 +74,17 @@ def fit_features(training: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> t
 
 def feature_weights(df: DataFrame, stages: Sequence[Transformer]) -> DataFrame:
     """(Description, gram, weight): the vectors of ``fit_features`` spelt out."""
-    words = df.sparkSession.createDataFrame(list(enumerate(stages[0].vocabulary)), "pos int, gram string")
-    cells = df.select("Description", F.posexplode(vector_to_array("_features")).alias("pos", "weight"))
+    if isinstance(stages[0], HashingTF):
+        grams = _with_grams(df.select("Description"), F.col("Description")).select(F.explode("_grams").alias("gram"))
+        single = stages[0].transform(grams.distinct().withColumn("_grams", F.array("gram")))
+        # The vector of one n-gram has one index.
+        words = single.select(F.unwrap_udt("_tf")["indices"][0].alias("pos"), "gram")
+        held = F.unwrap_udt("_features")  # sparse: most of the space is empty
+        cells = df.select("Description", F.explode(F.arrays_zip(held["indices"].alias("pos"), held["values"].alias("weight"))).alias("c"))
+        cells = cells.select("Description", "c.pos", "c.weight")
+    else:
+        words = df.sparkSession.createDataFrame(list(enumerate(stages[0].vocabulary)), "pos int, gram string")
+        cells = df.select("Description", F.posexplode(vector_to_array("_features")).alias("pos", "weight"))
     return cells.filter("weight != 0").join(words, "pos").select("Description", "gram", "weight")
 
 
@@ -106,9 +125,13 @@ def fit_model(
     c: float = INVERSE_REGULARISATION,
     max_iterations: int = MAX_ITERATIONS,
     max_vocabulary: int = MAX_VOCABULARY,
+    width: int | None = None,
 ) -> PipelineModel:
     """TF-IDF of character n-grams and a logistic regression.
 
+    The n-grams are a vocabulary of at most ``max_vocabulary``, or with
+    ``width`` a hashed space of that size, which holds any number.
+
     Inverse document frequency is ``ln((1+n)/(1+df)) + 1``, rows have unit
     length, and the penalty is ``1/(C n)``.
     """
@@ -126,7 +149,7 @@ def fit_model(
     indexer = StringIndexer(
         inputCol="Category", outputCol="_label", stringOrderType="alphabetAsc"
     ).fit(training)
-    stages, data = fit_features(indexer.transform(training), max_vocabulary)
+    stages, data = fit_features(indexer.transform(training), max_vocabulary, width)
     # The regression passes over the features many times.
     data = stored(data.select("_features", "_label"))
     regression = LogisticRegression(
@@ -252,12 +275,13 @@ def retrain(
     fmt: str = "csv",
     include_ml: bool = True,
     min_samples: int = MIN_SAMPLES,
+    width: int | None = None,
 ) -> dict:
     """Train on all labelled history, save model and meta data, return the latter."""
     # Before the scan: a file that lands while training runs counts as newer.
     began = datetime.datetime.now(datetime.UTC)
     training = stored(load_training_set(spark, history, fmt, include_ml))
-    model = fit_model(training, min_samples)
+    model = fit_model(training, min_samples, width=width)
     meta = {
         "trained_at": began.isoformat(),
         "n_samples": training.count(),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.functions.measures import month_key
+from tallybook.functions.measures import cents, month_key
 from tallybook.functions.text import currency_label, mask_cards
 from tallybook.operators import (
     anomaly,
@@ -24,6 +24,7 @@ from tallybook.operators import (
     filters,
     model,
     recurring,
+    sketches,
     totals,
 )
 from tallybook.plans import queries as nq
@@ -470,6 +471,42 @@ def mad_scores(spark, folder):
     return scored.withColumn("z", F.round("z", 4))
 
 
+@register
+def mad_scores_incremental(spark, folder):
+    """Scores by counts kept up to date: two uploads, the first of them written again with right amounts."""
+    target, rows = _scratch(spark), views.event_transactions(spark, folder)
+    early = F.when(F.col("Description").endswith("1"), F.lit("/in/one.csv")).otherwise(F.lit("/in/two.csv"))
+    named_rows = rows.withColumn("source_file", early)
+    one, two = (named_rows.filter(F.col("source_file") == f"/in/{n}.csv") for n in ("one", "two"))
+    wrong = one.withColumn("Amount", (F.col("Amount") * 3).cast("decimal(18,2)"))
+    for upload in (wrong, two, one):
+        ledger.write_expense_counts(upload, target)
+    profile = stored(anomaly.profile_of_counts(ledger.read_expense_counts(spark, target)))
+    return anomaly.score_expenses(rows, profile).withColumn("z", F.round("z", 4))
+
+
+@register
+def sketched_months(spark, folder):
+    """Medians and distinct merchants from monthly sketches, and whether they lie within the stated error."""
+    rows = stored(_tx(spark, folder))
+    held = stored(sketches.monthly_sketches(rows))
+    spent = filters.expenses(rows).withColumn("cents", cents(-F.col("Amount")))
+    told = sketches.merge_months(held)
+    ranked = spent.join(told.select("Category", "median").hint("broadcast"), "Category").groupBy("Category").agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("cents") < F.col("median") * 100).alias("below"),
+        F.count_if(F.col("cents") <= F.col("median") * 100).alias("upto"),
+        F.count_distinct("Description").alias("exact"),
+    )
+    n = F.col("rows")
+    slack = sketches.QUANTILE_ERROR * n + 1
+    median_ok = (F.col("below") <= n / 2 + slack) & (F.col("upto") >= n / 2 - slack)
+    distinct_ok = F.abs(F.col("merchants") - F.col("exact")) <= F.greatest(sketches.DISTINCT_ERROR * F.col("exact"), F.lit(1))
+    return ranked.join(told.select("Category", "merchants"), "Category").select(
+        "Category", "rows", median_ok.alias("median_ok"), distinct_ok.alias("distinct_ok")
+    )
+
+
 @register
 def anomalies(spark, folder):
     return anomaly.find_anomalies(views.event_transactions(spark, folder))
@@ -669,6 +706,14 @@ def ml_features(spark, folder):
     return model.feature_weights(data, stages).withColumn("weight", F.round("weight", 6))
 
 
+@register
+def ml_features_hashed(spark, folder):
+    """The same weights from n-grams numbered by a hash, where no two clash."""
+    stages, data = model.fit_features(history.training_set(_tx(spark, folder)), width=1 << 20)
+    weights = model.feature_weights(data, stages)
+    return weights.withColumn("weight", F.round("weight", 6))
+
+
 @register
 def ml_optimum(spark, folder):
     """Whether training stopped where the penalised loss is flat."""

@@ -18,8 +18,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.functions.measures import cents
+from tallybook.operators.filters import expenses
 from tallybook.operators.joins import lookup
+from tallybook.operators.medians import frequencies
 from tallybook.schema import MONTH_FOLDER, UNCATEGORIZED, require_columns
+from tallybook.session import stored
 from tallybook.sources.history import source_name, source_names
 from tallybook.sources.layouts import RAW_AMOUNT, RAW_DATE
 
@@ -96,9 +100,7 @@ def write_sources(
         .drop("source_file")
         .withColumn(MONTH_FOLDER, F.date_format("Date", "yyyy-MM"))
     )
-    target = f"{path}/version={version}"
-    out.hint("rebalance", MONTH_FOLDER, "source").write.partitionBy(MONTH_FOLDER, "source").format(fmt).save(target)
-    written = spark.read.schema(out.schema).format(fmt).load(target)
+    written = _write_version(out.hint("rebalance", MONTH_FOLDER, "source"), path, version, fmt, [MONTH_FOLDER, "source"])
     # The planner drops an empty frame with what observes it.
     blank = written.isEmpty() and given.isEmpty()
     result = {"total": 0, "uncategorized": 0} if blank else dict(counted.get)
@@ -108,6 +110,20 @@ def write_sources(
         result["rejected"] = sum(counts.values())
         if counts and not allow_rejects:
             raise ValueError(f"Cannot parse {result['rejected']} row(s): {counts}. Examples: {examples}")
+    _publish(written, path, version, sources)
+    return result
+
+
+def _write_version(out: DataFrame, path: str, version: str, fmt: str, folders: list[str]) -> DataFrame:
+    """Write one version's rows, which nobody reads until it is published; the rows as written."""
+    target = f"{path}/version={version}"
+    out.write.partitionBy(*folders).format(fmt).save(target)
+    return out.sparkSession.read.schema(out.schema).format(fmt).load(target)
+
+
+def _publish(written: DataFrame, path: str, version: str, sources: Iterable[str]) -> None:
+    """Make ``version`` the live one of the sources it has rows of, and of those named."""
+    spark = written.sparkSession
     named = spark.createDataFrame([(s,) for s in source_names(sources)], "source string")
     rows = written.select("source", F.lit(1).alias("n")).unionByName(named.withColumn("n", F.lit(0)))
     entries = rows.groupBy("source").agg(F.sum("n").cast("bigint").alias("rows"))
@@ -116,7 +132,26 @@ def write_sources(
     entries.select(
         "source", F.lit(version).alias("version"), F.lit(number).cast("bigint").alias("number"), "rows"
     ).coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
-    return result
+
+
+def write_expense_counts(df: DataFrame, path: str, sources: Iterable[str] = ()) -> None:
+    """Count the expenses of each source by category and amount; a source counted before is counted anew.
+
+    Only the rows of ``df`` are read. What the table holds of other sources stays, so statistics
+    over all history are kept up to date upload by upload.
+    """
+    require_columns(df, ["source_file", "Category", "Amount"], "write_expense_counts")
+    source = F.coalesce(source_name(F.col("source_file")), F.lit(NO_SOURCE))
+    pool = expenses(df).select(source.alias("source"), "Category", cents(-F.col("Amount")).alias("cents"))
+    version = f"v-{uuid.uuid4().hex}"
+    counted = frequencies(pool, ["source", "Category"], "cents").select("Category", "cents", "weight", "source")
+    _publish(_write_version(counted, path, version, "parquet", ["source"]), path, version, sources)
+
+
+def read_expense_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(Category, cents, weight) over the live counts of all sources; stored, for ``anomaly.profile_of_counts``."""
+    live = read_sources(spark, path)
+    return stored(live.groupBy("Category", "cents").agg(F.sum("weight").alias("weight")))
 
 
 def read_sources(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
