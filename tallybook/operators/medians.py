@@ -20,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST_RANGE_BITS = 8
+# A range holds at least 2**16 values; more where the values span more than 2**32.
+RANGE_BITS = 16
 DIRECT_ROWS = 1_000_000
 
 
@@ -59,7 +60,7 @@ def range_bits(freq: DataFrame, value: str) -> int:
     """How many bits of a value are its place in its range: half those of the span of all values."""
     ends = freq.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
     span = 0 if ends["low"] is None else ends["high"] - ends["low"]
-    return max(LEAST_RANGE_BITS, (span.bit_length() + 1) // 2)
+    return max(RANGE_BITS, (span.bit_length() + 1) // 2)
 
 
 def _by_ranges(freq: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -28,17 +28,22 @@ def scan_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     else of it is read. The result is stored. Files without any line are in no group.
     """
 
-    # Settings of a session of its own make each file one partition.
-    side = spark.newSession()
-    side.conf.set("spark.sql.files.maxPartitionBytes", str(_WHOLE_FILE))
-    side.conf.set("spark.sql.files.openCostInBytes", str(_WHOLE_FILE))
-    lines = side.read.text(paths if isinstance(paths, str) else list(paths))
-    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("header"))
-    # No operator of a DataFrame ends a partition early without a limit on all; an RDD's iterator does.
-    firsts = side.createDataFrame(rows.rdd.mapPartitions(lambda lines: itertools.islice(lines, 1)), rows.schema)
     target = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
-    grouped = firsts.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    grouped.write.parquet(target)
+    # For this job each file is one partition.
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in settings]
+    try:
+        for k in settings:
+            spark.conf.set(k, str(_WHOLE_FILE))
+        lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+        rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("header"))
+        # No operator of a DataFrame ends a partition early without a limit on all; an RDD's iterator does.
+        firsts = spark.createDataFrame(rows.rdd.mapPartitions(lambda lines: itertools.islice(lines, 1)), rows.schema)
+        grouped = firsts.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        grouped.write.parquet(target)
+    finally:
+        for k, v in zip(settings, before, strict=True):
+            spark.conf.set(k, v)
     return spark.read.schema(grouped.schema).parquet(target)
 
 
