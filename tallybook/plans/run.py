@@ -70,8 +70,7 @@ def run(
     """Classify exports, store them under ``output`` and write payload and report.
 
     The classified rows are written once and read back, so every analysis
-    scans a columnar table and no step repeats parsing or matching; coverage
-    is counted by the job that writes. Bad rows fail the run with their number
+    scans a columnar table and no step repeats parsing or matching. Bad rows fail the run with their number
     and examples, and then the table stays as it was. A source that was stored
     before is replaced, those of other runs are kept; the analyses are of this
     run's.

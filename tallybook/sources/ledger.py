@@ -1,4 +1,4 @@
-"""A table of classified rows in which a source is replaced as a whole, and counted while it is written.
+"""A table of classified rows in which a source is replaced as a whole, and counted as it is written.
 
 Layout: ``version=v-<id>/tx_month=<yyyy-MM>/source=<name>/`` holds the rows of one
 write, ``_manifest/`` one row for each source and write. The manifest is written
@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.measures import cents
@@ -54,7 +54,7 @@ def live_versions(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def coverage_metrics() -> list[Column]:
-    """Rows and uncategorized rows, for ``Observation``."""
+    """Rows and uncategorized rows, as aggregates."""
     return [F.count("*").alias("total"), F.count_if(F.col("Category") == UNCATEGORIZED).alias("uncategorized")]
 
 
@@ -80,36 +80,34 @@ def write_sources(
     """Write classified rows by month and source; each source replaces all it had. Returns what was counted.
 
     ``sources`` names files that were read, so that one which has no row any
-    more loses its old ones. Rows are counted by the job that writes them:
+    more loses its old ones. ``df`` is worked out once, into a stored table; rows are counted there:
     ``total``, ``classified`` and ``uncategorized``. If ``df`` is tagged as by
-    ``ingest_tolerant``, only clean rows are kept; bad ones are counted in the
-    same pass, and fail the write before it takes effect unless
+    ``ingest_tolerant``, only clean rows are kept; bad ones are counted there
+    as well, and fail the write before it takes effect unless
     ``allow_rejects``, in which case ``rejected`` says how many there were.
     """
     require_columns(df, ["source_file"], "write_sources")
-    spark, version, given = df.sparkSession, f"v-{uuid.uuid4().hex}", df
-    bad = None
-    if "reject_reason" in df.columns:
-        bad = Observation()
-        df = df.observe(bad, *reject_metrics()).filter(F.col("reject_reason").isNull())
-        df = df.drop(RAW_DATE, RAW_AMOUNT, "reject_reason")
-    counted = Observation()
+    version = f"v-{uuid.uuid4().hex}"
+    # Parsing and matching run once; what is counted are columns of the stored rows.
+    # (Not an Observation: a session that has had one can no longer run Spark ML models.)
+    held = stored(df)
+    rejected = None
+    if "reject_reason" in held.columns:
+        counts, examples = rejects_of(held.agg(*reject_metrics()).first().asDict())
+        rejected = sum(counts.values())
+        if counts and not allow_rejects:
+            raise ValueError(f"Cannot parse {rejected} row(s): {counts}. Examples: {examples}")
+        held = held.filter(F.col("reject_reason").isNull()).drop(RAW_DATE, RAW_AMOUNT, "reject_reason")
+    result = held.agg(*coverage_metrics()).first().asDict()
+    result["classified"] = result["total"] - result["uncategorized"]
+    if rejected is not None:
+        result["rejected"] = rejected
     out = (
-        df.observe(counted, *coverage_metrics())
-        .withColumn("source", F.coalesce(source_name(F.col("source_file")), F.lit(NO_SOURCE)))
+        held.withColumn("source", F.coalesce(source_name(F.col("source_file")), F.lit(NO_SOURCE)))
         .drop("source_file")
         .withColumn(MONTH_FOLDER, F.date_format("Date", "yyyy-MM"))
     )
     written = _write_version(out.hint("rebalance", MONTH_FOLDER, "source"), path, version, fmt, [MONTH_FOLDER, "source"])
-    # The planner drops an empty frame with what observes it.
-    blank = written.isEmpty() and given.isEmpty()
-    result = {"total": 0, "uncategorized": 0} if blank else dict(counted.get)
-    result["classified"] = result["total"] - result["uncategorized"]
-    if bad is not None:
-        counts, examples = ({}, []) if blank else rejects_of(bad.get)
-        result["rejected"] = sum(counts.values())
-        if counts and not allow_rejects:
-            raise ValueError(f"Cannot parse {result['rejected']} row(s): {counts}. Examples: {examples}")
     _publish(written, path, version, sources)
     return result
 
