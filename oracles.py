@@ -372,6 +372,10 @@ SQL["stored_by_month"] = _tx(
 SQL["stored_twice"] = _tx(
     "SELECT strftime(d, '%Y-%m') AS month, CAST(sum(amt) AS DOUBLE) AS total, count(*) AS rows FROM tx GROUP BY 1"
 )
+SQL["classify_alike_rules"] = """
+SELECT coalesce('nation ' || CAST(c_nationkey AS VARCHAR), 'Uncategorized') AS "Category", count(*) AS rows,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND o_custkey % 7 <> 0 GROUP BY 1"""
 SQL["classify_repeated_category"] = _tx(
     """, c AS (SELECT amt, CASE WHEN lower(descr) LIKE '%cold%' THEN 'Frost' WHEN lower(descr) LIKE '%brand#1%' THEN 'Brand'
     WHEN lower(descr) LIKE '%ring%' OR lower(descr) LIKE '%gear%' THEN 'Frost' ELSE 'Uncategorized' END AS c FROM tx)

@@ -21,7 +21,7 @@ Blocks = list[tuple[str, list[str]]]
 # Up to this many keywords become one CASE expression in the scan stage;
 # longer tables are matched by a join on substrings.
 INLINE_KEYWORDS = 1_000
-PREFIX = 8
+PIECE = 8
 
 
 def rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
@@ -76,50 +76,73 @@ def _classify_inline(df: DataFrame, blocks: Blocks) -> DataFrame:
     )
 
 
+def _cuts(text: Column, size: int) -> Column:
+    """All substrings of ``size`` characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
+
+
+def keyword_pieces(rules: DataFrame) -> DataFrame:
+    """(keyword, best, piece): each distinct keyword, the first rule that has it, and its pieces.
+
+    Pieces are the substrings of ``PIECE`` characters, or the whole of a shorter keyword.
+    """
+    keyword = F.col("keyword")
+    return (
+        _usable(rules)
+        .groupBy(F.lower("keyword").alias("keyword"))
+        .agg(F.min(F.struct(F.struct("cat_order", "kw_order").alias("rank"), "category")).alias("best"))
+        .filter(keyword != "")
+        .withColumn("piece", F.explode(F.when(F.length(keyword) < PIECE, F.array(keyword)).otherwise(F.array_distinct(_cuts(keyword, PIECE)))))
+    )
+
+
+def rarest_pieces(keyed: DataFrame, hits: DataFrame) -> DataFrame:
+    """(keyword, best, piece): of each keyword the piece that occurs least in the descriptions.
+
+    ``hits`` has a ``piece`` for each place in a description where one is found. A
+    keyword with a piece that is found nowhere matches none and is left out.
+    """
+    held = hits.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("_rarest")
+    return (
+        keyed.join(held, "piece", "left")
+        .groupBy("keyword")
+        .agg(F.min("best").alias("best"), rarest)
+        .filter("_rarest.n > 0")
+        .select("keyword", "best", F.col("_rarest.piece").alias("piece"))
+    )
+
+
 def match_by_substring(
     descriptions: DataFrame, rules: DataFrame, max_broadcast: int = BROADCAST_KEYS
 ) -> DataFrame:
     """(Description, best) for every description that some keyword matches.
 
-    ``best`` is the struct (rank, category) of the first rule. Each non-empty
-    keyword is keyed by its first ``PREFIX`` characters, each distinct
-    description by its substrings of the key lengths that occur; equal keys
-    are then verified on the whole keyword. The work grows with text length
-    and true matches, not with descriptions times keywords.
+    ``best`` is the struct (rank, category) of the first rule. Distinct
+    descriptions are stored, cut once to count the pieces of keywords in them,
+    and once more to look for each keyword where its rarest piece is, so that
+    keywords that begin alike do not meet in one key; what meets is verified
+    whole. The work grows with text length and true matches, not with
+    descriptions times keywords.
     """
-    keyed = stored(
-        _usable(rules).select(
-            "category",
-            F.struct("cat_order", "kw_order").alias("rank"),
-            F.lower("keyword").alias("keyword"),
-        )
-        .filter(F.col("keyword") != "")
-        .withColumn("piece", F.substring("keyword", 1, PREFIX))
-    )
-    # At most PREFIX rows.
+    keyed = stored(keyword_pieces(rules))
+    # At most PIECE rows.
     sizes = [r["n"] for r in keyed.select(F.length("piece").alias("n")).distinct().collect()]
-    text = F.col("_text")
-    length = F.length(text)
-
-    def pieces_of(size: int) -> Column:
-        starts = F.sequence(F.lit(1), length - size + 1)
-        cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-        return F.when(length >= size, cut).otherwise(F.array().cast("array<string>"))
-
     none = F.array().cast("array<string>")
-    pieces = F.array_distinct(F.flatten(F.array(none, *[pieces_of(n) for n in sorted(sizes)])))
-    exploded = (
-        descriptions.select("Description")
-        .filter(F.col("Description").isNotNull())
-        .distinct()
-        .withColumn("_text", F.lower("Description"))
-        .withColumn("piece", F.explode(pieces))
-    )
+    text = F.col("_text")
+    pieces = F.flatten(F.array(none, *[_cuts(text, n) for n in sorted(sizes)]))
+    distinct = stored(descriptions.select("Description").filter(F.col("Description").isNotNull()).distinct())
+    exploded = distinct.withColumn("_text", F.lower("Description")).withColumn("piece", F.explode(pieces))
+    wanted = keyed.select("piece").distinct()
+    hits = lookup(exploded.select("piece"), wanted, ["piece"], max_rows=max_broadcast, how="left_semi")
+    anchors = stored(rarest_pieces(keyed, hits))
     return (
-        lookup(exploded, keyed, ["piece"], max_rows=max_broadcast, how="inner")
+        lookup(exploded, anchors, ["piece"], max_rows=max_broadcast, how="inner")
         .filter(F.contains(text, F.col("keyword")))
         .groupBy("Description")
-        .agg(F.min(F.struct("rank", "category")).alias("best"))
+        .agg(F.min("best").alias("best"))
     )
 
 

@@ -305,6 +305,27 @@ def classify_long_rules(spark, folder):
     return classify.classify(views.transactions(spark, folder), table, inline_keywords=0)
 
 
+@register
+def classify_alike_rules(spark, folder):
+    """One rule a customer, all keywords beginning alike: too many for one expression."""
+    rules = views.table(spark, folder, "customer").select(
+        F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("category"),
+        F.col("c_nationkey").cast("int").alias("cat_order"),
+        F.concat(F.lit("Card Payment by "), F.col("c_custkey").cast("string"), F.lit(" on")).alias("keyword"),
+        F.col("c_custkey").cast("int").alias("kw_order"),
+    )
+    by = F.pmod("o_custkey", F.lit(7)) != 0
+    text = F.when(by, F.lit("card payment by ")).otherwise(F.lit("transfer by "))
+    rows = views.table(spark, folder, "orders").select(
+        F.to_date("o_orderdate").alias("Date"),
+        F.concat(text, F.col("o_custkey").cast("string"), F.lit(" on "), F.date_format("o_orderdate", "MMM yyyy")).alias("Description"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("Amount"),
+    )
+    return classify.classify(rows, rules, inline_keywords=0).groupBy("Category").agg(
+        F.count("*").alias("rows"), F.sum("Amount").alias("total")
+    )
+
+
 @register
 def classify_repeated_category(spark, folder):
     """A category in two places, keywords in capitals and missing ones; matched by both ways in turn."""

@@ -51,6 +51,33 @@ def test_both_matchers_agree(spark):
     assert one == two and len(one) == len(texts) * 2
 
 
+def test_keywords_that_begin_alike_have_their_own_anchors(spark):
+    rules = {f"c{i % 5}": [] for i in range(40)}
+    for i in range(40):
+        rules[f"c{i % 5}"].append(f"card payment to shop{i:02d}, thanks")
+    rules["c1"] += ["card payment nowhere", "short", "xyz"]
+    texts = [f"CARD PAYMENT TO SHOP{i:02d}, THANKS a lot" for i in range(30)] + ["card payment", "a short one", "XYZ", "", None]
+    df = described(spark, *texts, *texts)
+    table = classify.rules_table(spark, rules)
+    keyed = classify.keyword_pieces(table)
+    low = [t.lower() for t in texts if t is not None]
+    pieces = {r["piece"] for r in keyed.collect()}
+    hits = spark.createDataFrame([(t, p) for t in low for p in pieces if p in t], "Description string, piece string")
+    anchors = classify.rarest_pieces(keyed, hits).collect()
+    # No description holds the rest; each anchor is in one description only.
+    assert {r["keyword"] for r in anchors} == {f"card payment to shop{i:02d}, thanks" for i in range(30)} | {"short", "xyz"}
+    assert all(sum(r["piece"] in t for t in low) == 1 for r in anchors)
+    one, two = (sorted(plain(classify.classify(df, table, n)), key=str) for n in (1000, 0))
+    assert one == two and len(one) == 2 * len(texts)
+
+
+def test_matching_beyond_every_broadcast(spark):
+    rules = classify.rules_table(spark, {"A": ["longer keyword one", "one"], "B": ["keyword two", "two", "longer keyword one"]})
+    texts = ["A longer keyword one", "longer keyword two", "one two", "none of them", "tw", None]
+    got = {r["Description"]: r["best"]["category"] for r in classify.match_by_substring(described(spark, *texts), rules, 0).collect()}
+    assert got == {"A longer keyword one": "A", "longer keyword two": "B", "one two": "A", "none of them": "A"}
+
+
 def test_rule_table_input_and_no_rules(spark):
     df = described(spark, "ferry")
     table = classify.rules_table(spark, SHOPS)
