@@ -7,23 +7,28 @@ chance in proportion to q: documents are ordered by -ln(u) / q, with u in (0, 1)
 drawn from a hash of the document's id, and taken from the front until the
 target is met. The document on the boundary is taken if that comes nearer.
 
-Scale: no source is sorted as a whole. Order keys fall into fixed buckets; the
-sizes are summed by (source, bucket) on the map side, running sums over that
-short table find the one bucket that holds the boundary, and only its documents
-(about one in ``BUCKETS``) are sorted. A source that holds a third of all rows
-is thus spread like any other. Draws depend on ids alone: reruns agree.
+Scale: no source is sorted as a whole. Order keys fall into buckets by their
+logarithm; the sizes are summed by (source, bucket) on the map side, running
+sums over that short table find the one bucket that holds the boundary, and only
+its documents are sorted. The logarithm of an exponential variable has a density
+of at most 1/e, and quality only shifts it. So a bucket is expected to hold at
+most one in ``BUCKETS`` of a source's documents, whatever their qualities. A
+source that holds a third of all rows is thus spread like any other. Draws
+depend on ids alone (without an id, on the text): reruns agree.
 
 Targets are held at ``most`` times a source's size; what that cuts off goes to
 the other sources by weight. The number of distinct sources is taken to be
 small (one task orders them by name).
 
 Null text: size 0, taken 0 times. Null source: a source of its own, after all
-others. Equal ids draw alike; repeated rows each count. Empty table: empty
-result. Extra columns are carried in ``_row``.
+others. Equal ids draw alike; repeated rows each count. A quality that is null,
+not a number or not above 0 comes behind all others. Empty table: empty result.
+Extra columns are carried in ``_row``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +39,10 @@ from tallybook.operators.joins import lookup
 from tallybook.session import stored
 
 BUCKETS = 1 << 12
+# Beyond the bucket of any key.
+_LAST = 1 << 30
+# Stands for quality 0; the keys it leads to are still finite.
+_WORST = 1e-300
 SEED = 7
 
 
@@ -43,6 +52,17 @@ def letter_quality(text: str) -> Column:
     return 1 / (1 + 10 * rest / F.greatest(F.length(text), F.lit(1)))
 
 
+def order_key(draw: Column, quality: Column) -> Column:
+    """-ln(draw) / quality, above 0; ``draw`` is from 0 to 1."""
+    worth = F.greatest(F.nanvl(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(_WORST))
+    return F.greatest(-F.log(draw) / worth, F.lit(_WORST))
+
+
+def bucket_of(key: Column) -> Column:
+    """Number of a key's bucket: buckets are e / ``BUCKETS`` wide in its logarithm."""
+    return F.floor(F.log(key) * (BUCKETS / math.e)).cast("int")
+
+
 def targets(totals: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     """(_source, _source_size, _target) from (_source, _source_size).
 
@@ -85,7 +105,8 @@ def mix(
 ) -> DataFrame:
     """``_row``, ``_size``, ``_source_size``, ``_target`` and ``_copies``, how often the mix takes the document."""
     name = F.when(quoted(source).isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), quoted(source).cast("string")))
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_id")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    drawn = F.xxhash64(F.lit(seed), F.col("_id"), F.when(F.col("_id").isNull(), F.col("_t")))
+    draw = (F.shiftrightunsigned(drawn, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     worth = letter_quality("_t") if quality is None else quality
     rows = stored(
         docs.select(
@@ -96,8 +117,8 @@ def mix(
             *([] if quality is None else [quality.alias("_worth")]),
         )
         .withColumn("_size", F.size(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))).cast("long"))
-        .withColumn("_key", -F.log(draw) / (worth if quality is None else F.col("_worth")))
-        .withColumn("_bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("_key"))))).cast("int"))
+        .withColumn("_key", order_key(draw, worth if quality is None else F.col("_worth")))
+        .withColumn("_bucket", bucket_of(F.col("_key")))
         .select("_row", "_source", "_id", "_size", "_key", "_bucket")
     )
     by_bucket = stored(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_held")))
@@ -117,7 +138,7 @@ def mix(
             "_source_size",
             "_target",
             "_epochs",
-            F.coalesce("_end._bucket", F.lit(BUCKETS)).alias("_edge"),
+            F.coalesce("_end._bucket", F.lit(_LAST)).alias("_edge"),
             (F.col("_rest") - F.col("_end._sum") + F.col("_end._held")).alias("_within"),
         )
     )

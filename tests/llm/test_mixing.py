@@ -83,6 +83,39 @@ def test_better_documents_come_first(spark):
     assert mixing.mixed(docs, quality=F.col("q")).columns == docs.columns
 
 
+@pytest.mark.parametrize("worth", ["1.0D", "0.1D", "0.01D", "if(id % 3 = 0, 1.0D, 0.05D)", "1 / (1 + id % 97)"])
+def test_no_bucket_holds_much_of_a_source(spark, worth):
+    from pyspark.sql import functions as F
+
+    n = 400_000
+    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(3), F.col("id")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    keys = spark.range(n).select(mixing.order_key(draw, F.expr(worth)).alias("k"))
+    held = [tuple(r) for r in keys.groupBy(mixing.bucket_of(F.col("k")).alias("b")).agg(F.count("*"), F.min("k"), F.max("k")).collect()]
+    assert max(c for _, c, _, _ in held) < 1.6 * n / mixing.BUCKETS
+    held.sort()
+    assert all(a[3] < b[2] for a, b in zip(held, held[1:], strict=False))
+
+
+def test_qualities_that_are_none(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(900).selectExpr(
+        "id doc_id", "'w w w w w w w w w w' text", "if(id % 3 = 0, 'a', 'b') source",
+        "case id % 5 when 0 then cast(null as double) when 1 then 0.0D when 2 then double('NaN') when 3 then -1.0D else 1.0D end q",
+    )
+    rows = mixing.mix(docs, quality=F.col("q"), weights=(1, 5)).selectExpr("_row.source s", "_row.q q", "_copies c", "_target t").collect()
+    short = [r for r in rows if r["s"] == "a"]
+    assert abs(10 * sum(r["c"] for r in short) - short[0]["t"]) <= 5
+    # A sixth of the words goes to a third of the documents: half of them, the good ones first.
+    assert {r["c"] for r in short if r["q"] == 1.0} == {1}
+
+
+def test_rows_without_id_do_not_draw_alike(spark):
+    docs = [(None, "w " * (1 + i % 50) + str(i), "a" if i % 2 else "b") for i in range(400)]
+    rows = rows_of(spark, docs)
+    check(rows, docs)
+
+
 def test_query_on_whole_table(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
     source = {d[0]: d[2] for d in docs}
