@@ -4,10 +4,11 @@ Candidates are what the base patterns match (e-mail, IP, card, phone) and what
 looser ones do (addresses spelt out, phones without a plus, identity numbers,
 secrets, titled names). Five labelers look at each candidate and vote for or
 against it, or abstain: pattern, checksum, gazetteer, words before it, and
-whether it stands alone. Candidates are counted by kind and votes (a few
-thousand combinations at most, whatever the input); expectation-maximisation on
+whether it stands alone. Candidates are counted by kind, votes and look (some
+20,000 combinations at most, whatever the input); expectation-maximisation on
 these counts estimates how reliable each labeler is, and its posteriors train a
-logistic span classifier on kind and votes. Base matches that pass their own
+logistic span classifier on kind, votes and what the span looks like: its length,
+and how much of it is digits. Base matches that pass their own
 test always stay; of the others those stay that the classifier accepts. No
 label is needed.
 
@@ -24,6 +25,7 @@ in ``_row``.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -38,7 +40,11 @@ from tallybook.session import stored
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret", "name")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "alone")
-CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,votes:int>>"
+CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,votes:int,look:int>>"
+# Looks of a span: lengths below each of these and beyond, each with few, some or mostly digits.
+LENGTHS = (10, 18, 32)
+DIGITS = (0.1, 0.6)
+LOOKS = (len(LENGTHS) + 1) * (len(DIGITS) + 1)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -175,12 +181,18 @@ def vote(text: str, start: int, kind: int, end: int, base: bool) -> int:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
-    """(kind, start, end, base, votes) of all candidates of a text, in order."""
+def look(text: str) -> int:
+    """Number of a span's look."""
+    share = len(_digits(text)) / len(text)
+    return bisect.bisect_right(LENGTHS, len(text)) * (len(DIGITS) + 1) + bisect.bisect_right(DIGITS, share)
+
+
+def candidates(text: str) -> list[tuple[int, int, int, bool, int, int]]:
+    """(kind, start, end, base, votes, look) of all candidates of a text, in order."""
     has_digit = re.search("[0-9]", text) is not None
     base = base_spans(text) if has_digit or "@" in text else []
     spans = [(*s, True) for s in base] + [(*s, False) for s in _loose_spans(text, base, has_digit)]
-    return [(k, a, b, own, vote(text, a, k, b, own)) for a, k, b, own in sorted(spans)]
+    return [(k, a, b, own, vote(text, a, k, b, own), look(text[a:b])) for a, k, b, own in sorted(spans)]
 
 
 def _signs(votes: np.ndarray) -> np.ndarray:
@@ -208,10 +220,24 @@ def weigh(
     return posterior, accuracy
 
 
-def fit_classifier(kind: np.ndarray, votes: np.ndarray, count: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Chance of each combination under a logistic model of kind and votes, fitted to the posteriors."""
+def span_features(kind: np.ndarray, votes: np.ndarray, looks: np.ndarray) -> np.ndarray:
+    """What the span classifier sees: kind, votes, and length and share of digits by themselves."""
     signs = _signs(votes)
-    x = np.hstack([np.ones((len(kind), 1)), kind[:, None] == np.arange(len(KINDS)), signs > 0, signs < 0]).astype(float)
+    length, digits = np.divmod(looks, len(DIGITS) + 1)
+    return np.hstack(
+        [
+            np.ones((len(kind), 1)),
+            kind[:, None] == np.arange(len(KINDS)),
+            signs > 0,
+            signs < 0,
+            length[:, None] == np.arange(len(LENGTHS) + 1),
+            digits[:, None] == np.arange(len(DIGITS) + 1),
+        ]
+    ).astype(float)
+
+
+def fit_classifier(x: np.ndarray, count: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Chance of each combination under a logistic model of its features, fitted to the posteriors."""
     share = count / count.sum() * min(count.sum(), 1e4)
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -224,25 +250,29 @@ def fit_classifier(kind: np.ndarray, votes: np.ndarray, count: np.ndarray, targe
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
+def _code(kind, votes, looks):
+    """One number for a combination, of arrays or of columns."""
+    return (kind * 3 ** len(LABELERS) + votes) * LOOKS + looks
+
+
 def find(docs: DataFrame, text: str = "text", threshold: float = 0.5, carry: Sequence[str] | None = None) -> DataFrame:
     """``_row`` and ``_spans``: structs (start, kind, end, base), in order; ``kind`` counts in ``KINDS``."""
 
     @F.pandas_udf(CANDIDATES)
     def looked(texts: pd.Series) -> pd.Series:
-        names = ("kind", "start", "end", "base", "votes")
+        names = ("kind", "start", "end", "base", "votes", "look")
         return pd.Series([[dict(zip(names, c, strict=True)) for c in candidates(t)] for t in texts], dtype=object)
 
     rows = stored(docs.select(boxed(docs, carry), looked(text_or_empty(text)).alias("_c")))
-    counted = rows.select(F.explode("_c").alias("c")).groupBy("c.kind", "c.base", "c.votes").count().collect()
+    counted = rows.select(F.explode("_c").alias("c")).groupBy("c.kind", "c.votes", "c.look").count().collect()
     accepted: list[int] = []
     if counted:
-        kind, votes, count = (np.array([r[n] for r in counted]) for n in ("kind", "votes", "count"))
+        kind, votes, looks, count = (np.array([r[n] for r in counted]) for n in ("kind", "votes", "look", "count"))
         posterior, _ = weigh(kind, votes, count)
-        chance = fit_classifier(kind, votes, count.astype(float), posterior)
-        accepted = sorted({int(k * 3 ** len(LABELERS) + v) for k, v, p in zip(kind, votes, chance, strict=True) if p >= threshold})
-    code = lambda c: c["kind"] * 3 ** len(LABELERS) + c["votes"]
+        chance = fit_classifier(span_features(kind, votes, looks), count.astype(float), posterior)
+        accepted = sorted(_code(kind, votes, looks)[chance >= threshold].tolist())
     listed = F.array(*map(F.lit, accepted)) if accepted else F.array().cast("array<int>")
-    kept = F.filter("_c", lambda c: c["base"] | F.array_contains(listed, code(c)))
+    kept = F.filter("_c", lambda c: c["base"] | F.array_contains(listed, _code(c["kind"], c["votes"], c["look"])))
     spans = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base")))
     return rows.select("_row", F.sort_array(spans).alias("_spans"))
 

@@ -57,7 +57,8 @@ def test_reliabilities_are_recovered():
     patterns, back, count = np.unique(votes, return_inverse=True, return_counts=True)
     posterior, accuracy = personal.weigh(np.zeros(len(patterns), int), patterns, count)
     assert accuracy == pytest.approx(right, abs=0.03)
-    chance = personal.fit_classifier(np.zeros(len(patterns), int), patterns, count.astype(float), posterior)
+    none = np.zeros(len(patterns), int)
+    chance = personal.fit_classifier(personal.span_features(none, patterns, none), count.astype(float), posterior)
     assert ((chance[back] >= 0.5) == truth).mean() > 0.95
 
 
@@ -81,6 +82,15 @@ def test_edge_rows_redaction_and_columns(spark):
     assert personal.without_personal_data(docs.limit(0)).count() == 0
 
 
+def test_classifier_learns_from_looks():
+    rng = np.random.default_rng(1)
+    kind, votes, looks = np.full(4000, 5), np.full(4000, 121), rng.integers(0, personal.LOOKS, 4000)
+    target = np.where(looks // 3 >= 2, 0.9, 0.1)
+    chance = personal.fit_classifier(personal.span_features(kind, votes, looks), np.ones(4000), target)
+    assert ((chance > 0.5) == (target > 0.5)).all()
+    assert [personal.look(t) for t in ("a@b.c", "1.2.3.4", "x" * 10, "4111 1111 1111 1111", "a1" * 20)] == [0, 1, 3, 8, 10]
+
+
 def test_query_on_whole_table(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r["doc_id"]: r for r in op6_personal_data(spark, SF).collect()}
