@@ -14,11 +14,17 @@ Each distinct fingerprint is indexed by its bits in each part and probes all
 keys within the threshold; pairs that meet are verified on all 64 bits.
 
 Scale: rows of equal fingerprint are one from the start, whatever their number.
-What meets in a bucket is compared in blocks, and a bucket yields a link from
-each member to its local representative, never all pairs of a group; a member
-that has been reached is not compared again, so a dense group costs about its
-size. Components come from alternating large-star and small-star steps on
-stored edge tables.
+The number of groups follows the number of keys. A bucket (part and key) that
+may hold more than ``TILE`` entries is split: its home entries and all its
+entries are dealt to blocks by hash, and each pair of blocks is a tile of its
+own, so that no task holds a large bucket and no link is lost. How many entries
+a bucket may hold follows from counting home keys, as its probes come from keys
+nearby. A tile yields a link from each member to its local representative, never
+all pairs of a group; a member that has been reached is not compared again, so a
+dense group costs about its size. Components come from alternating large-star
+and small-star steps on stored edge tables; the edges of nodes of more than
+``HUB`` neighbours find their smallest neighbour in a short table, not by a
+shuffle on the node.
 
 Null text: as empty. A text without words has fingerprint 0, which links like
 any other. Null ids count for no component's smallest id. Repeated rows are all
@@ -34,10 +40,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import boxed, parts, text_or_empty
+from tallybook.operators.joins import lookup
 from tallybook.session import stored
 
 BITS = 64
@@ -46,6 +53,10 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
 # Cost of sending one key, in units of comparing one pair.
 KEY_COST = 200.0
+# Entries that one tile and one group are meant to hold, and neighbours of a node that may meet in one task.
+TILE = 1 << 15
+GROUP = 1 << 18
+HUB = 1_000
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -187,11 +198,56 @@ def local_stars(prints: np.ndarray, home: np.ndarray, max_bits: int) -> Iterator
                 left, at_home = left[~near], at_home[~near]
 
 
-def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+def _signed(mask: np.uint64) -> int:
+    return int(np.uint64(mask).astype(np.int64))
+
+
+def crowded(prints: DataFrame, used: Sequence[tuple[int, np.uint64, list[np.uint64]]], tile: int) -> DataFrame:
+    """(part, key, blocks) of the buckets that may hold more than ``tile`` entries, and into how many blocks to split each.
+
+    Entries of a bucket come from home keys within the part's threshold; those
+    that hold a share of ``tile`` too small to matter are not counted.
+    """
+    homes = F.array(*[F.struct(F.lit(i).alias("part"), F.col("_fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m, _ in used])
+    ball = F.create_map(*[F.lit(x) for i, _, flips in used for x in (i, len(flips) + 1)])
+    near = F.create_map(
+        *[x for i, _, flips in used for x in (F.lit(i), F.array(*[F.lit(_signed(f)) for f in (np.uint64(0), *flips)]))]
+    )
+    large = (
+        prints.select(F.explode(homes).alias("h"))
+        .groupBy("h.part", "h.key")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") * F.element_at(ball, F.col("part")) > tile)
+    )
+    reached = large.withColumn("flip", F.explode(F.element_at(near, F.col("part"))))
+    total = F.sum("n")
+    return (
+        reached.groupBy("part", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+        .agg(F.ceil(total / tile).cast("int").alias("blocks"), total.alias("n"))
+        .filter(F.col("n") > tile)
+        .select("part", "key", "blocks")
+    )
+
+
+def _tiles(blocks: Column, block: Column, home: Column) -> Column:
+    """Tiles of an entry in a bucket of so many blocks: structs (home block, entry block, as home).
+
+    A home entry meets every block of entries at home, and as an entry the
+    home blocks before its own; any other entry meets every home block.
+    """
+    every = F.sequence(F.lit(0), blocks - 1)
+    at_home = F.transform(every, lambda j: F.struct(block.alias("i"), j.alias("j"), F.lit(True).alias("home")))
+    rest = F.filter(every, lambda i: ~home | (i < block))
+    probing = F.transform(rest, lambda i: F.struct(i.alias("i"), block.alias("j"), F.lit(False).alias("home")))
+    return F.when(home, F.concat(at_home, probing)).otherwise(probing)
+
+
+def links(prints: DataFrame, max_bits: int = 4, tile: int = TILE) -> DataFrame:
     """Edges (u, v) whose components are those of all links; column ``_fp`` holds distinct fingerprints."""
     n, both = bit_statistics(prints)
     used = _keys(plan_search(n, both, max_bits))
-    coarse = parts(prints.sparkSession) * 4
+    keys = n * sum(len(flips) + 1 for _, _, flips in used)
+    coarse = max(parts(prints.sparkSession) * 4, math.ceil(keys / GROUP))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -199,10 +255,8 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
                 fp = frame["_fp"].to_numpy()[at : at + 2048].view(np.uint64)
                 for i, mask, flips in used:
                     keys = np.concatenate([(fp & mask) ^ f for f in (np.uint64(0), *flips)])
-                    mixed = (keys ^ np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
                     yield pd.DataFrame(
                         {
-                            "group": ((mixed >> np.uint64(33)) % np.uint64(coarse)).astype(np.int32),
                             "part": np.int32(i),
                             "key": keys.view(np.int64),
                             "fp": np.tile(fp, len(flips) + 1).view(np.int64),
@@ -212,10 +266,10 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 
     def met(frame: pd.DataFrame) -> pd.DataFrame:
         part, key, home = frame["part"].to_numpy(), frame["key"].to_numpy(), frame["home"].to_numpy()
-        fp = frame["fp"].to_numpy().view(np.uint64)
-        order = np.lexsort((fp, ~home, key, part))
-        part, key, home, fp = part[order], key[order], home[order], fp[order]
-        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
+        at, fp = frame["tile"].to_numpy(), frame["fp"].to_numpy().view(np.uint64)
+        order = np.lexsort((fp, ~home, at, key, part))
+        part, key, at, home, fp = part[order], key[order], at[order], home[order], fp[order]
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0) | (np.diff(at) != 0)) + 1
         found = set()
         for a, b in itertools.pairwise([0, *cut.tolist(), len(key)]):
             if b - a > 1 and home[a]:
@@ -223,20 +277,38 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
         pairs = np.array(list(found), np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return (
-        prints.select("_fp")
-        .mapInPandas(spread, "group int, part int, key long, fp long, home boolean")
-        .groupBy("group")
-        .applyInPandas(met, "u long, v long")
-        .distinct()
-    )
+    entries = prints.select("_fp").mapInPandas(spread, "part int, key long, fp long, home boolean")
+    split = stored(crowded(prints, used, tile))
+    if not split.isEmpty():
+        blocks = F.coalesce("blocks", F.lit(1))
+        block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        entries = (
+            lookup(entries, split, ["part", "key"])
+            .withColumn("_tile", F.explode(_tiles(blocks, block, F.col("home"))))
+            .select("part", "key", "fp", "_tile.home", (F.col("_tile.i") * blocks + F.col("_tile.j")).cast("long").alias("tile"))
+        )
+    else:
+        entries = entries.withColumn("tile", F.lit(0).cast("long"))
+    group = F.pmod(F.xxhash64("part", "key", "tile"), F.lit(coarse)).cast("int")
+    return entries.groupBy(group.alias("group")).applyInPandas(met, "u long, v long").distinct()
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _with_least(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (u, v) with m, the smallest of u and its neighbours; and (u, m) of each u.
 
+    The edges of nodes with more than ``hub`` neighbours, of which there are
+    at most one in ``hub`` edges, get it from a table of those nodes alone.
+    """
+    least = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    hubs, rest = least.filter(F.col("n") > hub).select("u", "m"), least.filter(F.col("n") <= hub).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(rest, "u"), rest
+    marked = lookup(edges, hubs, ["u"])
+    far = marked.filter("m IS NULL").drop("m").join(rest, "u")
+    return marked.filter("m IS NOT NULL").unionByName(far), least.select("u", "m")
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(u, v) for every node u of ``edges`` that is not the smallest, v, of its component.
 
     Large-star links a node's greater neighbours to its smallest one, small-star
@@ -245,15 +317,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.filter("u != v"))
     while True:
-        both = now.union(now.select("v", "u"))
-        large = (
-            both.join(_smallest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
-        least = _smallest(down)
+        both, _ = _with_least(now.union(now.select("v", "u")), hub)
+        large = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = stored(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"))
+        joined, least = _with_least(down, hub)
         small = (
-            down.join(least, "u")
-            .filter("v != m")
+            joined.filter("v != m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
             .filter("u != v")

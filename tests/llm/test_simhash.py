@@ -74,6 +74,51 @@ def test_edge_rows_and_clashing_columns(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("max_bits", [0, 2, 4])
+def test_crowded_buckets_are_split_without_loss(spark, max_bits):
+    """Fingerprints that agree in all but 24 bits, so that some keys hold them all."""
+    rng = random.Random(max_bits)
+    top = rng.getrandbits(40) << 24
+    prints = list(dict.fromkeys([top | rng.getrandbits(24) for _ in range(1500)] + [rng.getrandbits(64) for _ in range(300)]))
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
+    df = spark.createDataFrame(signed, "_fp long")
+    want = brute_components({x: s[0] for x, s in zip(prints, signed, strict=True)}, max_bits)
+    for tile in (50, 10**6):
+        root = {r["u"]: r["v"] for r in simhash.components(simhash.links(df, max_bits, tile), hub=5).collect()}
+        assert {s[0]: root.get(s[0], s[0]) for s in signed} == {s[0]: want[x] for x, s in zip(prints, signed, strict=True)}
+
+
+def test_blocks_of_a_bucket_of_a_hundred_thousand(spark):
+    """What a crowded bucket is split into: every pair with a home entry meets, no tile passes a few times its size."""
+    from pyspark.sql import functions as F
+
+    n, tile = 100_000, 1 << 13
+    prints = spark.range(n).select((F.lit(5 << 40) + F.col("id")).alias("_fp"))
+    high = np.uint64(((1 << 32) - 1) << 32)
+    split = simhash.crowded(prints, [(0, high, [np.uint64(1 << 63)])], tile).collect()
+    assert sorted((r["part"], r["key"], r["blocks"]) for r in split) == sorted([(0, 5 << 40, 13), (0, (5 << 40) - (1 << 63), 13)])
+    rows = prints.select(F.col("_fp").alias("fp"), (F.col("_fp") % 3 > 0).alias("own"))
+    block = F.pmod(F.xxhash64("fp"), F.lit(13)).cast("int")
+    dealt = rows.select("fp", "own", F.explode(simhash._tiles(F.lit(13), block, F.col("own"))).alias("t"))
+    sizes = dealt.groupBy("t.i", "t.j").count().collect()
+    assert len(sizes) == 169 and max(r["count"] for r in sizes) < 2.2 * tile
+    few = dealt.filter("fp % 499 = 0").select("fp", "own", "t.i", "t.j", "t.home").collect()
+    held = {}
+    for r in few:
+        held.setdefault((r["i"], r["j"]), []).append(r)
+    met = {frozenset((x["fp"], y["fp"])) for t in held.values() for x in t if x["home"] for y in t}
+    some = {r["fp"]: r["own"] for r in few}
+    assert all(frozenset((x, y)) in met for x in some for y in some if some[x])
+    assert all(not r["home"] or r["own"] for r in few)
+
+
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_components_of_a_star_and_a_chain(spark, hub):
+    edges = [(7, 100 + i) for i in range(50)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (120, 3)]
+    got = {tuple(r) for r in simhash.components(spark.createDataFrame(edges, "u long, v long"), hub).collect()}
+    assert got == {(u, 3) for u in [7, *range(100, 150)]} | {(u, 1000) for u in range(1001, 1041)}
+
+
 @pytest.mark.parametrize("max_bits", [0, 1, 4, 6])
 def test_links_on_clustered_fingerprints(spark, max_bits):
     rng = random.Random(max_bits)
