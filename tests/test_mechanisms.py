@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import random
+import tempfile
 
 import pytest
 from conftest import plain
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tallybook.operators import anomaly, classify, medians, model, sketches
 from tallybook.operators.numbering import number_rows
 from tallybook.schema import RULES
+from tallybook.session import stored
 from tallybook.sources import ledger
 
 
@@ -88,3 +92,22 @@ def test_a_hashed_space_takes_more_grams_than_a_vocabulary(spark):
     fitted = model.fit_model(training, max_vocabulary=50, width=1 << 16)
     got = model.predict(spark.createDataFrame([("coffee bar",), ("train to town",)], "Description string"), fitted, 0.5)
     assert [r[1] for r in sorted(plain(got))] == ["Food", "Travel"]
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    root = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", None) or tempfile.gettempdir()
+
+    def held():
+        return set(glob.glob(f"{root}/blockmgr-*/*/shuffle_*"))
+
+    counted = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    start = held()
+    rows = counted.collect()
+    assert held() - start, "a plain run leaves its files until garbage is collected"
+    start, before = held(), spark.conf.get(name)
+    assert sorted(stored(counted).collect()) == sorted(rows)
+    assert not held() - start and spark.conf.get(name) == before
+    with pytest.raises(Exception, match="no good"):
+        stored(counted.select(F.raise_error(F.lit("no good")).cast("int").alias("x")))
+    assert spark.conf.get(name) == before
