@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,17 +42,3 @@ def groups_for(spark: SparkSession, n_bytes: int, group_bytes: int) -> int:
 def text_bytes(df: DataFrame, name: str = "text") -> int:
     """Bytes of all texts; one aggregated row comes back."""
     return df.agg(F.sum(F.octet_length(text_or_empty(name)))).first()[0] or 0
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of frames that nothing refers to any more.
-
-    Spark deletes them once the driver's JVM has collected its garbage, which
-    on a calm driver can be long after a step is stored. Objects that refer to
-    one another take a second round; the cleaner works beside us, so it gets a
-    moment.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tallybook.llm import positions as P
-from tallybook.llm.common import groups_for, release, text_bytes
+from tallybook.llm.common import groups_for, text_bytes
 from tallybook.session import stored
 
 WINDOW = 50
@@ -110,7 +110,6 @@ def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -
         return P.messages(chunk.entries(row, place, prints, place % block == 0), _judge_blocks(local=True), groups)
 
     hits = stored(P.settle(homes.applyInPandas(probe, P.MESSAGE), _judge_blocks(local=False)))
-    release(docs.sparkSession)
 
     def extend(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(told):
@@ -128,7 +127,6 @@ def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -
 
     near = homes.cogroup(hits.groupBy("home")).applyInPandas(extend, P.MESSAGE)
     found = stored(P.settle(near, _judge_repeats))
-    release(docs.sparkSession)
     return rows, found
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm import positions as P
-from tallybook.llm.common import groups_for, release, text_bytes
+from tallybook.llm.common import groups_for, text_bytes
 from tallybook.session import stored
 
 WINDOW = 100
@@ -114,7 +114,6 @@ def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -
         return P.messages(chunk.entries(row, place, prints, np.zeros(len(row), bool)), _judge_ties, groups)
 
     tied = stored(P.settle(homes.applyInPandas(sample, P.MESSAGE), _judge_ties))
-    release(docs.sparkSession)
 
     def contexts(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(told):
@@ -131,7 +130,6 @@ def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -
 
     near = homes.cogroup(tied.groupBy("home")).applyInPandas(contexts, P.MESSAGE)
     settled = stored(P.settle(near, _judge_contexts))
-    release(docs.sparkSession)
 
     def suffixes(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(told):
@@ -148,7 +146,6 @@ def repeats(docs: DataFrame, doc_id: str, text: str, window: int, groups: int) -
 
     near = homes.cogroup(settled.groupBy("home")).applyInPandas(suffixes, P.MESSAGE)
     found = stored(P.settle(near, _judge_later))
-    release(docs.sparkSession)
     return rows, settled.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
 
 
