@@ -125,7 +125,8 @@ def match_by_substring(
     and once more to look for each keyword where its rarest piece is, so that
     keywords that begin alike do not meet in one key; what meets is verified
     whole. The work grows with text length and true matches, not with
-    descriptions times keywords.
+    descriptions times keywords. Of both cuts only pieces that may be wanted are
+    shuffled (``joins.thinned``): of the second about as many as there are matches.
     """
     keyed = stored(keyword_pieces(rules))
     # At most PIECE rows.
@@ -135,11 +136,11 @@ def match_by_substring(
     pieces = F.flatten(F.array(none, *[_cuts(text, n) for n in sorted(sizes)]))
     distinct = stored(descriptions.select("Description").filter(F.col("Description").isNotNull()).distinct())
     exploded = distinct.withColumn("_text", F.lower("Description")).withColumn("piece", F.explode(pieces))
-    wanted = keyed.select("piece").distinct()
-    hits = lookup(exploded.select("piece"), wanted, ["piece"], max_rows=max_broadcast, how="left_semi")
+    wanted = stored(keyed.select("piece").distinct())
+    hits = lookup(exploded.select("piece"), wanted, ["piece"], max_rows=max_broadcast, how="inner", thin=True)
     anchors = stored(rarest_pieces(keyed, hits))
     return (
-        lookup(exploded, anchors, ["piece"], max_rows=max_broadcast, how="inner")
+        lookup(exploded, anchors, ["piece"], max_rows=max_broadcast, how="inner", thin=True)
         .filter(F.contains(text, F.col("keyword")))
         .groupBy("Description")
         .agg(F.min("best").alias("best"))

@@ -8,7 +8,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tallybook.operators import classify
+from tallybook.operators import classify, joins
 from tallybook.operators.budgets import override_budgets
 from tallybook.schema import RULES
 from tallybook.sources import settings
@@ -78,6 +78,19 @@ def test_matching_beyond_every_broadcast(spark):
     assert got == {"A longer keyword one": "A", "longer keyword two": "B", "one two": "A", "none of them": "A"}
 
 
+def test_only_rows_that_may_meet_are_shuffled(spark):
+    big = spark.range(20_000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3).alias("v"))
+    big = big.unionByName(spark.createDataFrame([(None, 1)], "k string, v bigint"))
+    side = spark.range(0, 20_000, 100).select(F.col("id").cast("string").alias("k"))
+    kept = joins.thinned(big, side, ["k"])
+    assert kept.columns == big.columns and 200 <= kept.count() < 400
+    met = joins.lookup(big, side, ["k"], max_rows=10, how="inner", thin=True)
+    text = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "BroadcastHashJoin [_word" in text[text.index("SortMergeJoin"):]
+    assert sorted(plain(met)) == sorted(plain(big.join(side, "k"))) and met.count() == 200
+    assert joins.lookup(big, side, ["k"], max_rows=10).count() == 20_001
+
+
 def test_rule_table_input_and_no_rules(spark):
     df = described(spark, "ferry")
     table = classify.rules_table(spark, SHOPS)
