@@ -93,8 +93,28 @@ def default_pivot_year() -> int:
 def day_text(text: Column) -> Column:
     """Without white space around, time of day, or the long form of September's short name."""
     clean = strip(text)
-    clean = F.when(F.contains(clean, F.lit(":")), F.regexp_replace(clean, _TIME, "")).otherwise(clean)
-    return F.when(F.contains(clean, F.lit("Sept ")), F.replace(clean, F.lit("Sept "), F.lit("Sep "))).otherwise(clean)
+    # The test looks at the text as it came, so that a row is stripped once.
+    timeless = F.when(F.contains(text, F.lit(":")), F.regexp_replace(clean, _TIME, "")).otherwise(clean)
+    return F.replace(timeless, F.lit("Sept "), F.lit("Sep "))
+
+
+def _numeric_day(clean: Column, fmt: str) -> Column | None:
+    """``clean``, of the shape of a format of digits only, as a date; None for other formats.
+
+    A cast of yyyy-MM-dd costs a small part of what Spark's parser for formats takes.
+    """
+    if fmt == "yyyyMMdd":
+        parts = {"yyyy": F.substring(clean, 1, 4), "MM": F.substring(clean, 5, 2), "dd": F.substring(clean, 7, 2)}
+    else:
+        names = re.findall("[a-zA-Z]+", fmt)
+        between = set(re.findall("[^a-zA-Z]+", fmt))
+        known = {"yyyy", "yy", "MM", "M", "dd", "d"}
+        if sorted(n[0] for n in names) != ["M", "d", "y"] or not known.issuperset(names) or len(between) != 1 or not between <= set("/-."):
+            return None
+        parts = {n: F.split_part(clean, F.lit(*between), F.lit(i)) for i, n in enumerate(names, 1)}
+    part = {n[0]: p for n, p in parts.items()}
+    year = part["y"] if "yyyy" in parts else F.concat(F.lit("20"), part["y"])
+    return F.concat_ws("-", year, part["M"], part["d"]).try_cast("date")
 
 
 def read_day(clean: Column, fmt: str, pivot_year: int | None = None) -> Column:
@@ -104,10 +124,13 @@ def read_day(clean: Column, fmt: str, pivot_year: int | None = None) -> Column:
     exception inside Spark, many times the price of the test. Two-digit years
     at or past the pivot go back a century.
     """
-    day = F.when(clean.rlike(format_shape(fmt)), F.try_to_date(clean, fmt))
+    numeric = _numeric_day(clean, fmt)
+    day = F.when(clean.rlike(format_shape(fmt)), F.try_to_date(clean, fmt) if numeric is None else numeric)
     if "yy" in fmt and "yyyy" not in fmt:
         pivot = default_pivot_year() if pivot_year is None else pivot_year
-        day = F.when(F.year(day) >= pivot, F.add_months(day, -1200)).otherwise(day)
+        # The day itself stands here once, as a repeated expression is worked out again.
+        days = F.transform(F.array(day), lambda d: F.when(F.year(d) >= pivot, F.add_months(d, -1200)).otherwise(d))
+        day = F.get(days, F.lit(0))
     return day
 
 
@@ -176,8 +199,9 @@ def or_fail(parsed: Column, text: Column, what: str, nullable: bool) -> Column:
 
     ``nullable`` says whether a missing value is allowed (and stays NULL).
     """
-    bad = parsed.isNull() & text.isNotNull() if nullable else parsed.isNull()
     message = F.concat(
         F.lit(f"Cannot parse {what} value: '"), F.coalesce(text, F.lit("NULL")), F.lit("'")
     )
-    return F.when(bad, F.raise_error(message)).otherwise(parsed)
+    # ``parsed`` stands here once: a repeated expression is worked out again.
+    refused = F.raise_error(message)
+    return F.coalesce(parsed, F.when(text.isNotNull(), refused) if nullable else refused)
