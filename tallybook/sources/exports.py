@@ -27,9 +27,9 @@ from tallybook.sources.layouts import (
 
 
 def _redecode(cell: Column) -> Column:
-    """Bytes read as Latin-1: UTF-8 where they are valid UTF-8, else as they are."""
+    """Bytes read as Latin-1: UTF-8 where they are valid UTF-8, else as they are. ASCII is both."""
     raw = F.encode(cell, "ISO-8859-1").cast("string")
-    return F.when(F.is_valid_utf8(raw), raw).otherwise(cell)
+    return F.when(F.octet_length(cell) == F.length(cell), cell).otherwise(F.coalesce(F.try_validate_utf8(raw), cell))
 
 
 def _redecode_name(name: str) -> str:
@@ -144,9 +144,11 @@ def clean_dates(
             df = lookup(df, chosen, [LINEAGE])
         else:
             df = df.withColumn("_format", chosen.select("_format").scalar())
+        # Formats that no source is written in would only swell the generated code. A source without choice has the first.
+        taken = {0} | {r["_format"] for r in chosen.select("_format").distinct().collect()}
         place, day = F.coalesce("_format", F.lit(0)), F
-        for i, fmt in enumerate(formats):
-            day = day.when(place == i, read_day(F.col("_day"), fmt, pivot_year))
+        for i in sorted(taken):
+            day = day.when(place == i, read_day(F.col("_day"), formats[i], pivot_year))
     day = or_fail(day, F.col("Date"), "date", nullable=False) if strict else day
     return df.withColumn("Date", day).select(*map(named, columns))
 
@@ -261,12 +263,13 @@ def ingest_tolerant(
     df = fill_currency(map_columns(layout.normalise(raw, options), mapping))
     typed_by_layout = RAW_DATE in df.columns
     chosen = _chosen(df, formats, pivot_year, mixed)
-    if not typed_by_layout:
-        df = df.withColumns({RAW_DATE: F.col("Date"), RAW_AMOUNT: F.col("Amount")})
     if not keep_extra:
         df = _canonical(df, [RAW_DATE, RAW_AMOUNT])
     if not dedupe_after:
         df = _without_repeats(df) if keep_extra else drop_repeats(df)
+    # Copies of key columns: made after the repeats are gone, which are then removed without sorting.
+    if not typed_by_layout:
+        df = df.withColumns({RAW_DATE: F.col("Date"), RAW_AMOUNT: F.col("Amount")})
     df = clean_dates(df, formats, pivot_year, strict=False, chosen=chosen)
     df = clean_amounts(df, strict=False, dtype=dtype)
     bad_amount = F.col("Amount").isNull()
@@ -277,7 +280,9 @@ def ingest_tolerant(
         F.when(F.col("Date").isNull(), F.lit("date")),
         F.when(bad_amount, F.lit("amount")),
     )
-    df = mask_descriptions(df).withColumn("reject_reason", F.nullif(reason, F.lit("")))
+    # A list of one: the planner moves filters on the reason past a plain column, with all the parsing spelled out in them.
+    one = F.explode(F.array(F.nullif(reason, F.lit(""))))
+    df = mask_descriptions(df.withColumn("reject_reason", one))
     # Bad rows whose cells became NULL alike are told apart by their texts.
     return _without_clean_repeats(df) if dedupe_after else df
 

@@ -5,6 +5,7 @@ from conftest import plain
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tallybook.functions import parse
 from tallybook.functions.parse import DAY_FIRST, MONTH_FIRST, parse_amount, parse_amount_or_zero, parse_date
 from tallybook.functions.text import axis_label, currency_label, mask_cards
 from tallybook.operators.dedupe import count_repeats, drop_repeats, keep_first
@@ -286,3 +287,45 @@ def test_quoted_line_breaks(spark, tmp_path):
     path.write_text('Date,Description,Amount\n2024-01-02,"two\nlines",1.00\n')
     rows = exports.read_export(spark, str(path), multiline=True).collect()
     assert [r["Description"] for r in rows] == ["two\nlines"]
+
+
+def test_a_value_is_parsed_once_where_it_may_fail(spark):
+    df = spark.createDataFrame([("1",), (None,)], "t string")
+    text = df.select(parse.or_fail(parse.read_any_day(F.col("t"), parse.DAY_FIRST, 2050), F.col("t"), "date", nullable=False).alias("day"))
+    plan = text._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("d-MMM-yyyy") == 1 and plan.count("d MMMM yyyy") == 1
+    with pytest.raises(PySparkException, match="Cannot parse date value: '(1|NULL)'"):
+        text.collect()
+
+
+@pytest.mark.parametrize("fmt", [f for f in (*parse.MONTH_FIRST, *parse.DAY_FIRST) if "MMM" not in f])
+def test_dates_of_digits_are_read_as_the_format_reads_them(spark, fmt):
+    numbers = [(y, m, d) for y in ("2024", "0000", "1900", "2000", "24", "00", "99") for m in ("1", "02", "12", "13", "0") for d in ("1", "09", "29", "31", "00")]
+    texts = [s.join(p) for y, m, d in numbers for s in ("-", "/", ".", "") for p in ((y, m, d), (d, m, y), (m, d, y))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    slow = F.when(F.col("t").rlike(parse.format_shape(fmt)), F.try_to_date("t", fmt))
+    if "yyyy" not in fmt:
+        slow = F.when(F.year(slow) >= 2050, F.add_months(slow, -1200)).otherwise(slow)
+    quick = parse.read_day(F.col("t"), fmt, 2050)
+    assert "gettimestamp" not in df.select(quick)._jdf.queryExecution().optimizedPlan().toString()
+    assert df.filter(~quick.eqNullSafe(slow)).collect() == [] and df.filter(quick.isNotNull()).count() > 10
+
+
+def test_repeats_and_bad_rows_cost_no_sort_and_no_second_parsing(raw):
+    df = raw(["Date", "Description", "Amount"], ("2024-01-01", "a", "1"), ("2024-01-01", "a", "1"), ("31/31/2024", "b", "x"), ("2024-01-02", "c", None))
+    tagged = exports.ingest_tolerant(df)
+    bad = exports.count_rejects(tagged)
+    optimized = bad._jdf.queryExecution().optimizedPlan().toString()
+    # One try of the only format that is taken, below the filter on the reason.
+    assert optimized.count("^[0-9]{4}\\-[0-9]{2}\\-[0-9]{2}$") == 1 and "MMMM" not in optimized
+    assert "SortAggregate" not in tagged._jdf.queryExecution().executedPlan().toString()
+    assert tagged.columns == ["Date", "Description", "Amount", "Currency", "_raw_date", "_raw_amount", "reject_reason"]
+    assert plain(bad) == [("date,amount", 1)] and exports.accepted(tagged).count() == 2
+
+
+def test_ascii_cells_are_taken_as_they_are_and_others_decoded(spark):
+    cells = [None, "", "Shop", "Café".encode().decode("latin-1"), "Café", "Ã"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = df.orderBy("i").select(exports._redecode(F.col("c")).alias("c"))
+    assert [r[0] for r in got.collect()] == [None, "", "Shop", "Café", "Café", "Ã"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("encode(") == 1
