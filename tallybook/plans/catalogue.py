@@ -171,8 +171,11 @@ def ingest_mixed_banks(spark, folder):
         rows.write.option("header", True).option("escape", '"').csv(f"{target}/{name}")
     rows = banks.ingest_files(spark, [f"{target}/{k}" for k in kinds], pivot_year=PIVOT)
     kind = F.regexp_extract("source_file", "/(statement|card|plain)/", 1)
-    return rows.groupBy(kind.alias("kind"), "Currency", month_key(F.col("Date")).alias("month")).agg(
-        F.count_distinct("Description", "Date", "Amount").alias("rows"), F.max("Description").alias("last")
+    # Distinct rows first: with the maximum of a text beside it, a distinct count sorts all rows twice.
+    once = rows.select(kind.alias("kind"), "Currency", "Description", "Date", "Amount").distinct()
+    whole = F.col("Description").isNotNull() & F.col("Date").isNotNull() & F.col("Amount").isNotNull()
+    return once.groupBy("kind", "Currency", month_key(F.col("Date")).alias("month")).agg(
+        F.count_if(whole).alias("rows"), F.max("Description").alias("last")
     )
 
 

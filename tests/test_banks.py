@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from conftest import plain
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallybook.functions.parse import MONTH_FIRST
+from tallybook.plans import catalogue
 from tallybook.sources import banks, exports
 
 CARD = "Post Date,Memo,GBP Amount\n03/13/2024,Shop,-1.50\n03/14/2024,Shop,-2.50\n"
@@ -137,3 +140,18 @@ def test_a_source_is_read_in_its_format_without_trying_others(spark):
     text = exports.ingest(raw.withColumn("Date", F.col("Date")))._jdf.queryExecution().optimizedPlan().toString()
     assert "_format" in text
     assert "_format" not in exports.ingest(raw, mixed=True)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mixed_banks_count_distinct_rows_without_sorting_them_twice(spark, tmp_path):
+    order = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    day = datetime.datetime(2024, 2, 29)
+    orders = [(1, 7, "F", 1234.5, day, "3-MEDIUM"), (2, 7, "O", 5.0, day, "1-URGENT"), (3, 7, "O", 5.0, day, "1-URGENT")]
+    spark.createDataFrame(orders, order).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, day, 2.5), (1, day, 2.5), (2, day, None)], "event_id bigint, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = catalogue.CATALOGUE["ingest_mixed_banks"](spark, str(tmp_path))
+    assert "distinct" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(plain(rows)) == [
+        ("card", "GBP", "2024-02", 2, "3-MEDIUM F 7"),
+        ("plain", "EUR", "2024-02", 1, "event 2"),
+        ("statement", "INR", "2024-02", 2, "ORDER 7 | Ref: 1"),
+    ]
